@@ -7,8 +7,8 @@ its own text, so one threshold serves all items.
 
 Postings are kept in blocks of neighbouring items; each block and term has the
 largest impact in it. As in block-max WAND a block is opened only if the terms'
-block maxima can add up to the threshold: first over the window's words as they
-stand, by running sums, then over its distinct words. Only postings of opened
+block maxima can add up to the threshold: first over the distinct words of the
+window's two halves, then over its own distinct words. Only postings of opened
 blocks are scored, and every item at or above the threshold is retrieved. A
 retrieved item is a leak if the window has at least ``overlap`` of its five-word
 shingles and at least half of the words of its question and of its answer.
@@ -25,6 +25,7 @@ items of one to four words have one shingle; repeated items each match.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .passages import WORD
 
 INDEX_BYTES = 16 << 20
-BLOCK, THRESHOLD, OVERLAP, SHINGLE = 16, 0.6, 0.8, 5
+BLOCK, THRESHOLD, OVERLAP, SHINGLE = 8, 0.75, 0.8, 5
 K1, B = 1.2, 0.75
 #: Words of text that a worker looks at in one go.
 GO = 400_000
@@ -60,7 +61,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str, str]]):
         given = [(i, tokens(q), tokens(a)) for i, q, a in items]
-        given = sorted((x for x in given if x[1] or x[2]), key=lambda x: (len(x[1]) + len(x[2]), str(x[0])))
+        given = self._like_by_like([x for x in given if x[1] or x[2]])
         self.ids = [x[0] for x in given]
         self.words = [q + a for _, q, a in given]
         self.parts = [(set(q), set(a)) for _, q, a in given]
@@ -73,7 +74,7 @@ class Index:
                 df[w] = df.get(w, 0) + 1
         self.number = Numbers((w, i) for i, w in enumerate(sorted(df)))
         self.n_blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((len(df) + 1, max(1, self.n_blocks)), np.float32)  # the last row is for unknown words
+        self.block_max = np.zeros((len(df), max(1, self.n_blocks)), np.float32)
         postings: list[list[list[tuple[int, float]]]] = [[[] for _ in range(self.n_blocks)] for _ in df]
         for i, c in enumerate(counts):
             size = K1 * (1 - B + B * len(self.words[i]) / mean)
@@ -86,6 +87,15 @@ class Index:
         self.postings = postings
         self.shingles = [self._shingles(w) for w in self.words]
 
+    @staticmethod
+    def _like_by_like(given: list[tuple]) -> list[tuple]:
+        """Items with the same frequent words, so of one language, next to each other: block maxima get tighter."""
+        df: dict[str, int] = {}
+        for _, q, a in given:
+            for w in {*q, *a}:
+                df[w] = df.get(w, 0) + 1
+        return sorted(given, key=lambda x: (sorted({*x[1], *x[2]}, key=lambda w: (-df[w], w))[:3], len(x[1]) + len(x[2]), str(x[0])))
+
     @staticmethod
     def _shingles(words: list[str]) -> set[tuple]:
         k = min(SHINGLE, len(words))
@@ -118,17 +128,30 @@ class Index:
         """(text, window's start, item, score, overlaps) of the leaks in some texts."""
         step = self.longest
         sizes = np.array([len(t) for t in texts], np.int64)
-        base = np.cumsum(sizes) - sizes
-        term = np.fromiter((i for t in texts for i in map(self.number.__getitem__, t)), np.int64, int(sizes.sum()))
-        of = np.concatenate([np.full(max(1, -(-(n - step) // step)) if n else 0, k) for k, n in enumerate(sizes)] or [[]]).astype(np.int64)
-        if not len(of):
+        if not sizes.sum():
             return
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        start = base[of] + (np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))) * step
+        base = np.cumsum(sizes) - sizes
+        term = np.fromiter(map(self.number.__getitem__, chain.from_iterable(texts)), np.int32, int(sizes.sum()))
+        # Halves of windows: the distinct terms' block maxima, added up for each half.
+        halves = -(-sizes // step)
+        half_base = np.cumsum(halves) - halves
+        known = np.flatnonzero(term >= 0)
+        text_of = np.repeat(np.arange(len(sizes)), sizes)[known]
+        half = half_base[text_of] + (known - base[text_of]) // step
+        key = np.unique(half * len(self.postings) + term[known])
+        half, distinct = key // max(1, len(self.postings)), key % max(1, len(self.postings))
+        sums = np.zeros((int(halves.sum()) + 1, self.block_max.shape[1]), np.float32)
+        if len(key):
+            at = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
+            sums[half[at]] = np.add.reduceat(self.block_max[distinct], at)
+        windows = np.maximum(halves - 1, np.minimum(halves, 1))
+        of = np.repeat(np.arange(len(sizes)), windows)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        start = base[of] + nth * step
         stop = np.minimum(start + 2 * step, base[of] + sizes[of])
-        sums = np.zeros((len(term) + 1, self.block_max.shape[1]), np.float32)
-        np.cumsum(self.block_max[term], axis=0, dtype=np.float32, out=sums[1:])
-        open_ = sums[stop] - sums[start] >= threshold - 1e-2
+        first = half_base[of] + nth
+        second = np.where(halves[of] > 1, first + 1, len(sums) - 1)
+        open_ = sums[first] + sums[second] >= threshold - 1e-4
         for w in np.flatnonzero(open_.any(axis=1)).tolist():
             a, b = int(start[w]), int(stop[w])
             distinct = np.unique(term[a:b])
