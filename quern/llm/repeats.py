@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import deal, gather, pack
+from .blobs import deal, documents_in, gather, pack, pack_documents
 from .common import CHUNK_BYTES, cuts, group_starts, mix, partitions
 
 LENGTH, ANCHOR = 50, 16
@@ -88,6 +88,15 @@ def segments(text: bytes, length: int):
         yield at, text[at : at + CHUNK_BYTES + length - 1]
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h % np.uint64(buckets)).astype(np.int32)
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    """The upper half of the hashes. Within a bucket it tells them apart; two that it does not cost a comparison."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def _find(buckets: int, length: int):
     """Runs whose anchor a chunk has in several documents go on to their documents; of the
     others, hashes and places go to the hash's bucket."""
@@ -100,18 +109,19 @@ def _find(buckets: int, length: int):
         doc, twin, home, base = (np.array([p[i] for p in parts], t)[of] for i, t in ((0, np.int64), (1, np.int32), (4, np.int32), (2, np.int64)))
         at = (first - np.concatenate([[0], ends[:-1]])[of] + base).astype(np.int64)
         order = np.lexsort((doc, h))
-        h, doc, twin, home, at, n, left = (x[order] for x in (h, doc, twin, home, at, n, left))
-        starts = group_starts(h)
-        sizes = np.diff(np.append(starts, len(h)))
-        many = np.repeat(doc[starts] != doc[np.append(starts[1:], len(h)) - 1], sizes)
-        place = (doc, twin, at, n.astype(np.uint8), left.astype(np.uint8))
+        starts = group_starts(h[order])
+        stops = np.append(starts[1:], len(h)) - 1
+        several = doc[order][starts] != doc[order][stops]
+        many = np.empty(len(h), bool)
+        many[order] = np.repeat(several, stops - starts + 1)
+        place = (doc, twin, at.astype(np.int32), n.astype(np.uint8), left.astype(np.uint8))
         for to, blob in deal(home[many], *[x[many] for x in place]):
             yield to % buckets, 1, to, blob
-        seen = h[starts][doc[starts] != doc[np.append(starts[1:], len(h)) - 1]]
-        for to, blob in deal((seen % np.uint64(buckets)).astype(np.int32), seen):
+        seen = h[order][starts][several]
+        for to, blob in deal(bucket_of(seen, buckets), short(seen)):
             yield to, 2, 0, blob
         one = ~many
-        for to, blob in deal((h[one] % np.uint64(buckets)).astype(np.int32), h[one], *[x[one] for x in place], home[one]):
+        for to, blob in deal(bucket_of(h[one], buckets), short(h[one]), *[x[one] for x in place], home[one]):
             yield to, 0, 0, blob
 
     def run(batches):
@@ -148,10 +158,11 @@ def _repeated(table: pa.Table) -> pa.Table:
     if singles:
         h, doc, twin, at, n, left, home = gather(singles, 7)
         order = np.lexsort((doc, h))
-        h, doc, twin, at, n, left, home = (x[order] for x in (h, doc, twin, at, n, left, home))
-        starts = group_starts(h)
-        stops = np.append(starts[1:], len(h))
-        many = np.repeat(doc[starts] != doc[stops - 1], stops - starts) | np.isin(h, known)
+        starts = group_starts(h[order])
+        stops = np.append(starts[1:], len(h)) - 1
+        many = np.empty(len(h), bool)
+        many[order] = np.repeat(doc[order][starts] != doc[order][stops], stops - starts + 1)
+        many |= np.isin(h, known)
         out += deal(home[many], doc[many], twin[many], at[many], n[many], left[many])
     return pa.table({"home": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
@@ -192,14 +203,10 @@ def _cut_out(buckets: int, length: int):
         if not blobs or not documents.num_rows:
             return _sorted_rows([])
         doc, twin, at, n, left = gather(blobs, 5)
-        texts = documents.column("text").to_pylist()
-        places: dict = {}
-        total = 0
-        for d, t, x in zip(documents.column("doc_id").to_pylist(), documents.column("twin").to_pylist(), texts, strict=True):
-            places[(d, t)] = total
-            total += len(x or b"")
-        data = np.frombuffer(b"".join(x or b"" for x in texts), np.uint8)
-        order = np.lexsort((twin, doc))
+        at = at.astype(np.int64)
+        ids, twins, sizes, data = documents_in(documents)
+        places = dict(zip(zip(ids.tolist(), twins.tolist(), strict=True), (np.cumsum(sizes) - sizes).tolist(), strict=True))
+        order = np.lexsort((at, twin, doc))
         doc, twin, at, n, left = (x[order] for x in (doc, twin, at, n, left))
         new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1])])
         base = np.repeat([places[(int(doc[i]), int(twin[i]))] for i in new], np.diff(np.append(new, len(doc))))
@@ -214,7 +221,7 @@ def _cut_out(buckets: int, length: int):
                 out.append((key[0].as_py() % buckets, key[0].as_py(), pack(d[later], t[later], a[later], a[later] + m[later] + length - 1)))
             anchor = np.ascontiguousarray(rows[kept][:, length - ANCHOR : length]).view("<u8")
             h = mix(anchor[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ mix(anchor[:, 1]))
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
+            bucket = bucket_of(h, buckets)
             by = np.argsort(bucket, kind="stable")
             kept, bucket = kept[by], bucket[by]
             bounds = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
@@ -345,8 +352,10 @@ def _finish(schema: pa.Schema, texts: bool):
             for a, b in zip(new, np.append(new[1:], len(doc)), strict=True):
                 of[(int(doc[a]), int(twin[a]))] = (a, b)
         out: dict = {f.name: [] for f in schema}
-        for d, t, real, text in zip(*(documents.column(c).to_pylist() for c in ("doc_id", "twin", "real_id", "text")), strict=True):
-            text, spans = text or b"", []
+        ids, twins, sizes, data = documents_in(documents)
+        data = data.tobytes()
+        for d, t, z, w in zip(ids.tolist(), twins.tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+            text, spans, real = data[z : z + w], [], None if d == LAST else d
             if (d, t) in of:
                 a, b = of[(d, t)]
                 reach = np.maximum.accumulate(stop[a:b])
@@ -372,17 +381,17 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, texts: bool = Tru
     buckets = buckets or 3 * partitions(documents.sparkSession)
     rows = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"),
-        F.col("doc_id").cast("long").alias("real_id"),
         F.hash("text").alias("twin"),
         F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"),
     ).withColumn("home", F.pmod(F.hash("doc_id"), F.lit(buckets)).cast("int"))
+    texts_by_home = pack_documents(rows, buckets, 4 * CHUNK_BYTES)
     found = rows.select("doc_id", "twin", "home", "text").mapInArrow(_find(buckets, length), "bucket int, kind int, home int, blob binary")
     asked = found.groupBy("bucket").applyInArrow(_repeated, "home int, blob binary")
-    cut = rows.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(_cut_out(buckets, length), "bucket int, home int, blob binary")
+    cut = texts_by_home.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(_cut_out(buckets, length), "bucket int, home int, blob binary")
     places = cut.groupBy("bucket").applyInArrow(_equal_windows(length), "home int, blob binary")
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
     out = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>"
     if texts:
         fields.append(("kept", pa.binary()))
         out += ", kept binary"
-    return rows.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_finish(pa.schema(fields), texts), out)
+    return texts_by_home.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(_finish(pa.schema(fields), texts), out)
