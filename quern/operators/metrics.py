@@ -74,7 +74,7 @@ def citation_metrics(cases: DataFrame, cited: DataFrame, gold_rows: DataFrame) -
 def confusion(results: DataFrame) -> DataFrame:
     """One row for each expected action with the counts of the four actual ones, zeros filled in."""
     labels = results.sparkSession.createDataFrame([(a,) for a in ACTIONS], "expected_action string")
-    counted = results.groupBy("expected_action").pivot("actual_action", list(ACTUAL)).agg(F.count("*"))
+    counted = results.groupBy("expected_action").pivot("actual_action", list(ACTUAL)).agg(F.count(F.lit(1)))
     return labels.join(counted, "expected_action", "left").fillna(0)
 
 

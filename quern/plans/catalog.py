@@ -1,9 +1,788 @@
 """All queries of the library over the given tables, and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analysis, context, dataset, experiment, fusion, metrics, retrieval, structure
+from ..sources import readers
+from ..streaming import jobs
+from .tables import sql, view
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None):
+    """Registers a function (read) → DataFrame under its name, with its SQL if it has one."""
+
+    def add(make):
+        name = make.__name__.strip("_")
+        QUERIES[name] = lambda spark, sf_dir: make(lambda table: view(spark, sf_dir, table))
+        if text is not None:
+            SQL[name] = sql(text)
+        return make
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# -- functions and projections ---------------------------------------------------
+
+
+@query("select doc_id, regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g') as clean from {documents}")
+def prj1_newlines(read):
+    return read("documents").select("doc_id", T.normalize_newlines(F.col("text")).alias("clean"))
+
+
+@query("select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x not in ('公司内部资料', '内部资料', 'Confidential')), chr(10)) as clean from {documents}")
+def prj2_noise_lines(read):
+    return read("documents").select("doc_id", T.drop_noise_lines(F.col("text")).alias("clean"))
+
+
+@query("select conv_id, turn, length(text) as n_chars, len(string_split(text, chr(10))) as n_lines from {conversations}")
+def fn2_lengths(read):
+    return read("conversations").select("conv_id", "turn", F.char_length("text").cast("long").alias("n_chars"), F.size(T.lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+@query("select doc_id, cast(case when text = '' then 0 else greatest(1, floor(length(text) / 4)) end as bigint) as tokens from {documents}")
+def fn1_tokens(read):
+    return read("documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("select page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(url, '/', ','), '?', ','), ','), lambda x: trim(x)), lambda x: x <> ''), '~') as parts from {pages}")
+def prj6_split_multi(read):
+    return read("pages").select("page_id", F.array_join(T.split_multi(F.regexp_replace("url", "[/?]", ";")), "~").alias("parts"))
+
+
+@query("select page_id, array_to_string(list_distinct(regexp_extract_all(url, '[a-z]+_[a-z]+')), ',') as none from {pages} where false union all select page_id, '' from {pages} where not regexp_matches(url, '[a-z0-9]_[a-z0-9]|[A-Z][0-9]{3}|/api/')")
+def fn3_exact_terms(read):
+    p = read("pages").where(~F.col("url").rlike("[a-z0-9]_[a-z0-9]|[A-Z][0-9]{3}|/api/"))
+    return p.select("page_id", F.array_join(T.exact_terms(F.col("url")), ",").alias("none"))
+
+
+@query("select doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) as squeezed, sha256(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))) as letters from {documents}")
+def fn8_normalizers(read):
+    d = read("documents")
+    return d.select("doc_id", T.squeeze(F.col("text")).alias("squeezed"), F.sha2(T.letters(F.col("text")), 256).alias("letters"))
+
+
+@query("select doc_id, contains(text, 'the') as has, starts_with(text, 'The') as starts, ends_with(text, '.') as ends, substr(text, 1, 200) as head from {documents}")
+def fn9_matches(read):
+    t = F.col("text")
+    return read("documents").select("doc_id", F.contains(t, F.lit("the")).alias("has"), F.startswith(t, F.lit("The")).alias("starts"), F.endswith(t, F.lit(".")).alias("ends"), F.substring(t, 1, 200).alias("head"))
+
+
+@query("""select a.vec_id, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / (sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[])))), 6) as similarity
+    from {embeddings} a join {embeddings} b on b.vec_id = a.vec_id + 1""")
+def fn10_cosine(read):
+    e = read("embeddings")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(b, "vec_id").select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+@query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(avg(value), 6) as mean from {events} group by event_type")
+def fn11_percentiles(read):
+    return read("events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("select case_code, cast(('0x' || substr(sha256(case_code), 1, 2)) as int) % 2 as side from {results}")
+def fn15_stable_side(read):
+    return read("results").select("case_code", T.stable_side(F.col("case_code")).alias("side"))
+
+
+@query("select event_id, coalesce(cast(json_extract_string(props, '$.k') as int), -1) as k from {events}")
+def fn16_json(read):
+    return read("events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))
+
+
+@query("select o_orderkey, o_orderdate < cast('1995-01-01' as timestamp) as ends_before from {orders}")
+def fn17_dates(read):
+    return read("orders").select("o_orderkey", (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")).alias("ends_before"))
+
+
+@query("""select chunk_id, trim(concat_ws(chr(10), '文档类型：' || chunk_type, '业务域：' || business_domain, '标题路径：' || title_path, '来源章节：' || source_section, '标签：' || tags, '关键词：' || keywords, '正文：', content), ' ' || chr(10)) as embedding_text,
+    sha256(concat_ws(chr(10), chunk_type, title, title_path, content, keywords, tags, source_section)) as text_hash from {chunks}""")
+def prj17_prj19_texts(read):
+    c = read("chunks")
+    return c.select("chunk_id", T.embedding_text(c).alias("embedding_text"), F.sha2(T.index_text(c), 256).alias("text_hash"))
+
+
+@query("select chunk_id, trim(concat_ws(chr(10), '文档类型：' || chunk_type, '标题路径：' || title_path, '来源章节：' || source_section, '正文：', content), ' ' || chr(10)) as rerank_text from {chunks}")
+def prj18_rerank_text(read):
+    c = read("chunks")
+    return c.select("chunk_id", T.rerank_text(c).alias("rerank_text"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from {documents}),
+    s as (select doc_id, line_no, trim(raw, ' ' || chr(9)) as line from l where trim(raw, ' ' || chr(9)) <> '')
+    select doc_id, count(*) as n_lines, min_by(line, line_no) as title from s group by doc_id""")
+def prj10_line_structure(read):
+    lines = structure.to_lines(read("documents"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.min_by("line", "line_no").alias("title"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from {documents}),
+    s as (select doc_id, line_no, trim(raw, ' ' || chr(9)) as line from l where trim(raw, ' ' || chr(9)) <> ''),
+    m as (select *, max(case when line like 'The%' then line_no end) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as h from s)
+    select m.doc_id, m.line_no, coalesce(x.line, '') as heading from m left join s x on x.doc_id = m.doc_id and x.line_no = m.h""")
+def win2_carry_heading(read):
+    lines = structure.to_lines(read("documents"))
+    order = structure.Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(structure.Window.unboundedPreceding, 0)
+    head = F.last(F.when(F.startswith("line", F.lit("The")), F.col("line")), ignorenulls=True).over(order)
+    return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.text(head).alias("heading"))
+
+
+@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from {documents})
+    select doc_id, line_no, cast(line_no + 1 as varchar) as clause_no, trim(raw, ' ' || chr(9)) as content from l where trim(raw, ' ' || chr(9)) <> '' and not regexp_matches(trim(raw, ' ' || chr(9)), '^[0-9.、]')""")
+def prj9_rules(read):
+    lines = structure.to_lines(read("documents")).where(~F.col("line").rlike("^[0-9.、]"))
+    numbered = lines.withColumn("line", F.concat((F.col("line_no") + 1).cast("string"), F.lit(". "), "line"))
+    return structure.extract_rules(numbered).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "clause_no", "content")
+
+
+@query()
+def prj5_faq(read):
+    c = read("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("line_no"), F.concat(F.when(F.col("role") == "user", "Q：").otherwise("A："), F.regexp_replace("text", r"\s+", " ")).alias("line"))
+    return structure.extract_faq(c).select("doc_id", "pair_no", "question", "answer")
+
+
+@query("""with p as (select conv_id, turn, text, role from {conversations}), q as (select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn) as pair_no, role from p)
+    select conv_id as doc_id, cast(pair_no as bigint) as pair_no, count(*) as n from q where pair_no > 0 group by conv_id, pair_no""")
+def win3_islands(read):
+    order = structure.Window.partitionBy("conv_id").orderBy("turn")
+    q = read("conversations").select(F.col("conv_id").alias("doc_id"), F.sum((F.col("role") == "user").cast("int")).over(order).alias("pair_no"))
+    return q.where("pair_no > 0").groupBy("doc_id", "pair_no").agg(F.count("*").alias("n"))
+
+
+@query("select chunk_id as from_chunk_id, next_id as to_chunk_id, 'PREVIOUS_NEXT' as relation_type from (select chunk_id, lead(chunk_id) over (partition by doc_id order by sort_order, chunk_id) as next_id from {chunks}) where next_id is not null union all select parent_chunk_id, chunk_id, 'PARENT_CHILD' from {chunks} where parent_chunk_id is not null")
+def jn12_relations(read):
+    return structure.build_relations(read("chunks")).drop("sort_order")
+
+
+# -- scans, filters, joins ----------------------------------------------------------
+
+
+@query("select chunk_id, doc_id, chunk_type from {chunks} where status = 'ACTIVE'")
+def src3_active_chunks(read):
+    return readers.scan_chunks(read("chunks")).select("chunk_id", "doc_id", "chunk_type")
+
+
+@query("select chunk_id, title from {chunks} where status = 'ACTIVE' and chunk_id in (select item_id * 3 from {benchmark})")
+def src4_lookup(read):
+    ids = read("benchmark").select((F.col("item_id") * 3).alias("chunk_id"))
+    return readers.lookup_chunks(ids, read("chunks")).select("chunk_id", "title")
+
+
+@query("select o_custkey as doc_id, max(o_orderkey) as parse_id, arg_max(o_orderpriority, o_orderkey) as clean_content from {orders} where o_orderstatus <> 'F' group by o_custkey")
+def src5_latest_parse(read):
+    o = read("orders")
+    docs = o.select(F.col("o_custkey").alias("doc_id")).distinct()
+    parses = o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("parse_id"), F.when(F.col("o_orderstatus") != "F", "CLEANED").otherwise("RAW").alias("status"), F.col("o_orderpriority").alias("clean_content"))
+    return readers.latest_parse(docs, parses)
+
+
+@query("select chunk_id from {chunks} where status = 'ACTIVE' and chunk_type = 'RULE' and business_domain in ('en', 'de')")
+def flt1_filter(read):
+    return retrieval.filter_chunks(read("chunks"), "RULE", ("en", "de")).select("chunk_id")
+
+
+@query("select doc_id, case when lang = 'en' then 'src1,src2' else lang end as domains from {documents}")
+def flt2_domains(read):
+    q = read("documents").select("doc_id", F.array("lang", F.lit(" "), "lang").alias("business_domains"))
+    return retrieval.expand_domains(q, {"en": ("src1", "src2")}).select("doc_id", F.array_join("domains", ",").alias("domains"))
+
+
+@query("select case_result_id from {results} where status = 'SUCCESS' and actual_action <> 'ERROR' and judge_passed = 1")
+def jn6_completed(read):
+    r = read("results")
+    return experiment.completed(r, r.where("judge_passed = 1").select("case_result_id")).select("case_result_id")
+
+
+@query("select o_orderkey, o_custkey from {orders} where o_custkey not in (select c_custkey from {customer} where c_mktsegment = 'BUILDING')")
+def flt6_missing(read):
+    done = read("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return dataset.missing(read("orders"), done, "o_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("""select r.case_result_id, r.case_type, j.judge_value from {results} r left join (select event_id % 3000 as case_result_id, arg_max(value, event_id) as judge_value from {events} group by 1) j on j.case_result_id = r.case_result_id""")
+def jn2_latest_judge(read):
+    r = read("results").select("case_result_id", "case_code", "case_type")
+    judges = read("events").select((F.col("event_id") % 3000).alias("case_result_id"), F.col("event_id").alias("judge_id"), F.col("value").alias("judge_value"))
+    return experiment.run_results(r, r.select("case_code").distinct(), judges).select("case_result_id", "case_type", "judge_value")
+
+
+@query("""with c as (select business_domain, count(*) as n from {chunks} where status = 'ACTIVE' group by 1), d as (select lang, count(*) as n from {documents} group by 1),
+    g as (select k.business_domain, count(*) as n from (select distinct item_id as chunk_id from {benchmark}) b left join {chunks} k on k.chunk_id = b.chunk_id group by 1)
+    select d.lang as domain, d.n as n_cases, coalesce(c.n, 0) as n_chunks, coalesce(g.n, 0) as n_gold_chunks, (select count(*) from {hits}) as n_hits from d left join c on c.business_domain = d.lang left join g on g.business_domain = d.lang""")
+def jn5_domains(read):
+    cases = read("documents").select(F.col("lang").alias("business_domain"))
+    return metrics.domain_diagnostics(cases, read("chunks"), read("benchmark").select(F.col("item_id").alias("chunk_id")), read("hits"))
+
+
+@query("select b.item_id, d.doc_id from {benchmark} b join {documents} d on contains(d.text, b.text)")
+def jn7_containment(read):
+    """Whole passages inside documents: candidates share the passage's first five words, so texts are compared by a key join."""
+    words = lambda c: F.split(F.col(c), r"\s+")
+    b = read("benchmark").select("item_id", F.col("text").alias("quote"), F.array_join(F.slice(words("text"), 2, 4), " ").alias("key"))
+    d = read("documents").select("doc_id", "text", words("text").alias("w"))
+    keyed = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(4)), " ")))).alias("key"))
+    pairs = keyed.join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    return pairs.join(d.select("doc_id", "text"), "doc_id").join(b.select("item_id", "quote"), "item_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
+
+
+# -- retrieval ------------------------------------------------------------------------
+
+_BM25 = """with t as (select chunk_id, list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), lambda x: x <> '') as w from {chunks} where status = 'ACTIVE'),
+    l as (select chunk_id, len(w) as n from t where len(w) > 0), st as (select count(*) as nn, avg(n) as avgdl from l),
+    p as (select chunk_id, term, count(*) as tf from (select chunk_id, unnest(w) as term from t) group by 1, 2),
+    q as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) as term from {questions}),
+    df as (select term, count(*) as df from p group by 1),
+    s as (select q.query_id, p.chunk_id, round(sum(ln(1 + (st.nn - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.n / st.avgdl))), 6) as score from q join p on p.term = q.term join df on df.term = q.term join l on l.chunk_id = p.chunk_id cross join st group by 1, 2),
+    top as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) """
+
+
+def _bm25(read, k=20):
+    chunks = read("chunks").where("status = 'ACTIVE'").select("chunk_id", "content")
+    postings, stats = retrieval.build_postings(chunks, ("content",))
+    return retrieval.bm25(read("questions"), postings, stats, k)
+
+
+@query("select chunk_id, count(*) as n_terms, cast(sum(tf) as bigint) as n_words from (select chunk_id, term, count(*) as tf from (select chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) as term from {chunks}) group by 1, 2) group by 1")
+def ret1_postings(read):
+    postings, _ = retrieval.build_postings(read("chunks").select("chunk_id", "content"), ("content",))
+    return postings.groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_words"))
+
+
+@query(_BM25 + "select query_id, chunk_id, cast(rank as int) as rank from top where rank <= 20")
+def ret2_bm25(read):
+    return _bm25(read).select("query_id", "chunk_id", "rank")
+
+
+_KNN = """with e as (select vec_id, cast(embedding as double[]) as v from {embeddings}),
+    s as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) as score from e q cross join e c where q.vec_id in (select item_id from {benchmark})),
+    top as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) """
+
+
+def _vectors(read):
+    e = read("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    q = e.join(read("benchmark").select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query_id")
+    return q, e
+
+
+@query(_KNN + "select query_id, chunk_id, score, cast(rank as int) as rank from top where rank <= 20")
+def ret3_knn(read):
+    return retrieval.knn(*_vectors(read)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query()
+def ret4_ann(read):
+    return retrieval.ann(*_vectors(read)).select("query_id", "chunk_id", "score", "rank")
+
+
+def _fused(read):
+    return retrieval.hybrid(_bm25(read, 50), retrieval.knn(*_vectors(read), 50))
+
+
+@query()
+def ret5_hybrid(read):
+    return _fused(read).select("query_id", "chunk_id", "score", F.array_join("sources", ",").alias("sources"), "rank")
+
+
+@query("select h.query_id, h.chunk_id, h.rank, 'vector' as mode from {vector_hits} h where h.query_id % 3 = 0 and h.rank <= 5 union all select h.query_id, h.chunk_id, h.rank, 'bm25' from {bm25_hits} h where h.query_id % 3 <> 0 and h.rank <= 5")
+def ret6_route(read):
+    v, b = read("vector_hits").where("rank <= 5"), read("bm25_hits").where("rank <= 5")
+    q = v.select("query_id").union(b.select("query_id")).distinct().withColumn("mode", F.when(F.col("query_id") % 3 == 0, "vector").otherwise("bm25"))
+    return retrieval.route(q, {"vector": v, "bm25": b}).select("query_id", "chunk_id", "rank", "mode")
+
+
+@query("select query_id, chunk_id, score, cast(row_number() over (partition by query_id order by score desc, seen, chunk_id) as int) as rank from (select query_id, chunk_id, max(score) as score, min(rank) as seen from {hits} group by 1, 2)")
+def ret9_merge_best(read):
+    h = read("hits").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("rank").alias("seen"))
+    return retrieval.merge_best(h).select("query_id", "chunk_id", "score", "rank")
+
+
+# -- fusion, rerank ---------------------------------------------------------------------
+
+
+@query("""with f as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) as score, min(case when source = 'vector' then rank else rank + 1000000 end) as seen, string_agg(distinct source, ',' order by source) as sources from {hits} where rank <= 50 group by 1, 2),
+    r as (select *, row_number() over (partition by query_id order by score desc, seen, chunk_id) as rank from f) select query_id, chunk_id, score, sources, cast(rank as int) as rank from r where rank <= 20""")
+def fus1_rrf(read):
+    return fusion.rrf(read("hits")).select("query_id", "chunk_id", "score", F.array_join("sources", ",").alias("sources"), "rank")
+
+
+@query("""with a as (select query_id, 1 as round_no, 1.0 as w, rank, chunk_id from {vector_hits} where rank <= 20 union all select query_id, 2, 0.9, rank, chunk_id from {bm25_hits} where rank <= 20),
+    f as (select query_id, chunk_id, round(sum(w / (60 + rank)), 9) as score, min(round_no * 1000 + rank) as seen from a group by 1, 2),
+    r as (select *, row_number() over (partition by query_id order by score desc, seen, chunk_id) as rank from f) select query_id, chunk_id, score, cast(rank as int) as rank from r where rank <= 20""")
+def fus2_rounds(read):
+    one = read("vector_hits").where("rank <= 20").withColumn("round_no", F.lit(1))
+    two = read("bm25_hits").where("rank <= 20").withColumn("round_no", F.lit(2))
+    both = one.unionByName(two)
+    attempts = both.select("query_id", "round_no").distinct().select("*", F.when(F.col("round_no") == 1, "INITIAL").otherwise("QUERY_REWRITE").alias("strategy"), F.lit(0.0).alias("weight"))
+    return fusion.fuse_rounds(attempts, both).select("query_id", "chunk_id", "score", "rank")
+
+
+def _sub_hits(read):
+    a = read("vector_hits").select("query_id", F.lit(1).alias("sub_query_ord"), F.lit("SQ1").alias("sub_query_id"), "rank", "chunk_id")
+    b = read("bm25_hits").select("query_id", F.lit(2).alias("sub_query_ord"), F.lit("SQ2").alias("sub_query_id"), "rank", "chunk_id")
+    return a.unionByName(b).where("rank <= 20")
+
+
+@query("""with a as (select query_id, 1 as o, rank, chunk_id from {vector_hits} where rank <= 20 union all select query_id, 2, rank, chunk_id from {bm25_hits} where rank <= 20),
+    f as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) as score, min(case when rank <= 2 then o * 1000 + rank end) as place, min(o * 1000 + rank) as seen from a group by 1, 2),
+    r as (select *, row_number() over (partition by query_id order by place nulls last, score desc, seen) as rank from f) select query_id, chunk_id, score, cast(rank as int) as rank from r where rank <= 6""")
+def fus3_subqueries(read):
+    return fusion.fuse_subqueries(_sub_hits(read), k=6, quota=2).select("query_id", "chunk_id", "score", "rank")
+
+
+@query()
+def fus4_quota(read):
+    c = fusion.fuse_subqueries(_sub_hits(read), k=20)
+    reranked = c.where("rank <= 5")
+    subs = c.select("query_id").distinct().withColumn("s", F.explode(F.array(F.lit(1), F.lit(2)))).select("query_id", F.col("s").alias("sub_query_ord"), F.concat(F.lit("SQ"), F.col("s").cast("string")).alias("sub_query_id"))
+    return fusion.restore_quota(reranked, c, subs, n=5).select("query_id", "rank", "chunk_id", "quota_restored")
+
+
+@query("""with a as (select distinct query_id, 'SQ1' as s, chunk_id from {vector_hits} where rank <= 5 union all select distinct query_id, 'SQ2', chunk_id from {bm25_hits} where rank <= 5),
+    n as (select query_id, s, count(*) as c from a group by 1, 2) select query_id, s as sub_query_id, c as candidate_count from n""")
+def fus5_coverage(read):
+    h = _sub_hits(read).where("rank <= 5").groupBy("query_id", "chunk_id").agg(F.collect_set("sub_query_id").alias("sub_query_ids"))
+    subs = h.select("query_id", F.explode("sub_query_ids").alias("sub_query_id")).distinct()
+    return fusion.coverage(subs, h, h).select("query_id", "sub_query_id", "candidate_count")
+
+
+@query("select query_id, chunk_id, cast(r as int) as rank from (select *, row_number() over (partition by query_id order by (chunk_id * 37 % 101) / 100.0 desc, rank) as r from {vector_hits} where rank <= 10) where r <= 5")
+def rnk1_rerank(read):
+    h = read("vector_hits").withColumn("content", F.lit("x"))
+    scores = h.select("query_id", "chunk_id", ((F.col("chunk_id") * 37 % 101) / 100.0).alias("rerank_score"))
+    return fusion.rerank(h, scores, limit=10).select("query_id", "chunk_id", "rank")
+
+
+@query("""with s as (select *, row_number() over (partition by query_id order by (chunk_id * 37 % 101) / 100.0 desc, rank) as r from {vector_hits} where rank <= 50 and query_id % 2 = 0)
+    select query_id, chunk_id, cast(r as int) as rank, 'SUCCESS' as status from s where r <= 5 union all select query_id, chunk_id, rank, 'FALLBACK' from {vector_hits} where query_id % 2 = 1 and rank <= 5""")
+def rnk3_fallback(read):
+    h = read("vector_hits").withColumn("content", F.lit("x"))
+    scores = h.where("query_id % 2 = 0").select("query_id", "chunk_id", ((F.col("chunk_id") * 37 % 101) / 100.0).alias("rerank_score"))
+    return fusion.rerank_or_fallback(h, scores).select("query_id", "chunk_id", "rank", "status")
+
+
+@query("select query_id, chunk_id, score from {vector_hits} where score >= 30000")
+def flt3_min_score(read):
+    return fusion.min_score(read("vector_hits").withColumn("rerank_score", F.col("score")), 30000).select("query_id", "chunk_id", "score")
+
+
+# -- context -------------------------------------------------------------------------------
+
+
+@query("""with h as (select query_id, chunk_id, rank, row_number() over (partition by query_id order by price desc, rank) as pos, greatest(1, floor(price / 40)) as tokens, price from (select query_id, chunk_id, rank, score as price from {vector_hits})),
+    b as (select *, sum(tokens) over (partition by query_id order by pos rows between unbounded preceding and current row) as total from h)
+    select query_id, chunk_id, cast(pos as int) as place, case when max(case when total > 6000 or pos > 8 then 1 else 0 end) over (partition by query_id) = 1 then 'TRUNCATED' else 'SUCCESS' end as status, total <= 6000 and pos <= 8 as fits from b""")
+def win5_budget(read):
+    h = read("vector_hits").select("query_id", "chunk_id", F.col("rank").alias("pos"), F.lit(0).alias("nth"), F.col("score").alias("sort_score"), F.greatest(F.lit(1), F.floor(F.col("score") / 40)).alias("tokens"))
+    kept = context.budget(h).select("query_id", "chunk_id", "place", "status", F.lit(True).alias("fits"))
+    rest = h.withColumn("place", F.row_number().over(structure.Window.partitionBy("query_id").orderBy(F.desc("sort_score"), "pos"))).join(kept.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return kept.unionByName(rest.select("query_id", "chunk_id", "place", F.lit("TRUNCATED").alias("status"), F.lit(False).alias("fits")))
+
+
+def _packed(read):
+    chunks = read("chunks")
+    hits = _bm25(read, 5).select("query_id", "chunk_id", "rank", "score", F.lit(None).cast("double").alias("rerank_score"))
+    return context.pack_context(hits, structure.build_relations(chunks), chunks), chunks
+
+
+@query()
+def ctx2_pack(read):
+    return _packed(read)[0]
+
+
+@query()
+def ctx4_render(read):
+    return context.render(*_packed(read))
+
+
+@query("select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(replace(replace(text, '. ', ' [C1] '), ', ', ' [C2] '), '\\[(C[0-9]+)\\]', 1))), ',') as used from {documents}")
+def fn7_citations(read):
+    marked = F.replace(F.replace("text", F.lit(". "), F.lit(" [C1] ")), F.lit(", "), F.lit(" [C2] "))
+    return read("documents").select("doc_id", F.array_join(T.citation_ids(marked), ",").alias("used"))
+
+
+@query("""select doc_id, case when contains(text, '. ') then 1 else 0 end + case when contains(text, ', ') then 1 else 0 end as n_used, case when contains(text, ', ') then 1 else 0 end as n_unknown, contains(text, '. ') and not contains(text, ', ') as passed from {documents}""")
+def ctx7_check(read):
+    d = read("documents")
+    marked = F.replace(F.replace("text", F.lit(". "), F.lit(" [C1] ")), F.lit(", "), F.lit(" [C2] "))
+    packed = d.select(F.col("doc_id").alias("query_id"), F.lit("C1").alias("citation_id"), F.col("doc_id").alias("chunk_id"))
+    c = context.check_citations(d.select(F.col("doc_id").alias("query_id"), marked.alias("answer")), packed)
+    return c.select(F.col("query_id").alias("doc_id"), F.size("used").alias("n_used"), F.size("unknown").alias("n_unknown"), "passed")
+
+
+@query("select doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n_blocks from {documents}")
+def ctx6_blocks(read):
+    return read("documents").select("doc_id", F.size(context.blocks(F.replace("text", F.lit("\n"), F.lit(context.SEPARATOR)))).cast("long").alias("n_blocks"))
+
+
+# -- metrics ----------------------------------------------------------------------------------
+
+_RANKED = """with g as (select *, case grade when 0 then 0 when 1 then 1 when 2 then 3 else 7 end as gain, row_number() over (partition by case_code order by grade desc, chunk_id) as ir from {case_gold}),
+    j as (select g.*, h.rank from g left join {case_hits} h on h.case_code = g.case_code and h.chunk_id = g.chunk_id),
+    m as (select case_code, count(*) as n, count(case when rank <= 1 then 1 end) as f1, count(case when rank <= 3 then 1 end) as f3, count(case when rank <= 5 then 1 end) as f5, count(case when rank <= 10 then 1 end) as f10, min(rank) as first,
+      coalesce(sum(case when rank <= 5 then gain / log2(rank + 1) end), 0) as d5, sum(case when ir <= 5 then gain / log2(ir + 1) end) as i5, coalesce(sum(case when rank <= 10 then gain / log2(rank + 1) end), 0) as d10, sum(case when ir <= 10 then gain / log2(ir + 1) end) as i10 from j group by 1),
+    rk as (select c.case_code, round(f1 / n, 6) as recall_at_1, round(f3 / n, 6) as recall_at_3, round(f5 / n, 6) as recall_at_5, round(f10 / n, 6) as recall_at_10, case when n is not null then round(coalesce(1.0 / first, 0), 6) end as reciprocal_rank,
+      case when i5 > 0 then round(d5 / i5, 6) end as ndcg_at_5, case when i10 > 0 then round(d10 / i10, 6) end as ndcg_at_10 from {cases} c left join m on m.case_code = c.case_code)"""
+_FACTS = """, fc as (select f.case_code, count(distinct f.fact_key) as n, count(distinct case when h.chunk_id is not null then f.fact_key end) as c from {case_facts} f left join {case_hits} h on h.case_code = f.case_code and h.chunk_id = f.chunk_id group by 1)"""
+_CITED = """, ct as (select coalesce(c.case_code, g.case_code) as case_code, count(c.chunk_id) as cited_count, count(g.chunk_id) as gold_count, count(case when c.chunk_id is not null and g.chunk_id is not null then 1 end) as true_positives from (select distinct case_code, chunk_id from {cited}) c full join (select distinct case_code, chunk_id from {case_gold}) g on c.case_code = g.case_code and c.chunk_id = g.chunk_id group by 1)"""
+
+
+@query(_RANKED + " select * from rk")
+def met2_met4_ranking(read):
+    return metrics.ranking_metrics(read("cases"), read("case_hits"), read("case_gold"))
+
+
+@query("with a as (select 1 as one)" + _FACTS + " select c.case_code, round(fc.c / fc.n, 6) as fact_coverage from {cases} c left join fc on fc.case_code = c.case_code")
+def met5_fact_coverage(read):
+    return metrics.fact_coverage(read("cases"), read("case_hits"), read("case_facts"))
+
+
+_CT = "select c.case_code, coalesce(cited_count, 0) as cited_count, coalesce(gold_count, 0) as gold_count, coalesce(true_positives, 0) as true_positives, case when gold_count > 0 and cited_count > 0 then round(true_positives / cited_count, 6) end as citation_precision, case when gold_count > 0 then round(true_positives / gold_count, 6) end as citation_recall from {cases} c left join ct on ct.case_code = c.case_code"
+
+
+@query("with a as (select 1 as one)" + _CITED + " " + _CT)
+def met6_citations(read):
+    return metrics.citation_metrics(read("cases"), read("cited"), read("case_gold"))
+
+
+@query(_RANKED + _FACTS + _CITED + f", x as ({_CT})" + " select rk.*, round(fc.c / fc.n, 6) as fact_coverage, x.cited_count, x.gold_count, x.true_positives, x.citation_precision, x.citation_recall, case when rk.case_code % 2 = 0 then 1 else 0 end as action_correct from rk left join fc on fc.case_code = rk.case_code join x on x.case_code = rk.case_code")
+def met8_case_metrics(read):
+    cases = read("cases").select("case_code", F.lit("ANSWER").alias("expected_action"), F.when(F.col("case_code") % 2 == 0, "ANSWER").otherwise("REFUSE").alias("actual_action"))
+    return metrics.case_metrics(cases, read("case_hits"), read("case_gold"), read("case_facts"), read("cited"))
+
+
+@query("select expected_action, count(case when actual_action = 'ANSWER' then 1 end) as \"ANSWER\", count(case when actual_action = 'REFUSE' then 1 end) as \"REFUSE\", count(case when actual_action = 'CLARIFY' then 1 end) as \"CLARIFY\", count(case when actual_action = 'ERROR' then 1 end) as \"ERROR\" from {results} group by 1")
+def met7_confusion(read):
+    return metrics.confusion(read("results"))
+
+
+@query("""with s as (select a.action, count(case when expected_action = a.action then 1 end) as support, count(case when actual_action = a.action then 1 end) as predicted, count(case when expected_action = a.action and actual_action = a.action then 1 end) as true_positives from {results} cross join (select unnest(['ANSWER', 'REFUSE', 'CLARIFY']) as action) a group by 1),
+    p as (select *, case when predicted > 0 then true_positives / predicted else 0 end as p, case when support > 0 then true_positives / support else 0 end as r from s)
+    select action, support, predicted, true_positives, round(p, 6) as "precision", round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 6) as f1 from p""")
+def met7_actions(read):
+    return metrics.action_metrics(read("results"))
+
+
+@query("select count(*) as total, cast(sum(case when expected_action = actual_action then 1 else 0 end) as bigint) as correct, round(avg(case when expected_action = actual_action then 1 else 0 end), 6) as accuracy, count(case when actual_action = 'ERROR' then 1 end) as errors from {results}")
+def met7_accuracy(read):
+    return metrics.action_accuracy(read("results"))
+
+
+@query("""select case_type, count(*) as total, count(case when status = 'SUCCESS' then 1 end) as completed, count(case when status = 'FAILED' then 1 end) as failed, count(case when actual_action = 'ERROR' then 1 end) as errors, round(avg(recall_at_10), 6) as recall_at_10, round(avg(fact_coverage), 6) as fact_coverage,
+    round(avg(citation_recall), 6) as citation_recall, round(avg(faithfulness_score), 6) as faithfulness_score, round(avg(completeness_score), 6) as completeness_score, count(judge_passed) as judged, round(avg(judge_passed), 6) as judge_pass_rate, round(quantile_cont(latency_ms, 0.5), 6) as latency_p50, round(quantile_cont(latency_ms, 0.95), 6) as latency_p95 from {results} group by rollup (case_type)""")
+def met9_run_summary(read):
+    return metrics.run_summary(read("results"))
+
+
+@query("""select 'case_type' as slice, case_type as value, count(*) as total, count(case when judge_passed = 1 then 1 end) as passed, round(avg(judge_passed), 6) as judge_pass_rate, round(avg(recall_at_10), 6) as recall_at_10, round(avg(fact_coverage), 6) as fact_coverage from {results} group by 2
+    union all select 'difficulty', coalesce(difficulty, 'UNKNOWN'), count(*), count(case when judge_passed = 1 then 1 end), round(avg(judge_passed), 6), round(avg(recall_at_10), 6), round(avg(fact_coverage), 6) from {results} group by 2""")
+def met10_slices(read):
+    return metrics.slices(read("results").withColumn("primary_code", F.when(F.col("judge_passed") == 1, "PASS").otherwise("X")))
+
+
+_STAGES = """with f as (select distinct case_code, chunk_id, fact_key from {case_facts}), k as (select distinct case_code, fact_key from f),
+    st as (select f.case_code, f.fact_key, max(case when h.rank <= 20 then 1 else 0 end) as merged, max(case when h.rank <= 10 then 1 else 0 end) as rerank, max(case when h.rank <= 5 then 1 else 0 end) as final from f left join {case_hits} h on h.case_code = f.case_code and h.chunk_id = f.chunk_id group by 1, 2),
+    cv as (select case_code, round(avg(merged), 6) as merged, round(avg(rerank), 6) as rerank, round(avg(final), 6) as final, coalesce(string_agg(case when final = 0 then fact_key end, ',' order by fact_key), '') as missing_final from st group by 1)"""
+
+
+def _stage_hits(read):
+    h = read("case_hits")
+    return h.select("case_code", F.lit("hybrid").alias("channel"), "chunk_id").unionByName(h.where("rank <= 10").select("case_code", F.lit("rerank").alias("channel"), "chunk_id")).unionByName(h.where("rank <= 5").select("case_code", F.lit("FINAL").alias("channel"), "chunk_id"))
+
+
+@query(_STAGES + " select c.case_code, cv.merged, cv.rerank, cv.final, cv.missing_final from {cases} c left join cv on cv.case_code = c.case_code")
+def met11_stages(read):
+    return metrics.stage_coverage(read("cases"), _stage_hits(read), read("case_facts")).select("case_code", "merged", "rerank", "final", F.array_join("missing_final", ",").alias("missing_final"))
+
+
+_ATTR = _STAGES + """, r as (select c.case_code, case c.case_code % 5 when 0 then 'REFUSE' when 1 then 'CLARIFY' else 'ANSWER' end as expected, case c.case_code % 7 when 0 then 'REFUSE' when 1 then 'CLARIFY' when 2 then 'ERROR' else 'ANSWER' end as actual, case when c.case_code % 11 > 0 then case when c.case_code % 3 > 0 then 1 else 0 end end as judged, (c.case_code % 10) / 9.0 as completeness, cv.merged, cv.rerank, cv.final from {cases} c left join cv on cv.case_code = c.case_code),
+    atr as (select case_code, case when actual = 'ERROR' then 'EXECUTION_ERROR' when expected = 'REFUSE' and actual = 'ANSWER' then 'FALSE_ANSWER' when expected = 'REFUSE' and actual <> 'REFUSE' then 'ACTION_MISMATCH' when expected = 'REFUSE' then case when judged = 1 then 'PASS' else 'REFUSAL_QUALITY_FAILURE' end
+      when expected = 'CLARIFY' and actual <> 'CLARIFY' then 'CLARIFICATION_NOT_SUPPORTED' when expected = 'CLARIFY' then case when judged = 1 then 'PASS' else 'CLARIFICATION_QUALITY_FAILURE' end
+      when merged = 0 then 'RETRIEVAL_MISS' when merged < 1 then 'RETRIEVAL_PARTIAL' when rerank = 0 then 'RERANK_DROPPED' when rerank < merged then 'RERANK_PARTIAL_DROP' when final = 0 then 'CONTEXT_DROPPED' when final < rerank then 'CONTEXT_PARTIAL_DROP'
+      when actual = 'REFUSE' then 'FALSE_REFUSAL' when actual <> 'ANSWER' then 'ACTION_MISMATCH' when completeness < 0.8 then 'ANSWER_INCOMPLETE' when judged is null then 'JUDGE_MISSING' when judged <> 1 then 'ANSWER_QUALITY_FAILURE' else 'PASS' end as primary_code from r)"""
+
+
+def _attributed(read):
+    c = F.col("case_code")
+    null = F.lit(None).cast("double")
+    cases = read("cases").select(
+        "case_code", F.when(c % 5 == 0, "REFUSE").when(c % 5 == 1, "CLARIFY").otherwise("ANSWER").alias("expected_action"), F.when(c % 7 == 0, "REFUSE").when(c % 7 == 1, "CLARIFY").when(c % 7 == 2, "ERROR").otherwise("ANSWER").alias("actual_action"),
+        F.when(c % 11 > 0, F.when(c % 3 > 0, 1).otherwise(0)).alias("judge_passed"), F.lit("SUCCESS").alias("status"), F.lit("DIRECT").alias("case_type"), ((c % 10) / 9.0).alias("completeness_score"),
+        *[null.alias(x) for x in ("citation_recall", "citation_entailment_score", "faithfulness_score", "answer_relevance_score", "conflict_handling_score")],
+    )
+    return metrics.attribute(cases, metrics.stage_coverage(read("cases"), _stage_hits(read), read("case_facts")))
+
+
+@query(_ATTR + " select case_code, primary_code from atr")
+def met12_attribution(read):
+    return _attributed(read).select("case_code", "primary_code")
+
+
+@query(_ATTR + ", s as (select primary_code as code, count(*) as n from atr group by 1), p as (select code, row_number() over (order by n desc, code) as priority from s where code <> 'PASS') select s.code, s.n, round(s.n / (select sum(n) from s), 6) as share, cast(p.priority as int) as priority from s left join p on p.code = s.code")
+def met13_distribution(read):
+    return metrics.attribution_summary(_attributed(read))
+
+
+@query("select o_custkey as doc_id, count(*) as expected, count(case when o_orderstatus = 'O' then 1 end) as success, count(case when o_orderstatus = 'F' then 1 end) as failed, count(case when o_orderstatus = 'P' then 1 end) as pending, count(case when o_orderstatus = 'O' then 1 end) = count(*) as all_succeeded from {orders} group by 1")
+def met16_tasks(read):
+    o = read("orders").select(F.col("o_custkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "SUCCESS").when(F.col("o_orderstatus") == "F", "FAILED").when(F.col("o_orderstatus") == "P", "PENDING").otherwise("OTHER").alias("status"))
+    return metrics.task_summary(o, o.groupBy("doc_id").agg(F.count("*").alias("expected"))).select("doc_id", "expected", "success", "failed", "pending", "all_succeeded")
+
+
+@query("""with r as (select case_code, (user_id % 101) / 100.0 as top1, (value % 1.0) as top3_mean, fact_coverage from {results} x join {events} e on e.event_id = x.case_result_id where fact_coverage is not null),
+    g as (select a / 100.0 as t1, b / 100.0 as t3 from range(45, 76, 5) x(a) cross join range(40, 71, 5) y(b)),
+    s as (select t1, t3, count(*) as n, count(case when fact_coverage < 1 then 1 end) as fails, count(case when fact_coverage < 1 and top1 < t1 and top3_mean < t3 then 1 end) as found, count(case when fact_coverage >= 1 and top1 < t1 and top3_mean < t3 then 1 end) as fh, count(case when top1 < t1 and top3_mean < t3 then 1 end) as hits from r cross join g group by 1, 2),
+    o as (select t1, t3, n, round(found / fails, 6) as fr, round(case when n > fails then fh / (n - fails) else 0 end, 6) as ft, round(hits / n, 6) as tr, round(found / fails - 0.35 * case when n > fails then fh / (n - fails) else 0 end - 0.05 * hits / n, 6) as ob from s where fails > 0)
+    select cast(t1 as double) as top1_threshold, cast(t3 as double) as top3_threshold, fr as failure_recall, ft as false_trigger_rate, tr as trigger_rate, ob as objective, n as case_count from o order by ob desc, ft, tr, t1, t3 limit 1""")
+def met18_calibrate(read):
+    e = read("events").select(F.col("event_id").alias("case_result_id"), ((F.col("user_id") % 101) / 100.0).alias("top1"), (F.col("value") % 1.0).alias("top3_mean"))
+    return metrics.calibrate(read("results").select("case_result_id", "fact_coverage").join(e, "case_result_id"), "validation")
+
+
+@query("select event_id, round((case when event_type = 'view' then 0 else 1 end + case when user_id % 2 = 0 then 1 else 0 end + 1 + (1 - (event_id % 10) / 10.0) + 1) / 5, 4) as score, event_type <> 'view' and user_id % 2 = 0 and (event_id % 10) / 10.0 <= 0.15 as passed from {events}")
+def met20_review(read):
+    r = read("events").select("event_id", (F.col("event_type") != "view").alias("expected_action_correct"), (F.col("user_id") % 2 == 0).alias("reference_answer_supported"), F.lit(True).alias("evidence_complete"), ((F.col("event_id") % 10) / 10.0).alias("ambiguity_score"), F.lit(False).alias("semantic_duplicate"))
+    return metrics.review_score(r).select("event_id", "score", "passed")
+
+
+@query("select c_nationkey as dataset_id, count(*) as n_documents, coalesce((select count(*) from {supplier} s where s.s_nationkey = c.c_nationkey), 0) as n_cases from {customer} c group by 1")
+def met21_counts(read):
+    d = read("customer").select(F.col("c_nationkey").alias("dataset_id"))
+    return metrics.dataset_counts(d.distinct(), d, read("supplier").select(F.col("s_nationkey").alias("dataset_id")))
+
+
+# -- sets, dedup, upserts --------------------------------------------------------------------
+
+
+@query("select doc_id, sha256(text) as sha256, row_number() over (partition by text order by doc_id) > 1 as duplicate from {documents}")
+def set1_files(read):
+    return dataset.dedup_files(read("documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).select(F.col("path").alias("doc_id"), "sha256", "duplicate")
+
+
+@query("select min(doc_id) as doc_id from {documents} group by lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))")
+def set2_lexical(read):
+    return dataset.dedup_lexical(read("documents").select(F.col("doc_id").alias("case_code"), F.col("text").alias("question"))).select(F.col("case_code").alias("doc_id"))
+
+
+@query("""select a.label, b.vec_id as later, a.vec_id as earlier, round(list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / (sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[])))), 6) as similarity
+    from {embeddings} a join {embeddings} b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(cast(a.embedding as double[]), cast(b.embedding as double[])) / (sqrt(list_dot_product(cast(a.embedding as double[]), cast(a.embedding as double[]))) * sqrt(list_dot_product(cast(b.embedding as double[]), cast(b.embedding as double[])))) >= 0.35""")
+def set3_pairs(read):
+    rows = read("embeddings").select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+    return dataset.semantic_pairs(rows, ("label",), 0.35).select("label", "later", "earlier", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def set3_semantic(read):
+    rows = read("embeddings").select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
+    return dataset.dedup_semantic(rows, ("label",), 0.45, 0.35).select("label", "ord", "mark", "nearest", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""with r as (select query_id, chunk_id, score, rank, row_number() over (partition by query_id, chunk_id order by score desc, rank) as n from (select query_id, chunk_id, rank, score + case when source = 'bm25' then 1 else 0 end as score from {hits})) select query_id, chunk_id, score, rank from r where n = 1""")
+def set5_context_dedup(read):
+    h = read("hits").select("query_id", "chunk_id", F.col("rank").alias("pos"), F.lit(0).alias("nth"), (F.col("score") + (F.col("source") == "bm25").cast("int")).alias("sort_score"))
+    return context.dedup_context(h).select("query_id", "chunk_id", F.col("sort_score").alias("score"), F.col("pos").alias("rank"))
+
+
+@query("select c_custkey, 'new' as origin, c_acctbal * 2 as bal from {customer} where c_custkey % 3 = 0 union all select c_custkey, 'old', c_acctbal from {customer} where c_custkey % 3 <> 0")
+def snk4_upsert(read):
+    t = read("customer").select("c_custkey", F.lit("old").alias("origin"), F.col("c_acctbal").alias("bal"))
+    b = t.where("c_custkey % 3 = 0").select("c_custkey", F.lit("new").alias("origin"), (F.col("bal") * 2).alias("bal"), F.lit(2).alias("o"))
+    return dataset.upsert(t, b.unionByName(b.withColumn("bal", F.lit(0.0)).withColumn("o", F.lit(1))), "c_custkey", "o")
+
+
+@query("select chunk_id, doc_id, 'new' as origin from {chunks} where doc_id % 8 = 0 union all select chunk_id, doc_id, 'old' from {chunks} where doc_id % 8 <> 0")
+def snk3_replace(read):
+    c = read("chunks").select("chunk_id", "doc_id", F.lit("old").alias("origin"))
+    return dataset.replace_doc(c, c.where("doc_id % 8 = 0").withColumn("origin", F.lit("new")))
+
+
+@query("""with l as (select sha256('{{"c_custkey":' || c_custkey || ',"c_nationkey":' || c_nationkey || '}}') as h from {customer}), b as (select sha256(string_agg(h, '' order by h)) as h from l group by substr(h, 1, 3)) select sha256(string_agg(h, '' order by h)) as sha256 from b""".replace("{{", "\x7b").replace("}}", "\x7d"))
+def snk2_digest(read):
+    return dataset.frozen_digest(read("customer").select("c_custkey", "c_nationkey"))
+
+
+# -- selection, checks -------------------------------------------------------------------------
+
+
+@query("""with s as (select *, row_number() over (partition by case_type, difficulty order by completeness_score desc, case_code) as r from {results} where judge_passed = 1 and difficulty is not null)
+    select case_code, 'CASE_' || case_type || '_' || lpad(cast(row_number() over (partition by case_type order by difficulty, r) as varchar), 3, '0') as new_code from s where r <= 5""")
+def srt1_quota(read):
+    r = read("results")
+    cases = r.select("case_code", F.col("difficulty").alias("dataset_split"), "case_type", F.lit(None).cast("string").alias("subtype"), F.col("completeness_score").alias("review_score"), F.when(F.col("judge_passed") == 1, "PASSED").otherwise("REJECTED").alias("review_status"), F.lit("ACTIVE").alias("status"))
+    q = r.where("difficulty is not null").select(F.col("difficulty").alias("split"), "case_type").distinct().select(F.when(F.col("split") == "EASY", 1).otherwise(2).alias("o"), "split", "case_type", F.lit(None).cast("string").alias("subtype"), F.lit(5).alias("n"))
+    q = q.withColumn("ord", F.concat(F.col("o").cast("string"), F.col("case_type"))).drop("o")
+    return dataset.select_quota(cases, q)[0].select("case_code", "new_code")
+
+
+@query("select o_custkey, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as splits from {orders} group by 1 having count(distinct o_orderstatus) > 1")
+def val5_leakage(read):
+    o = read("orders").select(F.col("o_custkey").alias("source_group"), F.col("o_orderstatus").alias("dataset_split"))
+    return dataset.check_leakage(o).select(F.col("source_group").alias("o_custkey"), F.array_join("splits", ",").alias("splits"))
+
+
+@query("select event_type as value, count(*) as actual, 2000 as expected from {events} group by 1 having count(*) <> 2000")
+def val4_counts(read):
+    e = read("events")
+    want = e.select(F.col("event_type").alias("value")).distinct().withColumn("n", F.lit(2000))
+    return dataset.check_counts(e, "event_type", want)
+
+
+@query("""with d as (select chunk_id as doc_id, chunk_type as doc_type, content, (chunk_id % 5) as n_parts from {chunks})
+    select doc_id, check_item, check_result from (select doc_id, case doc_type when 'FAQ' then 'FAQ_NO_QA' when 'SOP' then 'SOP_NO_STEPS' when 'RULE' then 'RULE_NO_CLAUSES' else 'MANUAL_NO_STEPS' end as check_item, case doc_type when 'FAQ' then 'FAIL' else 'WARN' end as check_result from d where n_parts = 0
+    union all select doc_id, 'BASIC_CHECK', 'PASS' from d where n_parts > 0 and trim(content) <> '' union all select doc_id, 'CONTENT_EMPTY', 'FAIL' from d where trim(content) = '')""")
+def val2_documents(read):
+    c = read("chunks").select(F.col("chunk_id").alias("doc_id"), F.col("chunk_type").alias("doc_type"), F.col("content").alias("clean_content"), (F.col("chunk_id") % 5).alias("n_parts"))
+    return dataset.check_documents(c)
+
+
+@query("""with c as (select event_id as case_code, event_type as q, value from {events}), r as (select case_code, row_number() over (partition by q order by case_code) as n, value from c)
+    select 'DUPLICATE_QUESTION' as code, cast(case_code as varchar) as entity_code from r where n > 1 union all select 'CASE_REVIEW_SCORE_TOO_LOW', cast(case_code as varchar) from r where value < 0.88 union all select 'CASE_NOT_ACTIVE', cast(case_code as varchar) from r where case_code % 10 = 0""")
+def val3_dataset(read):
+    e = read("events")
+    cases = e.select(F.col("event_id").alias("case_code"), F.col("event_type").alias("question"), F.lit(None).cast("string").alias("normalized_question"), F.lit("PASSED").alias("review_status"), F.col("value").alias("review_score"), F.when(F.col("event_id") % 10 == 0, "DRAFT").otherwise("ACTIVE").alias("status"), F.lit("TEST").alias("dataset_split"))
+    docs = read("region").select(F.col("r_name").alias("source_doc_code"), F.lit("PASSED").alias("review_status"), F.lit(1.0).alias("review_score"), F.lit(1).cast("long").alias("mapped_doc_id"))
+    evidence = e.limit(0).select(F.col("event_id").alias("case_code"), F.lit("x").alias("source_doc_code"), F.lit("MAPPED").alias("mapping_status"), F.lit(1).cast("long").alias("mapped_doc_id"), F.lit(1).cast("long").alias("mapped_chunk_id"))
+    return dataset.validate_dataset(docs, cases, evidence)
+
+
+# -- experiments --------------------------------------------------------------------------------
+
+_SIDES = """with e as (select *, (event_id - event_id % 2) / 2 as k from {events}), p as (select cast(c.k as bigint) as case_code, c.event_type as case_type, case when c.event_id % 8 > 0 then (c.user_id % 5) / 4.0 end as c_fc, case when t.event_id % 6 > 0 then (t.user_id % 5) / 4.0 end as t_fc, c.value as c_l, t.value as t_l, 1 + t.user_id % 2 as t_rounds, case t.user_id % 4 when 1 then 'QUERY_REWRITE' else 'FORCE_BM25' end as strategy, c.event_type = t.event_type as plan_match from e c join e t on c.k = t.k and c.event_id % 2 = 0 and t.event_id % 2 = 1)"""
+
+
+def _pairs(read):
+    e = read("events").select(((F.col("event_id") - F.col("event_id") % 2) / 2).cast("long").alias("case_code"), (F.col("event_id") % 2).alias("side"), "event_id", F.col("event_type").alias("case_type"), "user_id", F.col("value").alias("latency_ms"))
+    e = e.withColumns({"fact_coverage": F.when(F.col("event_id") % F.when(F.col("side") == 0, 8).otherwise(6) > 0, (F.col("user_id") % 5) / 4.0), "retrieval_rounds": 1 + F.col("user_id") % 2, "retry_strategies": F.array(F.when(F.col("user_id") % 4 == 1, "QUERY_REWRITE").otherwise("FORCE_BM25")), "kind": F.col("case_type")})
+    p = experiment.pair(e.where("side = 0").drop("side", "event_id", "user_id"), e.where("side = 1").drop("side", "event_id", "user_id"))
+    return p.withColumn("plan_match", F.col("c_kind") == F.col("t_kind"))
+
+
+@query(_SIDES + ", d as (select case_type, coalesce(c_fc, 0) as c, coalesce(t_fc, 0) as t, round(coalesce(t_fc, 0) - coalesce(c_fc, 0), 6) as delta from p) select 'fact_coverage' as metric, count(*) as cases, round(avg(c), 6) as control, round(avg(t), 6) as treatment, round(avg(t) - avg(c), 6) as delta, count(case when delta > 1e-9 then 1 end) as improved, count(case when delta < -1e-9 then 1 end) as regressed, count(case when abs(delta) <= 1e-9 then 1 end) as unchanged, count(case when c >= 1 - 1e-9 then 1 end) as control_full, count(case when t >= 1 - 1e-9 then 1 end) as treatment_full from d")
+def exp1_compare(read):
+    return experiment.compare(_pairs(read), ("fact_coverage",))
+
+
+@query(_SIDES + " select count(*) as cases, round(avg(c_l), 6) as control_mean, round(avg(t_l), 6) as treatment_mean, round(avg(t_l) - avg(c_l), 6) as mean_delta, round(quantile_cont(c_l, 0.5), 6) as control_p50, round(quantile_cont(t_l, 0.5), 6) as treatment_p50, round(quantile_cont(c_l, 0.95), 6) as control_p95, round(quantile_cont(t_l, 0.95), 6) as treatment_p95, round(quantile_cont(t_l, 0.95) - quantile_cont(c_l, 0.95), 6) as p95_delta from p")
+def exp1_latency(read):
+    return experiment.latency(_pairs(read))
+
+
+@query(_SIDES + " select count(*) as cases, count(case when t_rounds > 1 then 1 end) as triggered, round(avg(case when t_rounds > 1 then 1 else 0 end), 6) as trigger_rate, round(avg(case when plan_match then 1 else 0 end), 6) as plan_match_rate from p")
+def exp1_triggers(read):
+    return experiment.triggers(_pairs(read))
+
+
+@query(_SIDES + ", d as (select strategy, round(coalesce(t_fc, 0) - coalesce(c_fc, 0), 6) as delta from p where t_rounds > 1) select strategy, count(*) as occurrences, count(*) as cases, count(case when delta > 1e-9 then 1 end) as improved, count(case when delta < -1e-9 then 1 end) as regressed, count(case when abs(delta) <= 1e-9 then 1 end) as unchanged from d group by 1")
+def exp2_strategies(read):
+    return experiment.by_strategy(_pairs(read))
+
+
+@query(_SIDES + ", d as (select case_type, coalesce(c_fc, 0) as c, coalesce(t_fc, 0) as t, round(coalesce(t_fc, 0) - coalesce(c_fc, 0), 6) as delta from p) select case_type, 'fact_coverage' as metric, count(*) as cases, round(avg(c), 6) as control, round(avg(t), 6) as treatment, count(case when delta > 1e-9 then 1 end) as improved from d group by 1")
+def exp3_case_types(read):
+    return experiment.compare(_pairs(read), ("fact_coverage",), by=("case_type",)).select("case_type", "metric", "cases", "control", "treatment", "improved")
+
+
+@query(_SIDES + " select case_code, round(coalesce(t_fc, 0) - coalesce(c_fc, 0), 6) as delta from p order by abs(round(coalesce(t_fc, 0) - coalesce(c_fc, 0), 6)) desc, case_code limit 30")
+def srt2_worst(read):
+    return experiment.worst_cases(_pairs(read)).select("case_code", "delta")
+
+
+@query("select run_id, count(case when status = 'SUCCESS' then 1 end) as completed, count(case when status = 'FAILED' then 1 end) as failed, case when count(case when status = 'FAILED' then 1 end) = 0 then 'SUCCESS' when count(case when status = 'SUCCESS' then 1 end) > 0 then 'PARTIAL' else 'FAILED' end as run_status from {results} group by 1")
+def exp9_run_status(read):
+    return experiment.run_status(read("results"))
+
+
+@query("select h.case_code, h.chunk_id, h.rank, g.chunk_id is not null as is_gold from {case_hits} h left join (select distinct case_code, chunk_id from {case_gold}) g on g.case_code = h.case_code and g.chunk_id = h.chunk_id")
+def exp10_gold(read):
+    return experiment.flag_gold(read("case_hits"), read("case_gold")).select("case_code", "chunk_id", "rank", "is_gold")
+
+
+@query("select case_result_id, case when status = 'SUCCESS' and actual_action <> 'ERROR' and judge_passed = 1 then 'SKIP' else 'RESET' end as plan from {results}")
+def exp8_resume(read):
+    r = read("results")
+    return experiment.resume_plan(r, r.where("judge_passed = 1").select("case_result_id")).select("case_result_id", "plan")
+
+
+@query("select case_code, case when cast(('0x' || substr(sha256(case_code), 1, 2)) as int) % 2 = 0 then 'control' else 'treatment' end as first_side from {results}")
+def exp7_sides(read):
+    return experiment.assign_side(read("results")).select("case_code", "first_side")
+
+
+# -- analysis -------------------------------------------------------------------------------------
+
+
+@query("select conv_id, turn, 'FAQ,SOP,RULE,MANUAL' as types, case when regexp_matches(text, '[0-9]+\\.[0-9]+|[A-Z][0-9]{3,}|/api/[a-zA-Z0-9_/-]+|[a-zA-Z_]+_status') then 'bm25' else 'hybrid' end as mode, cast(0.4 as double) as confidence from {conversations}")
+def ana1_ana4_analyse(read):
+    a = analysis.analyse(read("conversations"), "text")
+    return a.select("conv_id", "turn", F.array_join("target_types", ",").alias("types"), "mode", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query("select conv_id, turn, length(trim(text, ' ' || chr(10))) >= 18 and length(text) - length(replace(text, '?', '')) >= 2 as needed from {conversations}")
+def ana5_gate(read):
+    return read("conversations").select("conv_id", "turn", analysis.needs_decomposition(F.col("text"), F.lit(False)).alias("needed"))
+
+
+def _features(read):
+    c = read("chunks").select("chunk_id", "doc_id", "chunk_type", "content", "title", "title_path", "source_section", F.lit(None).cast("string").alias("version"))
+    hits = _bm25(read).select("query_id", "chunk_id", "rank", "score").join(c, "chunk_id").withColumn("sources", F.array(F.lit("bm25"), F.when(F.col("chunk_id") % 2 == 0, "vector").otherwise("other")))
+    q = read("questions").select("query_id", F.col("query").alias("question"), F.array(F.lit("RULE"), F.lit("SOP")).alias("target_types"))
+    top = hits.where("rank <= 5").withColumn("rerank_score", F.round(1.0 / (1 + F.col("rank")), 6))
+    return analysis.quality_features(q, hits, top)
+
+
+@query()
+def ana7_features(read):
+    return _features(read).drop("exact_terms")
+
+
+@query()
+def ana8_policy(read):
+    return analysis.coverage_override(analysis.quality_policy(_features(read)).withColumns({"decomposed": F.col("query_id") % 2 == 0, "coverage_rate": F.lit(0.5)})).select("query_id", "quality_score", "quality", "retry_strategy", "reason")
+
+
+@query("select case_code, case when status = 'FAILED' then 'ERROR' else 'ANSWER' end as action from {results}")
+def act4_actions(read):
+    return read("results").select("case_code", analysis.actual_action(F.col("status")).alias("action"))
+
+
+# -- incremental ----------------------------------------------------------------------------------
+
+
+@query("""select coalesce(o.k, n.k) as chunk_id, coalesce(n.h, o.h) as text_hash, case when n.k is not null and (o.k is null or o.h <> n.h or o.s = 'PROCESSING') then 'PENDING' else o.s end as status
+    from (select doc_id as k, sha256(text) as h, case when doc_id % 7 = 0 then 'PROCESSING' else 'SUCCESS' end as s from {documents} where doc_id % 5 <> 0) o full join (select doc_id as k, case when doc_id % 3 = 0 then sha256(text || 'x') else sha256(text) end as h from {documents} where doc_id % 4 <> 0) n on o.k = n.k""")
+def str2_changes(read):
+    d = read("documents")
+    old = d.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("text_hash"), F.when(F.col("doc_id") % 7 == 0, "PROCESSING").otherwise("SUCCESS").alias("status"), F.lit(0).alias("retry_count"))
+    new = d.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("chunk_id"), F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("text_hash"))
+    return jobs.detect_changes(old, new).drop("retry_count")
+
+
+@query("select user_id as doc_id, arg_max(event_type, event_id) as status from {events} group by 1")
+def str4_status(read):
+    return jobs.document_status(read("events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")))
+
+
+@query("select time_bucket(interval 5 minutes, finished_at) as window_start, count(*) as total, count(case when status = 'FAILED' then 1 end) as failed from {results} group by 1")
+def str5_rolling(read):
+    return jobs.rolling_summary(read("results").select("finished_at", "status", "latency_ms")).select("window_start", "total", "failed")
+
+
+@query()
+def flagship(read):
+    """Questions → BM25 and k-NN → fusion → packed contexts with citations."""
+    chunks = read("chunks")
+    hits = _fused(read).select("query_id", "chunk_id", "rank", "score", F.lit(None).cast("double").alias("rerank_score"))
+    return context.pack_context(hits.where("rank <= 10"), structure.build_relations(chunks), chunks)
