@@ -43,7 +43,7 @@ CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|s
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
-#: Ending of an element that a new one closes.
+#: Elements that a new element of a kind ends; any block ends a paragraph.
 CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 NEAR, SIBLING = 0.6, 0.4
@@ -121,12 +121,13 @@ def blocks(html: str) -> list[Block]:
                 if tag in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :]):
                     leave(k)
             continue
-        if tag in CLOSES:
+        if tag in BLOCKS:
+            closed = CLOSES.get(tag, set()) | {"p"}
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES[tag]:
+                if stack[k][0] in closed:
                     leave(k)
                     break
-                if stack[k][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td", "li", "blockquote"):
+                if stack[k][0] in BLOCKS:
                     break
         if tag == "body":
             for k, s in enumerate(stack):
