@@ -378,7 +378,7 @@ def _finish(schema: pa.Schema, texts: bool):
 def remove_repeats(documents: DataFrame, length: int = LENGTH, texts: bool = True, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of struct(start, stop)) and,
     with ``texts``, the bytes ``kept`` of every row of ``documents`` (doc_id, text)."""
-    buckets = buckets or 3 * partitions(documents.sparkSession)
+    buckets = buckets or partitions(documents.sparkSession)
     rows = documents.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"),
         F.hash("text").alias("twin"),
