@@ -259,7 +259,7 @@ def validate_fact(facts: DataFrame, candidates: DataFrame, least: float = DEFAUL
         .when(F.col("body").isNull(), "not a candidate")
         .when(~F.contains(F.regexp_replace("body", r"(?U)\s+", ""), F.regexp_replace("evidence_quote", r"(?U)\s+", "")), "quote not in the chunk")
     )
-    return joined.drop("body").withColumn("intermediate_fact", fact).withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    return joined.withColumn("reason", reason).withColumn("intermediate_fact", fact).withColumn("accepted", F.col("reason").isNull()).drop("body")
 
 
 def dependent_queries(plans: DataFrame, facts: DataFrame) -> DataFrame:
