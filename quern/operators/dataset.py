@@ -373,7 +373,7 @@ def select_blueprints(blueprints: DataFrame, codes: DataFrame | None = None, n:
 
 def _numbered_docs(docs: DataFrame) -> DataFrame:
     """docs (split, source_doc_code, topic, doc_type, facts, required_identifiers) numbered within their split."""
-    return docs.withColumn("d", F.row_number().over(Window.partitionBy("split").orderBy("source_doc_code")) - 1).withColumn("D", F.count("*").over(Window.partitionBy("split")))
+    return docs.withColumn("d", F.row_number().over(Window.partitionBy("split").orderBy("source_doc_code")) - 1).withColumn("n_docs", F.count("*").over(Window.partitionBy("split")))
 
 
 def plan_seeds(quota: DataFrame, docs: DataFrame) -> DataFrame:
@@ -381,10 +381,10 @@ def plan_seeds(quota: DataFrame, docs: DataFrame) -> DataFrame:
     document i and fact i, round and round; MULTI_HOP takes documents 2i and 2i+1, MULTI_CONDITION facts i and i+1."""
     n = quota.where("case_type not in ('CONFLICT', 'NO_ANSWER') and n > 0").select("split", "case_type", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i"))
     d = _numbered_docs(docs)
-    size = d.select("split", "D").distinct()
+    size = d.select("split", "n_docs").distinct()
     hop = F.col("case_type") == "MULTI_HOP"
-    first = F.when(hop, F.col("i") * 2).otherwise(F.col("i")) % F.col("D")
-    second = F.when((F.col("i") * 2 + 1) % F.col("D") == first, F.col("i") * 2 + 2).otherwise(F.col("i") * 2 + 1) % F.col("D")
+    first = F.when(hop, F.col("i") * 2).otherwise(F.col("i")) % F.col("n_docs")
+    second = F.when((F.col("i") * 2 + 1) % F.col("n_docs") == first, F.col("i") * 2 + 2).otherwise(F.col("i") * 2 + 1) % F.col("n_docs")
     placed = n.join(size, "split").select("*", first.alias("d1"), F.when(hop, second).alias("d2"))
     pick = lambda a, k: F.get(a, (k % F.size(a)).cast("int"))
     one = d.select("split", F.col("d").alias("d1"), F.struct("source_doc_code", "facts", "required_identifiers").alias("x"))
@@ -417,7 +417,7 @@ def plan_pool(quota: DataFrame, multiplier: float = 1.25) -> DataFrame:
 def plan_supplement(docs: DataFrame, split: str, case_type: str, pool: int, count: int, round_no: int) -> DataFrame:
     """(i, source_doc_code, fact_key): facts the pool did not use first, then all facts, offset by the round."""
     d = _numbered_docs(docs.where(F.col("split") == split))
-    used = d.sparkSession.range(pool).select(F.col("id").alias("i")).join(d.select("d", "D", "source_doc_code", "facts"), F.col("i") % F.col("D") == F.col("d")).select("source_doc_code", F.get("facts", (F.col("i") % F.size("facts")).cast("int")).alias("fact_key")).distinct().withColumn("used", F.lit(True))
+    used = d.sparkSession.range(pool).select(F.col("id").alias("i")).join(d.select("d", "n_docs", "source_doc_code", "facts"), F.col("i") % F.col("n_docs") == F.col("d")).select("source_doc_code", F.get("facts", (F.col("i") % F.size("facts")).cast("int")).alias("fact_key")).distinct().withColumn("used", F.lit(True))
     units = d.select("d", "source_doc_code", F.posexplode("facts").alias("f", "fact_key")).join(used, ["source_doc_code", "fact_key"], "left")
     both = units.where("used is null").withColumn("part", F.lit(0)).unionByName(units.withColumn("part", F.lit(1)))
     placed = both.withColumn("u", F.row_number().over(Window.orderBy("part", "d", "f")) - 1)

@@ -33,8 +33,8 @@ VIEWS = {
         case event_id % 5 when 0 then 'REFUSE' when 1 then 'CLARIFY' else 'ANSWER' end as expected_action,
         case when event_type = 'error' then 'ERROR' when user_id % 7 = 0 then 'REFUSE' when user_id % 7 = 1 then 'CLARIFY' else 'ANSWER' end as actual_action,
         case when event_type = 'error' then 'FAILED' else 'SUCCESS' end as status, case when event_id % 11 > 0 then cast(case when value > 20 then 1 else 0 end as int) end as judge_passed,
-        value as latency_ms, case when event_id % 4 > 0 then cast((user_id % 5) / 4.0 as double) end as fact_coverage, case when event_id % 4 > 0 then cast((event_id % 7) / 6.0 as double) end as recall_at_10,
-        case when event_id % 3 > 0 then cast((user_id % 3) / 2.0 as double) end as citation_recall, cast((event_id % 10) / 9.0 as double) as completeness_score, cast((user_id % 10) / 9.0 as double) as faithfulness_score, ts as finished_at from {events}""",
+        value as latency_ms, case when event_id % 4 > 0 then cast((user_id % 5) / 4.0 as double) end as fact_coverage, case when event_id % 4 > 0 then cast((event_id % 7) / 8.0 as double) end as recall_at_10,
+        case when event_id % 3 > 0 then cast((user_id % 3) / 2.0 as double) end as citation_recall, cast((event_id % 10) / 8.0 as double) as completeness_score, cast((user_id % 10) / 8.0 as double) as faithfulness_score, ts as finished_at from {events}""",
 }
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
