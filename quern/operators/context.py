@@ -38,7 +38,7 @@ def expand_hits(rows: DataFrame, relations: DataFrame, chunks: DataFrame, k: int
     first = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
     one = first.groupBy("query_id", "pos", "related_id").agg(F.max("sort_score").alias("sort_score"), F.max_by("relation_type", "n").alias("relation"), F.min("n").alias("n"))
     active = one.join(chunks.where("status = 'ACTIVE'").select(F.col("chunk_id").alias("related_id")), "related_id", "left_semi")
-    added = active.select("query_id", F.col("related_id").alias("chunk_id"), (F.col("pos") + 1_000_000 + F.col("n") * 0).alias("pos"), (F.col("sort_score") - 0.01).alias("sort_score"), "relation", F.col("n").alias("nth"))
+    added = active.select("query_id", F.col("related_id").alias("chunk_id"), (F.col("pos") + 1_000_000).alias("pos"), (F.col("sort_score") - 0.01).alias("sort_score"), "relation", F.col("n").alias("nth"))
     return rows.withColumn("nth", F.lit(0)).unionByName(added)
 
 
