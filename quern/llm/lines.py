@@ -4,11 +4,12 @@ Equal lines are one line first. A line's signature is made of the hashes of its
 character shingles that start a word, up to twelve characters and ending with the
 word; hashes of longer shingles, which are rarer, sort first, so they are a
 weighted MinHash. Seven pairs of the five smallest hashes are the line's bands.
-Lines that share a band meet in it ordered by length, each with the three before
-it, so a band makes links in proportion to its lines. Each met pair's Jaccard
-similarity over all its five-character shingles is computed exactly; connected
-components of the pairs at or above the threshold keep the line that comes first
-by doc_id and place.
+Lines that share a band meet in it ordered by length, first each with the three
+before it. Each met pair's Jaccard similarity over all its five-character shingles
+is computed exactly. In larger bands whose lines are then still in several
+components, all lines of different components are compared too, in cells of bounded
+size. Connected components of the pairs at or above the threshold keep the line
+that comes first by doc_id and place.
 
 Defined cases: null text counts as empty; blank lines always stay; a line shorter
 than a shingle is its own only shingle; rows that repeat a doc_id count as one
@@ -22,13 +23,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable
-from .graph import components
+from .graph import blocks, components
 from .repeats import LAST
 
 THRESHOLD, SHINGLE = 0.8, 5
 #: Pairs of places among the smallest hashes that make a band.
 BANDS = ((0, 1), (1, 2), (0, 2), (2, 3), (1, 3), (3, 4), (2, 4))
 BEFORE = 3
+#: Lines of a band that are compared in one cell, about twice as many where two blocks meet.
+CELL = 128
 #: Longest shingle of a signature, and how many of its hashes are kept.
 WORD, SKETCH = 12, 5
 
@@ -51,11 +54,13 @@ def smallest_hashes(line: Column) -> Column:
     return F.slice(F.sort_array(F.array_distinct(hashed)), 1, SKETCH)
 
 
+def shingles(line: Column, k: int = SHINGLE) -> Column:
+    return F.when(F.char_length(line) < k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), 1))
+
+
 def jaccard(a: Column, b: Column, k: int = SHINGLE) -> Column:
     """The Jaccard similarity of two lines' character shingles."""
-    every = F.lit(rf"(?s)(?=(.{{{k}}}))")
-    cut = lambda x: F.when(F.char_length(x) < k, F.array(x)).otherwise(F.regexp_extract_all(x, every, 1))
-    once = F.array(F.struct(cut(a).alias("a"), cut(b).alias("b")))
+    once = F.array(F.struct(shingles(a, k).alias("a"), shingles(b, k).alias("b")))
     return F.transform(once, lambda p: F.size(F.array_intersect(p["a"], p["b"])) / F.size(F.array_union(p["a"], p["b"])))[0]
 
 
@@ -86,29 +91,62 @@ def only_wanted(lines: DataFrame, wanted: DataFrame, bits: int = 27) -> DataFram
     return joined.where(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)) != 0).drop("bucket", "bitmap")
 
 
+def near_in_cell(members: Column, across: Column, threshold: float) -> Column:
+    """The pairs (a, b) at or above the threshold among a cell's members (id, component, side, line) of different components."""
+    sets = F.transform(members, lambda m: F.struct(m["id"].alias("id"), m["component"].alias("component"), m["side"].alias("side"), F.array_distinct(shingles(m["line"])).alias("set")))
+
+    def alike(x, y):
+        apart = (y["id"] < x["id"]) & (y["component"] != x["component"]) & (~across | (y["side"] != x["side"]))
+        n, m = F.size(x["set"]), F.size(y["set"])
+        possible = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9
+        near = F.transform(F.array(F.size(F.array_intersect(x["set"], y["set"]))), lambda c: c / (n + m - c) >= threshold)[0]
+        return F.when(~apart, False).when(~possible, False).otherwise(near)
+
+    pairs = lambda every: F.flatten(F.transform(every, lambda x: F.transform(F.filter(every, lambda y: alike(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    return F.transform(F.array(sets), pairs)[0]
+
+
+def rest_of_bands(met: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b of components that lines of larger bands join, beyond those ``BEFORE`` places apart; of (id, others, band)."""
+    large = met.groupBy("band").agg((F.count("*") + 1).alias("n")).where(F.col("n") > BEFORE + 1)
+    members = met.join(large, "band").select("band", "n", F.explode(F.array_union(F.array("id"), "others")).alias("id")).distinct()
+    members = durable(members.join(groups, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")))
+    parted = members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
+    dealt = blocks(members.join(parted, "band").join(texts, "id"), "band", "n", CELL, "id")
+    cells = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "side", "line")).alias("members")).where("size(members) > 1")
+    found = cells.select(F.explode(near_in_cell(F.col("members"), F.col("i") != F.col("j"), threshold)).alias("p")).select("p.*").distinct()
+    known = groups.withColumnRenamed("component", "c")
+    for side in ("a", "b"):
+        found = found.join(known.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    return found
+
+
 def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with their first place, verified pairs a, b of distinct lines)."""
+    """(distinct lines with their first place, id and component of those that have near copies)."""
     lines = lines_of(documents)
     hashes = lines.select("id", place(F.col("doc_id"), F.col("line_no")).alias("place"), F.char_length("line").alias("size"), smallest_hashes(F.col("line")).alias("h"))
     flat = hashes.select("id", "place", "size", *[F.get("h", F.lit(i)).alias(f"h{i}") for i in range(SKETCH)])
     distinct = durable(flat.groupBy("id").agg(F.min("place").alias("place"), F.first("size").alias("size"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(SKETCH)]))
     bands = F.array(*[F.when(F.col(f"h{j}").isNotNull(), F.xxhash64(f"h{i}", f"h{j}")) for i, j in BANDS], F.when(F.col("h1").isNull(), F.col("h0")))
-    met = distinct.select("id", "size", F.explode(F.array_compact(bands)).alias("band"))
+    banded = distinct.select("id", "size", F.explode(F.array_distinct(F.array_compact(bands))).alias("band"))
     order = Window.partitionBy("band").orderBy("size", "id")
-    earlier = met.select("id", F.array_compact(F.array(*[F.lag("id", k).over(order) for k in range(1, BEFORE + 1)])).alias("others")).where("size(others) > 0")
-    pairs = durable(earlier.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
+    met = durable(banded.select("id", "band", F.array_compact(F.array(*[F.lag("id", k).over(order) for k in range(1, BEFORE + 1)])).alias("others")).where("size(others) > 0"))
+    pairs = durable(met.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
     wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "place"), "id"))
     placed = only_wanted(lines, wanted).select(place(F.col("doc_id"), F.col("line_no")).alias("place"), "line")
     texts = durable(placed.join(wanted, "place").dropDuplicates(["id"]).select("id", "line"))
     sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     near = sided.where(may_be_alike(F.col("line_a"), F.col("line_b"))).where(jaccard(F.col("line_a"), F.col("line_b")) >= threshold)
-    return distinct, near.select("a", "b")
+    groups = durable(components(near.select("a", "b")))
+    joined = durable(components(rest_of_bands(met, groups, texts, threshold)))
+    moved = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    lone = joined.join(groups.select("id"), "id", "left_anti")
+    return distinct, moved.unionByName(lone)
 
 
 def find_repeats(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and removed (the sorted numbers, from 0, of the lines to go) of documents that lose lines."""
-    distinct, pairs = near_lines(documents, threshold)
-    groups = components(pairs)
+    distinct, groups = near_lines(documents, threshold)
     first = distinct.select("id", "place").join(groups, "id").groupBy("component").agg(F.min("place").alias("first"))
     kept = distinct.join(groups.join(first, "component"), "id", "left").select("id", F.coalesce("first", "place").alias("keep"))
     lines = lines_of(documents).select("doc_id", "line_no", "id")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quern.llm import passages
+from quern.llm import lines, passages
 
 RND = random.Random(21)
 WORDS = ["".join(RND.choice("aeiourstnlé") for _ in range(RND.randint(3, 9))) for _ in range(3000)]
@@ -38,3 +38,20 @@ def test_parts_keep_to_the_identity():
     found = passages.passages_of(own, other, pieces, 45, 0.8)
     assert [(a, b) for a, b, *_ in found] == [(0, 100), (400, 1000)]
     assert [m for *_, m in found] == [100, 590]
+
+
+def test_near_copies_far_apart_in_a_band_are_found(spark):
+    rnd = random.Random(8)
+    common = "incomprehensibilities counterrevolutionaries internationalization compartmentalization institutionalization"
+    rows = [(i, common + " " + " ".join(w[:5] for w in prose(12, rnd)) + "x" * (i % 7)) for i in range(300)]
+    whole = rows[3][1]
+    rows += [(1000, whole + " abc abc abc"), (1001, whole[:-9])]  # longer and shorter, with many strangers between
+    got = {r.doc_id: r.n_removed for r in lines.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def sets(x):
+        return {x[i : i + 5] for i in range(len(x) - 4)}
+
+    every = [sets(t) for _, t in rows]
+    near = [[j for j in range(i) if len(every[i] & every[j]) >= 0.8 * len(every[i] | every[j])] for i in range(len(rows))]
+    assert {rows[i][0] for i, n in enumerate(near) if n} == {1000, 1001}
+    assert {d for d, n in got.items() if n} == {1000, 1001}
