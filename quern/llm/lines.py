@@ -1,20 +1,30 @@
-"""Fuzzy line deduplication in DataFrame functions only.
-
-Equal lines are one line first. A line's signature is made of the hashes of its
-character shingles that start a word, up to twelve characters and ending with the
-word; hashes of longer shingles, which are rarer, sort first, so they are a
-weighted MinHash. Seven pairs of the five smallest hashes are the line's bands.
-Lines that share a band meet in it ordered by length, first each with the three
-before it. Each met pair's Jaccard similarity over all its five-character shingles
-is computed exactly. In larger bands whose lines are then still in several
-components, all lines of different components are compared too, in cells of bounded
-size. Connected components of the pairs at or above the threshold keep the line
-that comes first by doc_id and place.
-
-Defined cases: null text counts as empty; blank lines always stay; a line shorter
-than a shingle is its own only shingle; rows that repeat a doc_id count as one
-document; a null doc_id counts as larger than all others. A document whose lines
-all go stays, with an empty text.
+"""Fuzzy line deduplication by MinHash, in DataFrame functions only.
+
+A line's shingles are anchored at its words, so that an inserted character moves
+none of them: a word of six to twelve characters is one, a shorter word is
+lengthened to six by what follows it (the next word at most), and a longer one,
+such as a line in a script without spaces, gives all its windows of five. Every
+character of a line is in a shingle.
+
+1. Equal lines become one line, the first by document and place. Lines are told
+   apart by two 64-bit hashes with different seeds; a line that many documents
+   share is cut to one row in each task before anything is shuffled.
+2. A line's signature is made of ``ROWS`` times ``COLUMNS`` MinHash values over its
+   shingles: a shingle's 64-bit hash is combined with one constant for each value,
+   and the least result of the line counts.
+3. The values stand in a rectangle; its columns and diagonals are the bands. Two
+   lines of similarity 0.8 share a band with a probability of 0.98, of 0.85 with 0.995.
+4. In a band each line is compared with the band's first line, by the exact Jaccard
+   similarity of all their shingles. Pairs at or above the threshold make
+   components. Bands whose lines are then still in several components are compared
+   exactly, each line with all of other components, in cells of bounded size.
+5. Components, found by star rounds, keep the line that comes first.
+
+Defined cases: null text counts as empty; lines of spaces only always stay; lines
+with the same shingles, such as lines that differ in spaces, are near. Rows with one
+doc_id are ordered by a hash of their texts; rows that repeat a doc_id and its text
+are one document and keep the same lines. A null doc_id counts as larger than all
+others. A document whose lines all go stays, with an empty text.
 """
 
 from __future__ import annotations
@@ -22,75 +32,98 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, written
 from .graph import blocks, components
 from .repeats import LAST
 
-THRESHOLD, SHINGLE = 0.8, 5
-#: Pairs of places among the smallest hashes that make a band.
-BANDS = ((0, 1), (1, 2), (0, 2), (2, 3), (1, 3), (3, 4), (2, 4))
-BEFORE = 3
+THRESHOLD = 0.8
+#: Characters that a word is lengthened to, the longest word that is one shingle, and the windows of longer ones.
+SHORT, LONG, WINDOW = 6, 12, 5
+#: The rectangle of MinHash values; a band has one value of each row.
+ROWS, COLUMNS, SLOPES = 4, 5, 2
 #: Lines of a band that are compared in one cell, about twice as many where two blocks meet.
 CELL = 128
-#: Longest shingle of a signature, and how many of its hashes are kept.
-WORD, SKETCH = 12, 5
 
 
-def place(doc_id: Column, line_no: Column) -> Column:
-    """One number that orders lines by document and place."""
-    return F.coalesce(doc_id.cast("long"), F.lit(int(LAST))).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + line_no.cast("decimal(11,0)")
+def constants(n: int = ROWS * COLUMNS) -> list[int]:
+    """One 64-bit constant for each MinHash value, by the steps of a multiplicative generator."""
+    x, out = 0x9E3779B97F4A7C15, []
+    for _ in range(n):
+        x = (x * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % (1 << 64)
+        out.append(x - (1 << 63))
+    return out
 
 
-def lines_of(documents: DataFrame) -> DataFrame:
-    """line_no, line, its id and its place, for each line that is not blank."""
-    split = documents.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line")).where(F.trim("line") != "")
-    return split.select("doc_id", "line_no", "line", F.xxhash64("line").alias("id"))
+def band_places(rows: int = ROWS, columns: int = COLUMNS, slopes: int = SLOPES) -> list[list[int]]:
+    """The places of each band in the rectangle: its columns, then its diagonals."""
+    return [[columns * r + (slope * r + c) % columns for r in range(rows)] for slope in range(slopes) for c in range(columns)]
 
 
-def smallest_hashes(line: Column) -> Column:
-    """The five smallest distinct hashes of a line's shingles, those of longer words before all others."""
-    tier = lambda w: (15 - F.least(F.octet_length(w), F.lit(15))).cast("long") * F.lit(1 << 59)
-    hashed = F.transform(F.split(line, " "), lambda w: F.shiftrightunsigned(F.xxhash64(F.substring(w, 1, WORD)), 5) + tier(w))
-    return F.slice(F.sort_array(F.array_distinct(hashed)), 1, SKETCH)
+def shingles(line: Column) -> Column:
+    """The shingles of a line, in no order and with repetitions."""
+    given = F.array(F.struct(F.array_remove(F.split(line, " "), "").alias("words")))
+    long = lambda x: F.flatten(F.transform(F.filter(x["words"], lambda w: F.char_length(w) > LONG), lambda w: F.regexp_extract_all(w, F.lit(rf"(?s)(?=(.{{{WINDOW}}}))"), 1)))
 
+    def anchored(words):
+        more = lambda w, i: F.when(F.char_length(w) >= SHORT, w).otherwise(F.substring(F.concat(w, F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit(""))), 1, SHORT))
+        return F.filter(F.transform(words, lambda w, i: F.when(F.char_length(w) <= LONG, more(w, i))), lambda w: w.isNotNull())
 
-def shingles(line: Column, k: int = SHINGLE) -> Column:
-    return F.when(F.char_length(line) < k, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{k}}}))"), 1))
+    return F.transform(given, lambda x: F.concat(anchored(x["words"]), long(x)))[0]
 
 
-def jaccard(a: Column, b: Column, k: int = SHINGLE) -> Column:
-    """The Jaccard similarity of two lines' character shingles."""
-    once = F.array(F.struct(shingles(a, k).alias("a"), shingles(b, k).alias("b")))
-    return F.transform(once, lambda p: F.size(F.array_intersect(p["a"], p["b"])) / F.size(F.array_union(p["a"], p["b"])))[0]
+def identity(doc_id: Column, text: Column) -> list[Column]:
+    """doc and twin, which order and tell apart documents."""
+    return [F.coalesce(doc_id.cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("twin")]
 
 
-def may_be_alike(a: Column, b: Column) -> Column:
-    """Whether two lines share half of the words of the one with fewer, or have words so long that this says nothing.
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-    A changed word changes five shingles or more, so lines of ordinary words that reach the
-    threshold share far more than half of their words; this only spares their shingles."""
-    once = F.array(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")))
 
-    def judge(p):
-        long_words = (F.char_length(a) > 12 * F.size(p["a"])) | (F.char_length(b) > 12 * F.size(p["b"]))
-        return long_words | (F.size(F.array_intersect(p["a"], p["b"])) * 2 >= F.least(F.size(F.array_distinct(p["a"])), F.size(F.array_distinct(p["b"]))))
+def first_lines(documents: DataFrame) -> DataFrame:
+    """h1, h2, doc, twin, no and line: the first of equal lines that are not blank."""
+    every = documents.select(*identity(F.col("doc_id"), F.col("text")), F.posexplode(split_lines(F.col("text"))).alias("no", "line")).where(F.trim("line") != "")
+    hashed = every.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), "doc", "twin", "no", "line")
+    order = Window.partitionBy("h1", "h2").orderBy("doc", "twin", "no")
+    return hashed.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
-    return F.transform(once, judge)[0]
 
+def exploded_shingles(lines: DataFrame) -> DataFrame:
+    """h1, h2 and h, the hash of a shingle, for the shingles that ``shingles`` gives; without functions on arrays, which are not compiled."""
+    words = F.array_remove(F.split("line", " "), "")
+    pairs = lines.select("h1", "h2", words.alias("words")).select("h1", "h2", F.inline(F.arrays_zip("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("after"))).alias("word", "after"))
+    word = F.col("word")
+    lengthened = F.substring(F.concat(word, F.lit(" "), F.coalesce("after", F.lit(""))), 1, SHORT)
+    anchored = F.when(F.char_length(word) >= SHORT, F.substring(word, 1, LONG)).otherwise(lengthened)
+    every = F.when(F.char_length(word) > LONG, F.regexp_extract_all(word, F.lit(rf"(?s)(?=(.{{{WINDOW}}}))"), 1)).otherwise(F.array(anchored))
+    return pairs.select("h1", "h2", F.explode(every).alias("shingle")).select("h1", "h2", F.xxhash64("shingle").alias("h"))
 
-def only_wanted(lines: DataFrame, wanted: DataFrame, bits: int = 27) -> DataFrame:
-    """``lines`` without most of those whose id is not wanted, by a bitmap of hashed ids.
 
-    The bitmap has at most 2 ** bits bits (16 MB) however many ids there are, so it is safe to
-    broadcast; when it is full it lets every line pass, and the join that follows decides."""
-    number = lambda c: F.pmod(F.col(c), F.lit(1 << bits)) + 1
-    bitmap = wanted.groupBy(F.bitmap_bucket_number(number("id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number("id"))).alias("bitmap"))
-    at = F.bitmap_bit_position(number("id"))
-    byte = F.conv(F.hex(F.substr(F.col("bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = lines.withColumn("bucket", F.bitmap_bucket_number(number("id"))).join(F.broadcast(bitmap), "bucket")
+def banded(first: DataFrame) -> DataFrame:
+    """h1, h2 and bands of lines."""
+    hashes = exploded_shingles(first)
+    signed = hashes.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants())])
+    return signed.select("h1", "h2", F.array(*[F.xxhash64(F.lit(k), *[f"m{i}" for i in places]) for k, places in enumerate(band_places())]).alias("bands"))
+
+
+def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 27) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted``, by a bitmap of hashed keys.
+
+    The bitmap has at most 2 ** bits bits (16 MB) however many keys there are, so it is safe to
+    broadcast; when it is full it lets every row pass, and the join that follows decides."""
+    number = F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
+    bitmap = wanted.groupBy(F.bitmap_bucket_number(number).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bitmap"))
+    at = F.bitmap_bit_position(number)
+    byte = F.ascii(F.decode(F.substr(F.col("bitmap"), (F.floor(at / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(number)).join(F.broadcast(bitmap), "bucket")
     return joined.where(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)) != 0).drop("bucket", "bitmap")
 
 
+def near(a: Column, b: Column, threshold: float) -> Column:
+    """Whether two sets have at least the threshold's Jaccard similarity."""
+    return F.transform(F.array(F.size(F.array_intersect(a, b))), lambda c: c >= F.lit(threshold) * (F.size(a) + F.size(b) - c) - 1e-9)[0]
+
+
 def near_in_cell(members: Column, across: Column, threshold: float) -> Column:
     """The pairs (a, b) at or above the threshold among a cell's members (id, component, side, line) of different components."""
     sets = F.transform(members, lambda m: F.struct(m["id"].alias("id"), m["component"].alias("component"), m["side"].alias("side"), F.array_distinct(shingles(m["line"])).alias("set")))
@@ -99,20 +132,18 @@ def near_in_cell(members: Column, across: Column, threshold: float) -> Column:
         apart = (y["id"] < x["id"]) & (y["component"] != x["component"]) & (~across | (y["side"] != x["side"]))
         n, m = F.size(x["set"]), F.size(y["set"])
         possible = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9
-        near = F.transform(F.array(F.size(F.array_intersect(x["set"], y["set"]))), lambda c: c / (n + m - c) >= threshold)[0]
-        return F.when(~apart, False).when(~possible, False).otherwise(near)
+        return F.when(~apart, False).when(~possible, False).otherwise(near(x["set"], y["set"], threshold))
 
     pairs = lambda every: F.flatten(F.transform(every, lambda x: F.transform(F.filter(every, lambda y: alike(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
     return F.transform(F.array(sets), pairs)[0]
 
 
 def rest_of_bands(met: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b of components that lines of larger bands join, beyond those ``BEFORE`` places apart; of (id, others, band)."""
-    large = met.groupBy("band").agg((F.count("*") + 1).alias("n")).where(F.col("n") > BEFORE + 1)
-    members = met.join(large, "band").select("band", "n", F.explode(F.array_union(F.array("id"), "others")).alias("id")).distinct()
-    members = durable(members.join(groups, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")))
-    parted = members.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("band")
-    dealt = blocks(members.join(parted, "band").join(texts, "id"), "band", "n", CELL, "id")
+    """The pairs a, b of components that are near in bands whose lines are in several; of bands with the same lines one counts."""
+    placed = durable(met.where("n > 2").join(groups, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")))
+    parted = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y")).where("least <> most")
+    one = parted.groupBy("members", "x", "y").agg(F.min("band").alias("band")).select("band")
+    dealt = blocks(placed.join(one, "band").join(texts, "id"), "band", "n", CELL, "id")
     cells = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "side", "line")).alias("members")).where("size(members) > 1")
     found = cells.select(F.explode(near_in_cell(F.col("members"), F.col("i") != F.col("j"), threshold)).alias("p")).select("p.*").distinct()
     known = groups.withColumnRenamed("component", "c")
@@ -122,52 +153,58 @@ def rest_of_bands(met: DataFrame, groups: DataFrame, texts: DataFrame, threshold
 
 
 def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(distinct lines with their first place, id and component of those that have near copies)."""
-    lines = lines_of(documents)
-    hashes = lines.select("id", place(F.col("doc_id"), F.col("line_no")).alias("place"), F.char_length("line").alias("size"), smallest_hashes(F.col("line")).alias("h"))
-    flat = hashes.select("id", "place", "size", *[F.get("h", F.lit(i)).alias(f"h{i}") for i in range(SKETCH)])
-    distinct = durable(flat.groupBy("id").agg(F.min("place").alias("place"), F.first("size").alias("size"), *[F.first(f"h{i}").alias(f"h{i}") for i in range(SKETCH)]))
-    bands = F.array(*[F.when(F.col(f"h{j}").isNotNull(), F.xxhash64(f"h{i}", f"h{j}")) for i, j in BANDS], F.when(F.col("h1").isNull(), F.col("h0")))
-    banded = distinct.select("id", "size", F.explode(F.array_distinct(F.array_compact(bands))).alias("band"))
-    order = Window.partitionBy("band").orderBy("size", "id")
-    met = durable(banded.select("id", "band", F.array_compact(F.array(*[F.lag("id", k).over(order) for k in range(1, BEFORE + 1)])).alias("others")).where("size(others) > 0"))
-    pairs = durable(met.select("id", F.explode("others").alias("other")).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b")).distinct())
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(distinct.select("id", "place"), "id"))
-    placed = only_wanted(lines, wanted).select(place(F.col("doc_id"), F.col("line_no")).alias("place"), "line")
-    texts = durable(placed.join(wanted, "place").dropDuplicates(["id"]).select("id", "line"))
+    """(id, doc, twin, no, line and bands of the distinct lines; id and component of those that have near copies)."""
+    first = first_lines(documents)
+    signed = first.join(banded(first), ["h1", "h2"], "left")
+    lines = written(signed.select(F.monotonically_increasing_id().alias("id"), "doc", "twin", "no", "line", "bands"))
+    in_bands = lines.select("id", F.explode("bands").alias("band"))
+    heads = durable(in_bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    met = durable(in_bands.join(heads, "band"))
+    pairs = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    wanted = met.select("id").distinct()
+    texts = durable(only_wanted(lines.select("id", "line"), wanted, "id").join(wanted, "id", "left_semi"))
     sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    near = sided.where(may_be_alike(F.col("line_a"), F.col("line_b"))).where(jaccard(F.col("line_a"), F.col("line_b")) >= threshold)
-    groups = durable(components(near.select("a", "b")))
+    sets = F.array(F.struct(F.array_distinct(shingles(F.col("line_a"))).alias("a"), F.array_distinct(shingles(F.col("line_b"))).alias("b")))
+    alike = sided.where(F.transform(sets, lambda p: near(p["a"], p["b"], threshold))[0]).select("a", "b")
+    groups = durable(components(alike))
     joined = durable(components(rest_of_bands(met, groups, texts, threshold)))
     moved = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     lone = joined.join(groups.select("id"), "id", "left_anti")
-    return distinct, moved.unionByName(lone)
+    return lines, moved.unionByName(lone)
+
+
+def kept_lines(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc, twin and kept (the numbers, from 0, of the lines that stay) of documents that keep lines that are not blank."""
+    lines, groups = near_lines(documents, threshold)
+    placed = lines.select("id", "doc", "twin", "no")
+    first = placed.join(groups, "id").groupBy("component").agg(F.min(F.struct("doc", "twin", "no", "id")).alias("first"))
+    gone = groups.join(first, "component").where(F.col("id") != F.col("first.id")).select("id")
+    return placed.join(gone, "id", "left_anti").groupBy("doc", "twin").agg(F.collect_list("no").alias("kept"))
 
 
-def find_repeats(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and removed (the sorted numbers, from 0, of the lines to go) of documents that lose lines."""
-    distinct, groups = near_lines(documents, threshold)
-    first = distinct.select("id", "place").join(groups, "id").groupBy("component").agg(F.min("place").alias("first"))
-    kept = distinct.join(groups.join(first, "component"), "id", "left").select("id", F.coalesce("first", "place").alias("keep"))
-    lines = lines_of(documents).select("doc_id", "line_no", "id")
-    gone = lines.join(kept, "id").where(place(F.col("doc_id"), F.col("line_no")) != F.col("keep"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+def removed_lines(lines: Column, kept: Column) -> Column:
+    """The numbers of the lines of a text that are not blank and do not stay."""
+    filled = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    return F.array_except(filled, F.coalesce(kept, F.array().cast("array<int>")))
 
 
 def drop_repeats(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``documents`` without the repeated lines; n_chars, where there is one, follows."""
-    found = find_repeats(documents, threshold).withColumnRenamed("doc_id", "_doc").withColumnRenamed("removed", "_removed")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    out = documents.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest))
+    given = documents.select(F.struct("*").alias("row"), *identity(F.col("doc_id"), F.col("text"))).join(kept_lines(documents, threshold), ["doc", "twin"], "left")
+    judged = F.transform(F.array(F.struct(split_lines(F.col("row.text")).alias("lines"), F.col("kept"))), lambda x: F.struct(x["lines"].alias("lines"), removed_lines(x["lines"], x["kept"]).alias("removed")))
+    rest = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["removed"]), lambda i: F.get(x["lines"], i)), "\n")
+    text = F.transform(judged, lambda x: F.when(F.size(x["removed"]) > 0, rest(x)))[0]
+    out = given.select("row", text.alias("shorter"))
+    new = {"text": F.coalesce("shorter", "row.text")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(documents.schema["n_chars"].dataType)))
-    return out.select(*documents.columns)
+        new["n_chars"] = F.when(F.col("shorter").isNull(), F.col("row.n_chars")).otherwise(F.char_length("shorter").cast(documents.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in documents.columns])
 
 
 def summary(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_lines, n_removed and removed for every row of ``documents``."""
-    found = find_repeats(documents, threshold).withColumnRenamed("doc_id", "_doc")
-    counted = documents.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    """doc_id, n_lines, n_removed and removed (sorted numbers, from 0, of the lines to go) for every row of ``documents``."""
+    filled = F.filter(F.transform(split_lines(F.col("text")), lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    counted = documents.select("doc_id", *identity(F.col("doc_id"), F.col("text")), F.size(split_lines(F.col("text"))).cast("long").alias("n_lines"), filled.alias("filled"))
+    joined = counted.join(kept_lines(documents, threshold), ["doc", "twin"], "left")
+    removed = F.array_except("filled", F.coalesce("kept", F.array().cast("array<int>")))
+    return joined.select("doc_id", "n_lines", removed.alias("removed")).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import lines, passages
 
@@ -40,18 +41,86 @@ def test_parts_keep_to_the_identity():
     assert [m for *_, m in found] == [100, 590]
 
 
-def test_near_copies_far_apart_in_a_band_are_found(spark):
+def plain_shingles(line):
+    """The shingles of a line, told again: words of 6 to 12 characters, shorter ones lengthened, all windows of longer ones."""
+    words, out = [w for w in line.split(" ") if w], set()
+    for w, after in zip(words, [*words[1:], ""], strict=True):
+        out |= {w} if 6 <= len(w) <= 12 else {w[i : i + 5] for i in range(len(w) - 4)} if len(w) > 12 else {f"{w} {after}"[:6]}
+    return out
+
+
+def changed(line, rnd, n):
+    line = list(line)
+    for _ in range(n):
+        k = rnd.randrange(len(line))
+        line[k] = rnd.choice([rnd.choice("aeiou") + line[k], "", rnd.choice("xyzw")])
+    return "".join(line)
+
+
+@pytest.fixture(scope="module")
+def near_line_rows():
+    rnd, out = random.Random(12), []
+    kinds = {
+        "words": lambda: " ".join(prose(rnd.randint(12, 60), rnd)),
+        "unspaced": lambda: "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(60)),
+        "long words": lambda: " ".join("".join(prose(4, rnd)) for _ in range(12)),
+        "template": lambda: "incomprehensibilities counterrevolutionaries internationalization " * 3 + " ".join(prose(25, rnd)),
+    }
+    for kind, make in kinds.items():
+        for _ in range(120):
+            line = make()
+            out += [(kind, line), (kind, changed(line, rnd, 1))]
+            if kind == "words":  # changes in the three longest words
+                for w in sorted(set(line.split()), key=len)[-3:]:
+                    line = line.replace(w, w[:-1] + "q", 1)
+                out.append((kind, line))
+    rnd.shuffle(out)
+    return out
+
+
+def test_near_lines_by_brute_force(spark, near_line_rows):
+    rows = [(i, t) for i, (_, t) in enumerate(near_line_rows)]
+    got = {r.doc_id: r.n_removed for r in lines.summary(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    for kind in {k for k, _ in near_line_rows}:
+        mine = [i for i, (k, _) in enumerate(near_line_rows) if k == kind]
+        wanted = {i for i in mine if top(i) != i}
+        found = {i for i in mine if got[i]}
+        assert len(wanted) >= 40 and found <= wanted and len(found) >= 0.95 * len(wanted), kind
+
+
+def test_every_near_copy_in_a_shared_band_is_compared(spark):
+    """A band whose first line is a stranger to two near lines: they are found by the rest of the band."""
     rnd = random.Random(8)
-    common = "incomprehensibilities counterrevolutionaries internationalization compartmentalization institutionalization"
-    rows = [(i, common + " " + " ".join(w[:5] for w in prose(12, rnd)) + "x" * (i % 7)) for i in range(300)]
-    whole = rows[3][1]
-    rows += [(1000, whole + " abc abc abc"), (1001, whole[:-9])]  # longer and shorter, with many strangers between
-    got = {r.doc_id: r.n_removed for r in lines.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-
-    def sets(x):
-        return {x[i : i + 5] for i in range(len(x) - 4)}
-
-    every = [sets(t) for _, t in rows]
-    near = [[j for j in range(i) if len(every[i] & every[j]) >= 0.8 * len(every[i] | every[j])] for i in range(len(rows))]
-    assert {rows[i][0] for i, n in enumerate(near) if n} == {1000, 1001}
-    assert {d for d, n in got.items() if n} == {1000, 1001}
+    common = " ".join(prose(40, rnd))
+    rows = [(i, common + " " + " ".join(prose(60, rnd))) for i in range(150)]
+    rows += [(1000 + i, changed(rows[i][1], rnd, 1)) for i in range(0, 150, 5)]
+    got = {r.doc_id for r in lines.summary(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").collect()}
+    assert got == {1000 + i for i in range(0, 150, 5)}
+
+
+def test_lines_of_repeated_and_null_ids(spark):
+    a, b, c = "one line that stands in several rows of the table", "quite another text without any likeness to it", "a third one that has nothing to do with either"
+    rows = [(None, a, "p"), (None, b, "q"), (None, b, "r"), (3, b, "s"), (3, c + "\n" + c, "t"), (3, c + "\n" + c, "u"), (1, None, "v"), (2, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed string").withColumn("doc", F.lit(0)).withColumn("kept", F.lit(1))
+    out = {r.removed: r.text for r in lines.drop_repeats(df).collect()}
+    assert out == {"p": a, "q": "", "r": "", "s": b, "t": c, "u": c, "v": None, "w": ""}
+    assert lines.drop_repeats(df).columns == df.columns
+
+
+def test_a_very_long_line_and_a_hot_line(spark):
+    rnd = random.Random(5)
+    long = " ".join(prose(30000, rnd))
+    rows = [(1, long), (2, changed(long, rnd, 3)), (3, "x" * 200_000), (4, "x" * 200_001)] + [(i, "the same line in every text\nown " + " ".join(prose(9, rnd))) for i in range(10, 200)]
+    got = {r.doc_id: r.removed for r in lines.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[3] == got[10] == [] and got[2] == got[4] == [0] and all(got[i] == [0] for i in range(11, 200))
