@@ -17,7 +17,8 @@ character of a line is in a shingle.
 4. In a band each line is compared with the band's first line, by the exact Jaccard
    similarity of all their shingles. Pairs at or above the threshold make
    components. Bands whose lines are then still in several components are compared
-   exactly, each line with all of other components, in cells of bounded size.
+   exactly, each line with all of other components, in cells of bounded size, until
+   no two near lines of a band are apart.
 5. Components, found by star rounds, keep the line that comes first.
 
 Defined cases: null text counts as empty; lines of spaces only always stay; lines
@@ -125,7 +126,8 @@ def near(a: Column, b: Column, threshold: float) -> Column:
 
 
 def near_in_cell(members: Column, across: Column, threshold: float) -> Column:
-    """The pairs (a, b) at or above the threshold among a cell's members (id, component, side, line) of different components."""
+    """Of each member (id, component, side, line) of a cell that is near to members before it in other
+    components: a (its component), b (the smallest of theirs) and more (whether there are others)."""
     sets = F.transform(members, lambda m: F.struct(m["id"].alias("id"), m["component"].alias("component"), m["side"].alias("side"), F.array_distinct(shingles(m["line"])).alias("set")))
 
     def alike(x, y):
@@ -134,22 +136,34 @@ def near_in_cell(members: Column, across: Column, threshold: float) -> Column:
         possible = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9
         return F.when(~apart, False).when(~possible, False).otherwise(near(x["set"], y["set"], threshold))
 
-    pairs = lambda every: F.flatten(F.transform(every, lambda x: F.transform(F.filter(every, lambda y: alike(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    return F.transform(F.array(sets), pairs)[0]
+    def others(every):
+        found = F.transform(every, lambda x: F.struct(x["component"].alias("a"), F.transform(F.filter(every, lambda y: alike(x, y)), lambda y: y["component"]).alias("to")))
+        return F.transform(F.filter(found, lambda x: F.size(x["to"]) > 0), lambda x: F.struct(x["a"].alias("a"), F.array_min(x["to"]).alias("b"), (F.array_min(x["to"]) < F.array_max(x["to"])).alias("more")))
+
+    return F.transform(F.array(sets), others)[0]
 
 
 def rest_of_bands(met: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs a, b of components that are near in bands whose lines are in several; of bands with the same lines one counts."""
-    placed = durable(met.where("n > 2").join(groups, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")))
-    parted = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y")).where("least <> most")
-    one = parted.groupBy("members", "x", "y").agg(F.min("band").alias("band")).select("band")
-    dealt = blocks(placed.join(one, "band").join(texts, "id"), "band", "n", CELL, "id")
-    cells = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "side", "line")).alias("members")).where("size(members) > 1")
-    found = cells.select(F.explode(near_in_cell(F.col("members"), F.col("i") != F.col("j"), threshold)).alias("p")).select("p.*").distinct()
-    known = groups.withColumnRenamed("component", "c")
-    for side in ("a", "b"):
-        found = found.join(known.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
-    return found
+    """``groups`` (id, component) united over all near lines of bands whose lines are in several; of bands with the same lines one counts.
+
+    A line makes one link in a round, however many lines it is near to; bands in which one was near to several
+    components are looked at again after these links, so a round halves the components that are still apart."""
+    members = durable(met.where("n > 2").select("band", "n", "id").join(texts, "id", "left_semi"))
+    bands = None
+    while True:
+        placed = members.join(groups, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component"))
+        if bands is None:
+            parted = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y")).where("least <> most")
+            bands = parted.groupBy("members", "x", "y").agg(F.min("band").alias("band")).select("band")
+        dealt = blocks(placed.join(bands, "band").join(texts, "id"), "band", "n", CELL, "id")
+        cells = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "side", "line")).alias("members")).where("size(members) > 1")
+        found = durable(cells.select("band", F.explode(near_in_cell(F.col("members"), F.col("i") != F.col("j"), threshold)).alias("p")).select("band", "p.*"))
+        joined = durable(components(found))
+        moved = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        groups = durable(moved.unionByName(joined.join(groups.select("id"), "id", "left_anti")))
+        bands = durable(found.where("more").select("band").distinct())
+        if bands.isEmpty():
+            return groups
 
 
 def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -167,10 +181,7 @@ def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     sets = F.array(F.struct(F.array_distinct(shingles(F.col("line_a"))).alias("a"), F.array_distinct(shingles(F.col("line_b"))).alias("b")))
     alike = sided.where(F.transform(sets, lambda p: near(p["a"], p["b"], threshold))[0]).select("a", "b")
     groups = durable(components(alike))
-    joined = durable(components(rest_of_bands(met, groups, texts, threshold)))
-    moved = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-    lone = joined.join(groups.select("id"), "id", "left_anti")
-    return lines, moved.unionByName(lone)
+    return lines, rest_of_bands(met, groups, texts, threshold)
 
 
 def kept_lines(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
