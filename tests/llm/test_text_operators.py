@@ -121,9 +121,46 @@ def test_jaccard_join_equals_brute_force(spark):
     assert key(got) == key(want)
 
 
-def test_prefix_depth_reaches_recall():
-    d = jaccard.prefix_depth(0.8)
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def test_prefix_depth_follows_the_links_that_are_seen():
+    few, close, wide = {48: 10}, {49: 5000}, {41: 3000, 49: 3000}
+    assert jaccard.chance(0.8, jaccard.prefix_depth(few, 0.8)) >= jaccard.RECALL > jaccard.chance(0.8, jaccard.prefix_depth(few, 0.8) + 1)
+    assert jaccard.prefix_depth(close, 0.8) == jaccard.LEVELS > jaccard.prefix_depth(wide, 0.8) >= jaccard.prefix_depth(few, 0.8)
+
+
+def test_signatures_agree_as_often_as_sets_do():
+    rnd = np.random.default_rng(5)
+    for size in (8, 40, 400):
+        agreed = []
+        for _ in range(150):
+            every = rnd.integers(0, 1 << 63, size, dtype=np.uint64)
+            x = jaccard.signatures([np.sort(every[: size - size // 10]), np.sort(every[size // 10 :])])
+            agreed.append((x[0] == x[1]).mean())
+        assert abs(np.mean(agreed) - (size - 2 * (size // 10)) / size) < 0.06
+
+
+def test_jaccard_join_with_repeated_and_null_ids(spark):
+    rnd = random.Random(16)
+    a, b, c, d = (prose(80, rnd) for _ in range(4))
+    rows = [(1, a), (5, a + " end"), (2, b), (5, b + " end"), (3, c), (None, c + " end"), (4, d), (None, d + " end"), (None, prose(50, rnd))]
+    got = [tuple(r) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "n_links", "kept").collect()]
+    assert key(got) == key([(1, 1, 1, True), (5, 1, 1, False), (2, 2, 1, True), (5, 2, 1, False), (3, 3, 1, True), (None, 3, 1, False), (4, 4, 1, True), (None, 4, 1, False), (None, None, 0, True)])
+    kept = jaccard.keep_one(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, first int"))
+    assert kept.columns == ["doc_id", "text", "first"] and key([tuple(r)[:2] for r in kept.collect()]) == key([rows[i] for i in (0, 2, 4, 6, 8)])
+
+
+def test_jaccard_join_finds_links_near_the_threshold(spark):
+    rnd = random.Random(26)
+    rows = []
+    for i in range(400):  # one replaced run of words; similarities from 0.8 to 0.86
+        w = prose(120, rnd).split()
+        k, n = rnd.randrange(20, 90), rnd.randint(6, 8)
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:k] + prose(n, rnd).split() + w[k + n :]))]
+    known = passages.WordHashes()
+    sets = [set(jaccard.shingles(t, known).tolist()) for _, t in rows]
+    near = {i for i in range(0, 800, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    got = {r.doc_id: r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i for i in range(0, 800, 2) if got[i + 1] == i}
+    assert len(near) > 200 and found <= near and len(found) >= 0.98 * len(near)
 
 
 def test_line_dedup(spark):
