@@ -7,10 +7,16 @@ capacities from the source and to the sink. Neighbours in the page, and blocks o
 one parent element, are joined by smoothness edges. The minimum cut, found with
 augmenting paths, separates content from boilerplate.
 
+Class, id and role words count as whole words of a name: ``sidebar``, ``site-sidebar``
+and ``sidebar-left`` name a sidebar, ``has-sidebar`` and ``sidebar-history`` don't. Such
+a word is no mark of an element that is or holds an article or a main element, or
+that holds half of the page's text. A header inside an article is part of it.
+
 Defined cases: null html counts as empty; a page without content has an empty
-text; unclosed and unmatched tags are tolerated; scripts, styles, templates,
-forms, comments and the head never are text. Every block is looked at, however
-long the page.
+text; unclosed and unmatched tags are tolerated; a tag whose quote is never closed
+ends at the next ``>``; scripts, styles, templates, forms, comments and the head never
+are text. Every block is looked at, however long the page; reading takes time in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -36,11 +42,15 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 FRAME = frozenset("nav footer aside form menu dialog header fieldset".split())
 #: Class, id and role words of a page's frame and of its content.
 FRAME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search\w*|share\w*|social|related|recommended|widget\w*|copyright|legal|pagination|pager|complementary|contentinfo|navigation|hidden|skip\w*|tags?|byline-links)(?=$|[\s_-])",
+    r"ads?|advert\w*|adbox|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|disqus|repl(?:y|ies)|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|login|search\w*|share\w*|social|related|recommended|widget\w*|copyright|legal|pagination|pager|complementary|contentinfo|navigation|hidden|skip\w*|tags?",
     re.I,
 )
-CONTENT_WORDS = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|body|text|prose)(?=$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+CONTENT_WORDS = re.compile(r"article\w*|content|main|post|entry|story|body|text|prose", re.I)
+#: Words before a frame word that say that an element has such a part, and words after one that only say what kind of box it is.
+HAVING = frozenset("has have no not with without".split())
+BOX = frozenset("area bar block body bottom box button buttons center container content dialog form group icons inner items left link links list main menu outer panel primary right row secondary section slot text thread title top unit widget wrap wrapper".split())
+OPENS = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+QUOTED = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPACE = re.compile(r"\s+")
 #: Elements that a new element of a kind ends; any block ends a paragraph.
@@ -50,122 +60,200 @@ NEAR, SIBLING = 0.6, 0.4
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "parent", "tag")
+    __slots__ = ("text", "linked", "mark", "parent", "tag")
+
+    def __init__(self, text, linked, mark, parent, tag):
+        self.text, self.linked, self.mark, self.parent, self.tag = text, linked, mark, parent, tag
+
+
+class Mark:
+    """What an element that bears a mark says of the blocks in it; ``chars`` of text are below it."""
+
+    __slots__ = ("tag", "kind", "above", "chars", "holds_article", "framed", "content", "article")
+
+    def __init__(self, tag, kind, above):
+        self.tag, self.kind, self.above, self.chars, self.holds_article = tag, kind, above, 0, False
+        self.framed, self.content, self.article = 0, False, False
+
 
-    def __init__(self, text, linked, path, parent, tag):
-        self.text, self.linked, self.path, self.parent, self.tag = text, linked, path, parent, tag
+HIDES, WORDED, TAGGED, CONTENT = 3, 2, 1, -1
 
 
-def frame_mark(tag: str, attributes: str) -> int:
-    """2: hidden; 1: part of a page's frame; -1: marked as content; 0: neither."""
-    words = []
+def framed_name(name: str) -> bool:
+    """Whether a class, id or role names a part of a page's frame."""
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    if not parts:
+        return False
+    if FRAME_WORDS.fullmatch(parts[-1]):
+        return len(parts) == 1 or parts[-2] not in HAVING
+    return len(parts) > 1 and bool(FRAME_WORDS.fullmatch(parts[0])) and parts[1] in BOX
+
+
+def kind_of(tag: str, attributes: str, in_article: bool) -> int:
+    """HIDES; TAGGED or WORDED: part of a page's frame by its tag or a name; CONTENT; 0: neither."""
+    names = []
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return 2
+            return HIDES
         if name in ("class", "id", "role"):
-            words.append(value)
-    joined = " ".join(words)
-    if tag in FRAME or joined and FRAME_WORDS.search(joined):
-        return 1
-    return -1 if tag in ("article", "main") or joined and CONTENT_WORDS.search(joined) else 0
+            names += value.split()
+    if tag in ("article", "main"):
+        return CONTENT
+    if tag in FRAME and not (tag == "header" and in_article):
+        return TAGGED
+    if any(map(framed_name, names)):
+        return WORDED
+    return CONTENT if any(CONTENT_WORDS.fullmatch(p) for n in names for p in re.split(r"[-_]+", n)) else 0
 
 
-def blocks(html: str) -> list[Block]:
-    """The text blocks of a page, in order, with what stands around them."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, mark, number of the element
-    text: list[str] = []
-    linked = numbers = links = hidden = at = 0
-
-    def flush():
-        nonlocal linked
-        if text:
-            if whole := SPACE.sub(" ", unescape("".join(text))).strip():
-                holder = next((s for s in reversed(stack) if s[0] in BLOCKS), ("", 0, 0))
-                out.append(Block(whole, min(1.0, linked / max(1, len(whole))), [(s[0], s[1]) for s in stack if s[1]], holder[2], holder[0]))
-            text.clear()
-        linked = 0
-
-    def leave(k):
-        nonlocal links, hidden
-        for tag, mark, _ in stack[k:]:
-            links -= tag == "a"
-            hidden -= mark == 2 or tag in HIDDEN
-        del stack[k:]
-
-    def add(piece):
-        nonlocal linked
-        if piece and not hidden:
-            text.append(piece)
-            linked += len(piece) if links else 0
-
-    end = len(html)
-    while at < end:
-        m = TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag in BLOCKS or tag == "head":
-            flush()
-        elif tag == "br":
-            add(" ")
-        if m[1]:
-            if any(s[0] == tag for s in stack):
-                k = max(i for i, s in enumerate(stack) if s[0] == tag)
-                if tag in BLOCKS or not any(s[0] in BLOCKS for s in stack[k + 1 :]):
-                    leave(k)
-            continue
+class Reader:
+    """Reads a page once; what stands open is kept with counts, so that no step looks through all of it."""
+
+    def __init__(self, html: str):
+        self.html, self.out, self.marks = html, [], []
+        self.stack: list[tuple[str, Mark | None, int]] = []  # tag, mark, number of the element
+        self.places: dict[str, list[int]] = {}  # where each tag stands in the stack
+        self.block_places: list[int] = []
+        self.above: list[Mark] = []
+        self.text: list[str] = []
+        self.linked = self.numbers = self.links = self.hidden = 0
+        self.quotes_hold = True
+
+    def flush(self) -> None:
+        if self.text and (whole := SPACE.sub(" ", unescape("".join(self.text))).strip()):
+            tag, _, number = self.stack[self.block_places[-1]] if self.block_places else ("", None, 0)
+            self.out.append(Block(whole, min(1.0, self.linked / max(1, len(whole))), self.above[-1] if self.above else None, number, tag))
+            if self.above:
+                self.above[-1].chars += len(whole)
+        self.text.clear()
+        self.linked = 0
+
+    def leave(self, k: int) -> None:
+        while len(self.stack) > k:
+            tag, mark, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.block_places.pop()
+            if mark is not None:
+                self.above.pop()
+            self.links -= tag == "a"
+            self.hidden -= tag in HIDDEN or mark is not None and mark.kind == HIDES
+
+    def enter(self, tag: str, attributes: str) -> None:
+        self.numbers += 1
+        kind = 0 if tag in ("html", "body") else kind_of(tag, attributes, bool(self.places.get("article") or self.places.get("main")))
+        mark = None
+        if kind:
+            mark = Mark(tag, kind, self.above[-1] if self.above else None)
+            self.marks.append(mark)
+            self.above.append(mark)
+        self.places.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCKS:
-            closed = CLOSES.get(tag, set()) | {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closed:
-                    leave(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        if tag == "body":
-            for k, s in enumerate(stack):
-                if s[0] == "head":
-                    leave(k)
-                    break
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else end
-            continue
-        numbers += 1
-        mark = 0 if tag in ("html", "body") else frame_mark(tag, m[3])
-        stack.append((tag, mark, numbers))
-        links += tag == "a"
-        hidden += mark == 2 or tag in HIDDEN
-    flush()
+            self.block_places.append(len(self.stack))
+        self.stack.append((tag, mark, self.numbers))
+        self.links += tag == "a"
+        self.hidden += tag in HIDDEN or kind == HIDES
+
+    def add(self, piece: str) -> None:
+        if piece and not self.hidden:
+            self.text.append(piece)
+            self.linked += len(piece) if self.links else 0
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag's ``>`` is, outside quotes as long as all quotes are closed; -1 if nowhere."""
+        k = at
+        while self.quotes_hold:
+            m = QUOTED.search(self.html, k)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.start()
+            k = self.html.find(m[0], m.end()) + 1
+            if not k:
+                break
+        self.quotes_hold = False  # the rest has been looked through once
+        return self.html.find(">", at)
+
+    def closes(self, tag: str) -> None:
+        where = self.places.get(tag)
+        if where and (tag in BLOCKS or not self.block_places or self.block_places[-1] <= where[-1]):
+            self.leave(where[-1])
+
+    def opens(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS and self.block_places and self.stack[self.block_places[-1]][0] in CLOSES.get(tag, set()) | {"p"}:
+            self.leave(self.block_places[-1])
+        if tag == "body" and self.places.get("head"):
+            self.leave(self.places["head"][0])
+        if tag not in VOID and not (attributes.endswith("/") and tag not in BLOCKS):
+            self.enter(tag, attributes)
+
+    def read(self) -> list[Block]:
+        html, at, raw = self.html, 0, {}
+        while m := OPENS.search(html, at):
+            self.add(html[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            stop = self.tag_end(at)
+            if stop < 0:
+                self.add(html[m.start() :])
+                at = len(html)
+                break
+            attributes, at = html[at:stop], stop + 1
+            if tag in BLOCKS or tag == "head":
+                self.flush()
+            elif tag == "br":
+                self.add(" ")
+            if m[1]:
+                self.closes(tag)
+            elif tag in RAW and not attributes.endswith("/"):
+                # an element that is never closed takes the rest; one search finds that out
+                close = re.compile(rf"</{tag}\s*>", re.I).search(html, at) if raw.get(tag, True) else None
+                raw[tag] = close is not None
+                at = close.end() if close else len(html)
+            else:
+                self.opens(tag, attributes)
+        self.add(html[at:])
+        self.flush()
+        return self.out
+
+
+def blocks(html: str) -> list[Block]:
+    """The text blocks of a page, in order, with the marks of what stands around them."""
+    reader = Reader(html)
+    out = reader.read()
+    total = sum(len(b.text) for b in out)
+    for mark in reversed(reader.marks):  # those inside come after those around them
+        if mark.above is not None:
+            mark.above.chars += mark.chars
+            mark.above.holds_article |= mark.holds_article or mark.tag in ("article", "main")
+    for mark in reader.marks:
+        above = mark.above
+        frame = mark.kind == TAGGED or mark.kind == WORDED and not mark.holds_article and mark.chars * 2 < total
+        mark.framed = (above.framed if above else 0) + frame
+        mark.content = mark.kind == CONTENT or bool(above and above.content)
+        mark.article = mark.kind == CONTENT and mark.tag == "article" or bool(above and above.article)
     return out
 
 
 def cost(block: Block, has_article: bool) -> float:
     """The classifier's log odds that a block is content."""
     score = -0.4 + 0.5 * min(4.0, log1p(len(block.text)) - 3.0)
-    inside = [tag for tag, mark in block.path if mark == -1]
-    framed = [i for i, (_, mark) in enumerate(block.path) if mark == 1]
-    if inside:
+    mark = block.mark
+    if mark and mark.content:
         score += 3.0
-    if "article" in inside:
+    if mark and mark.article:
         score += 2.0
     elif has_article:
         score -= 2.5
-    if framed:
-        score -= 8.0 + len(framed)
+    if mark and mark.framed:
+        score -= 8.0 + mark.framed
     score -= 4.0 * block.linked
     if block.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "h4"):
         score += 1.0
-    if re.search(r"[.!?…:\"”»]\s*$", block.text):
+    if re.search(r"[.!?…:\"”»]\s*$", block.text[-8:]):
         score += 0.5
     if block.text.startswith(("©", "(c)", "Copyright", "copyright")):
         score -= 4.0
@@ -228,12 +316,12 @@ def extract(html: str | None) -> list[str]:
     found = blocks(html or "")
     if not found:
         return []
-    has_article = any(tag == "article" for b in found for tag, mark in b.path if mark == -1)
+    has_article = any(b.mark and b.mark.article for b in found)
     scores = [cost(b, has_article) for b in found]
     edges, last = [], {}
     for i, b in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEAR * (0.2 if found[i - 1].path != b.path else 1.0)))
+            edges.append((i - 1, i, NEAR * (0.2 if found[i - 1].mark is not b.mark else 1.0)))
         if b.parent in last and last[b.parent] != i - 1:
             edges.append((last[b.parent], i, SIBLING))
         last[b.parent] = i

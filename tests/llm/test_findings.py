@@ -1,11 +1,12 @@
 """Cases that a reviewer found cut short."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import lines, passages
+from quern.llm import html, lines, passages
 
 RND = random.Random(21)
 WORDS = ["".join(RND.choice("aeiourstnlé") for _ in range(RND.randint(3, 9))) for _ in range(3000)]
@@ -124,3 +125,35 @@ def test_a_very_long_line_and_a_hot_line(spark):
     rows = [(1, long), (2, changed(long, rnd, 3)), (3, "x" * 200_000), (4, "x" * 200_001)] + [(i, "the same line in every text\nown " + " ".join(prose(9, rnd))) for i in range(10, 200)]
     got = {r.doc_id: r.removed for r in lines.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == got[3] == got[10] == [] and got[2] == got[4] == [0] and all(got[i] == [0] for i in range(11, 200))
+
+
+ARTICLE = "<p>" + "A long sentence of an article stands here and is told in full, word by word. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout has-sidebar">%s</div>',
+        '<div id="main" class="content post-tags">%s</div>',
+        '<section class="social-history">%s</section>',
+        '<div id="page" class="site no-sidebar">%s</div>',
+        "<main class='content with-sidebar'>%s</main>",
+        "<article class='post hentry category-news tag-python'>%s</article>",
+        '<div class="widget-area"><article>%s</article></div><div class="widget-area"><p>Some other words. And more.</p></div>',
+    ],
+)
+def test_wrappers_do_not_hide_the_article(page):
+    assert [t[:15] for t in html.extract(page % ARTICLE)] == ["A long sentence"]
+
+
+def test_article_headers_and_frames():
+    page = f'<header><h1>Site</h1></header><article><header><h1>The headline of it</h1></header>{ARTICLE}<div class="cookie-notice">We use cookies on all of our pages.</div></article><div class="sidebar-left"><p>Words of another kind.</p></div>'
+    assert [t[:15] for t in html.extract(page)] == ["The headline of", "A long sentence"]
+
+
+@pytest.mark.parametrize("part", ["<a '", "<b>", "<p>x", "<span>", "text</i>", "<div>", "<script>", "<!--", '<a b="', "<", "<ul><li>", "</p>", "<?", "<!", "&amp", '<p class="sidebar">w'])
+def test_long_broken_pages_take_little_time(part):
+    began = time.perf_counter()
+    html.extract(part * (200_000 // len(part)))
+    html.extract("<article>" + ARTICLE + part * (100_000 // len(part)) + ARTICLE)
+    assert time.perf_counter() - began < 15
