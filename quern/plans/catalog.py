@@ -27,11 +27,18 @@ def query(text: str | None = None):
     return add
 
 
+def _register() -> None:
+    """The modules that register more queries here."""
+    from . import documents, evaluation, questions  # noqa: F401
+
+
 def queries() -> dict:
+    _register()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _register()
     return dict(SQL)
 
 

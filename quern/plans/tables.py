@@ -17,6 +17,12 @@ VIEWS = {
         case when l.toxic = 1 then 'INACTIVE' else 'ACTIVE' end as status from {documents} d left join {labels} l on d.doc_id = l.doc_id""",
     # Questions and their vectors.
     "questions": "select item_id as query_id, text as query from {benchmark}",
+    # Questions with codes, amounts and versions, and lines of documents with headings, steps, pairs and rules, from orders.
+    "asked": """select o_orderkey as query_id, concat(case o_orderkey % 8 when 0 then '退款规则的条件是什么' when 1 then '订单异常的处理流程和步骤' when 2 then '后台配置按钮在哪里' when 3 then '车位置不刷新' when 4 then 'V1 和 v2.0 的区别以及流程，同时'
+        when 5 then '支持【退款】吗？多久到账？同时需要查看订单详情吗' when 6 then '咋一直没反应' else 'hello there' end, ' ', case o_orderkey % 5 when 0 then 'E1024' when 1 then concat(cast(o_custkey % 30 as varchar(9)), ' 天') when 2 then 'order_status' when 3 then '十五个工作日 ORD-A-7' else '' end) as question,
+        o_orderkey % 4 as k, o_custkey as customer, o_totalprice as price from {orders}""",
+    "texts": """select o_orderkey as doc_id, concat_ws(chr(10), concat('一、', o_orderpriority, '规则'), '没有写完的一行', '接着写。', '适用场景：售后', concat('1. 打开【', o_orderstatus, '】再点【查询】'), concat('2、 检查订单 ', cast(o_custkey as varchar(9))), '注意：不要重复提交', '系统配置',
+        concat('Q1：订单 ', cast(o_orderkey as varchar(20)), ' 怎么退款？'), 'A1：联系客服', '再等待处理', case when o_orderkey % 3 = 0 then '同义问法：退货，退钱' else '补充一句' end, concat('Q2: ', o_orderstatus), case when o_orderkey % 2 = 0 then 'A2: 会的' end, '第 1 页 / 共 3 页', concat('3.1 超过 ', cast(o_custkey % 20 as varchar(9)), ' 天不退')) as text from {orders}""",
     # Two ranked lists of line items for each part.
     "items": "select l_partkey as query_id, l_orderkey * 10 + l_linenumber as chunk_id, max(l_extendedprice) as price, max(l_shipdate) as shipped, max(l_linenumber) as line, max(l_quantity) as quantity, max(l_suppkey) as supplier from {lineitem} group by l_partkey, l_orderkey * 10 + l_linenumber",
     "vector_hits": "select query_id, chunk_id, cast(r as int) as rank, price as score, 'vector' as source from (select *, row_number() over (partition by query_id order by price desc, chunk_id) as r from {items}) x where r <= 50",
