@@ -58,6 +58,14 @@ def budget(rows: DataFrame, max_tokens: int = DEFAULTS.context_tokens, max_chunk
     return seen.withColumn("status", status).where(fits)
 
 
+def context_status(questions: DataFrame, rows: DataFrame, packed: DataFrame) -> DataFrame:
+    """(query_id, n_chunks, status) of every question: EMPTY without candidate rows, TRUNCATED where some did not fit, else SUCCESS."""
+    had = rows.groupBy("query_id").agg(F.count("*").alias("had"))
+    kept = packed.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
+    j = questions.select("query_id").join(had, "query_id", "left").join(kept, "query_id", "left").fillna(0, ["had", "n_chunks"])
+    return j.select("query_id", "n_chunks", F.when(F.col("had") == 0, "EMPTY").when(F.col("n_chunks") < F.col("had"), "TRUNCATED").otherwise("SUCCESS").alias("status"))
+
+
 def pack_context(hits: DataFrame, relations: DataFrame, chunks: DataFrame, max_tokens: int = DEFAULTS.context_tokens, max_chunks: int = DEFAULTS.context_chunks) -> DataFrame:
     """(query_id, place, chunk_id, sort_score, relation, tokens, status, citation_id), contents joined last."""
     rows = dedup_context(expand_hits(context_rows(hits), relations, chunks))

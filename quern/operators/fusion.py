@@ -127,13 +127,17 @@ def rerank_fallback(hits: DataFrame, n: int = DEFAULTS.rerank_n) -> DataFrame:
 
 
 def rerank_or_fallback(hits: DataFrame, scores: DataFrame, enabled: bool = True, fail_open: bool = True, n: int = DEFAULTS.rerank_n) -> DataFrame:
-    """Reranked where a question has scores, its first n hits otherwise, with the status of each."""
+    """Reranked where a question has scores, its first n hits otherwise, with the status of each. Where that is not
+    wanted (``fail_open`` false) a question without scores has one row, FAILED, without a chunk."""
     plain = rerank_fallback(hits, n).select("query_id", "chunk_id", "rank", F.lit(None).cast("double").alias("rerank_score"))
     if not enabled:
         return plain.withColumn("status", F.lit("SKIPPED"))
     done = rerank(hits, scores, n=n).select("query_id", "chunk_id", "rank", F.col("rerank_score").cast("double").alias("rerank_score")).withColumn("status", F.lit("SUCCESS"))
     rest = plain.join(scores.select("query_id").distinct(), "query_id", "left_anti")
-    return done.unionByName(rest.withColumn("status", F.lit("FALLBACK")) if fail_open else rest.where(F.lit(False)).withColumn("status", F.lit("FAILED")))
+    if fail_open:
+        return done.unionByName(rest.withColumn("status", F.lit("FALLBACK")))
+    failed = rest.select("query_id").distinct().select("query_id", F.lit(None).cast(plain.schema["chunk_id"].dataType).alias("chunk_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("rerank_score"), F.lit("FAILED").alias("status"))
+    return done.unionByName(failed)
 
 
 def effective_n(queries: DataFrame, n: int = DEFAULTS.rerank_n) -> DataFrame:

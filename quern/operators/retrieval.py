@@ -145,3 +145,11 @@ def merge_best(hits: DataFrame) -> DataFrame:
     best = Window.partitionBy("query_id", "chunk_id").orderBy(F.desc("score"), "seen")
     kept = hits.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "seen", "chunk_id")))
+
+
+def retrieve_auto(analysed: DataFrame, channels: dict[str, DataFrame], chunks: DataFrame, k: int = DEFAULTS.final_k) -> DataFrame:
+    """(query_id, chunk_id, rank, score, mode): each question's hits from the channel of its mode, of its target
+    type where it has exactly one, the first k of them. analysed: (query_id, mode, target_types)."""
+    asked = effective_filter(analysed)
+    routed = route(asked, channels).join(asked.select("query_id", "type_filter"), "query_id").join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
+    return top(routed.where("type_filter is null or chunk_type = type_filter").drop("type_filter", "chunk_type").withColumnRenamed("rank", "rank_before"), k, "rank_before", "chunk_id").drop("rank_before")

@@ -1 +1,372 @@
-"""Queries of the operators on questions."""
+"""Queries of the operators on questions: analysis, retries, actions, contexts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import analysis, context, fusion, loop, retrieval
+from .catalog import query
+
+
+def has(column: str, terms) -> str:
+    """SQL: whether a text has any of the terms."""
+    return "(" + " or ".join(f"contains({column}, '{t}')" for t in terms) + ")"
+
+
+def listed(*parts: tuple[str, str]) -> str:
+    """SQL: a list of the values whose condition holds."""
+    return "list_filter([" + ", ".join(f"case when {when} then {value} end" for value, when in parts) + "], lambda x: x is not null)"
+
+
+#: The view ``asked`` with what analysis finds in it, in SQL.
+TERMS = "list_filter([nullif(regexp_extract(question, 'ORD-A-7'), ''), nullif(regexp_extract(question, 'E1024'), ''), nullif(regexp_extract(question, 'order_status'), ''), nullif(regexp_extract(question, '【退款】'), '')], lambda x: x is not null)"
+TYPES = listed(*[(f"'{t}'", has("question", words)) for t, words in analysis.TYPE_WORDS.items()])
+REWRITTEN = "question"
+for _old, _new in analysis.REWRITES:
+    REWRITTEN = f"replace({REWRITTEN}, '{_old}', '{_new}')"
+SIGNAL = "regexp_matches(question, '\\d+\\.\\d+|E1024|【退款】|order_status')"
+COMPARED = f"({has('question', T.COMPARISON_TERMS)} or contains(question, 'V1'))"
+ASKED = f"""a0 as (select query_id, trim(question) as question, k, customer, price from {{asked}}), a1 as (select *, {TERMS} as terms, {TYPES} as found, {REWRITTEN} as rewritten, {COMPARED} as compared from a0),
+    a as (select *, case when len(found) > 0 then found else ['FAQ', 'SOP', 'RULE', 'MANUAL'] end as types, case when {SIGNAL} then 'bm25' when {has('question', analysis.SPOKEN_WORDS)} then 'vector' else 'hybrid' end as mode from a1)"""
+
+
+def _asked(read):
+    return read("asked").withColumn("question", F.trim("question"))
+
+
+@query(f"with {ASKED} select query_id, array_to_string(types, ',') as types, mode, rewritten, cast(case when len(types) = 4 then 0.4 when {SIGNAL} then 0.85 else 0.65 end as double) as confidence from a")
+def ana1_ana4_questions(read):
+    a = analysis.analyse(_asked(read))
+    return a.select("query_id", F.array_join("target_types", ",").alias("types"), "mode", "rewritten", F.col("confidence").cast("double").alias("confidence"))
+
+
+@query(f"""with {ASKED} select query_id, array_to_string(list_filter([question, case when rewritten <> question then rewritten end, case when contains(question, '定位') or contains(rewritten, '车辆位置') then '{'~'.join(analysis.LOCATION_QUERIES)}' end, case when contains(question, '退款') then '{'~'.join(analysis.REFUND_QUERIES)}' end], lambda x: x is not null), '~') as queries from a""")
+def ana3_rewrite_and_expand(read):
+    return analysis.analyse(_asked(read)).select("query_id", F.array_join("queries", "~").alias("queries"))
+
+
+@query(f"with {ASKED} select query_id, array_to_string(terms, ',') as terms from a")
+def fn3_question_terms(read):
+    return _asked(read).select("query_id", F.array_join(T.exact_terms(F.col("question")), ",").alias("terms"))
+
+
+@query(f"with {ASKED} select query_id, compared, contains(question, '流程') as flow from a")
+def fn5_comparison(read):
+    return _asked(read).select("query_id", T.comparison_intent(F.col("question")).alias("compared"), T.contains_any(F.col("question"), ("流程",)).alias("flow"))
+
+
+CONSTRAINTS = "case when query_id % 5 = 1 then (customer % 30) || '天' when query_id % 5 = 3 then '15工作日' else '' end"
+
+
+@query(f"with {ASKED} select query_id, {CONSTRAINTS} as constraints from a")
+def fn6_constraints(read):
+    return _asked(read).select("query_id", F.array_join(T.constraints(F.col("question")), ",").alias("constraints"))
+
+
+@query("select query_id, case when k = 0 then '1' when k = 1 then '2.5' when k = 2 then '3' else '' end as versions from {asked}")
+def fn4_versions(read):
+    head = F.when(F.col("k") == 0, "规则 V1.0").when(F.col("k") == 1, "v2.5 规则").otherwise("规则")
+    own = F.when(F.col("k") == 2, "v3.0").otherwise("2024")
+    return read("asked").select("query_id", F.array_join(T.explicit_versions(F.concat(head, F.lit("\nV9"), F.col("question")), own), ",").alias("versions"))
+
+
+@query("select query_id, array_to_string(list_filter(['a' || k, case when k <> 1 then 'a1' end, 'b'], lambda x: x is not null), ',') as names from {asked}")
+def fn13_ordered_distinct(read):
+    return read("asked").select("query_id", F.array_join(T.ordered_distinct(F.array(F.concat(F.lit("a"), F.col("k").cast("string")), F.lit(""), F.lit("a1"), F.lit(None).cast("string"), F.lit("b"), F.lit("a1"))), ",").alias("names"))
+
+
+@query("select query_id, contains(lower(regexp_replace(question, '[^\\p{L}\\p{N}]+', '', 'g')), 'orda7') or contains(question, '退款') or contains('处理流程和步骤一二三', lower(regexp_replace(question, '[^\\p{L}\\p{N}]+', '', 'g'))) as fits from {asked}")
+def fn14_alias_match(read):
+    return read("asked").select("query_id", T.alias_match(F.col("question"), F.array(F.lit("ord-A-7!"), F.lit("退款"), F.lit("处理流程和步骤一二三"), F.lit("，"))).alias("fits"))
+
+
+@query("select query_id, case k when 0 then '订单 ' || customer || ' 的状态' when 1 then customer || ' 的状态' else customer || ' 状态' end as filled from {asked}")
+def fn18_fill_template(read):
+    template = F.when(F.col("k") == 0, "订单  {{intermediate_fact}} 的状态").when(F.col("k") == 1, "{{intermediate_fact}} 的状态 ").otherwise("状态")
+    return read("asked").select("query_id", T.fill_template(template, F.col("customer").cast("string")).alias("filled"))
+
+
+@query("""select query_id, case when k = 3 then 'fewer than two sub-queries' when customer % 3 = 0 then 'benefit too low' when k = 0 then 'not required' when k = 2 and price > 200000 then 'the second hop is no template' end as reason,
+    case when k in (1, 2) and customer % 3 > 0 and not (k = 2 and price > 200000) then case k when 1 then 'SQ1:first ' || customer || '~SQ2:second part' else 'SQ1:first ' || customer || '~SQ2:of {{' || 'intermediate_fact' || '}}' end else '' end as subs from (select * from {asked}) where not (k = 0 and customer % 3 = 0) and not (k = 3 and customer % 3 = 0)""")
+def ana6_decomposition(read):
+    a = read("asked").where("not (k = 0 and customer % 3 = 0) and not (k = 3 and customer % 3 = 0)")
+    sub = lambda q, on=None: F.struct(q.alias("question"), F.array(F.lit("faq"), F.lit("NONE"), F.lit("FAQ")).alias("target_types"), F.lit(on).cast("string").alias("depends_on"))
+    one = F.concat(F.lit("first   "), F.col("customer").cast("string"))
+    second = F.when(F.col("price") > 200000, "no template").otherwise("of {{intermediate_fact}}")
+    subs = F.when(F.col("k") == 2, F.array(sub(one), sub(second, "SQ1"))).when(F.col("k") == 3, F.array(sub(one), sub(F.concat(one, F.lit("?"))))).otherwise(F.array(sub(one), sub(F.lit("second part")), sub(F.lit(" "))))
+    plans = a.select("query_id", (F.col("k") != 0).alias("requires"), F.when(F.col("k") == 2, "DEPENDENT").otherwise("PARALLEL").alias("decomposition_type"), F.when(F.col("customer") % 3 == 0, 0.5).otherwise(0.9).alias("benefit_score"), subs.alias("sub_queries"))
+    v = analysis.validate_decomposition(plans)
+    return v.select("query_id", "reason", F.coalesce(F.array_join(F.transform("sub_queries", lambda s: F.concat(s["sub_query_id"], F.lit(":"), s["question"])), "~"), F.lit("")).alias("subs"))
+
+
+STRATEGY = "case k when 0 then 'FORCE_BM25' when 1 then 'RELAX_FILTER' else 'QUERY_REWRITE' end"
+FALLBACK = "array_to_string(list_concat(terms, [question]), ' ')"
+
+
+def _retry(read):
+    a = analysis.analyse(_asked(read))
+    given = F.col("customer") % 2 == 0
+    return a.select(
+        "query_id", "question", F.array("question").alias("queries"), "mode", F.when(F.col("customer") % 3 == 0, F.array(F.lit("RULE"))).when(F.col("customer") % 3 == 1, F.array(F.lit("RULE"), F.lit("SOP"))).otherwise(F.array().cast("array<string>")).alias("target_types"), F.lit("orders").alias("business_domain"),
+        F.when(F.col("k") == 0, "FORCE_BM25").when(F.col("k") == 1, "RELAX_FILTER").otherwise("QUERY_REWRITE").alias("retry_strategy"), F.when(given, "a better text").alias("rewritten"), F.when(given, F.array(F.lit("x "), F.lit("a better text"), F.lit("y"))).alias("expanded"),
+    )
+
+
+@query(f"""with {ASKED}, b as (select *, {FALLBACK} as plain, case when {has('question', analysis.FALLBACK_COMPARISON)} then [question || ' 旧版 规则', question || ' 新版 生效规则'] else [question] end as more from a),
+    c as (select *, case when customer % 2 = 0 then 'a better text' else trim(plain) end as re, case when customer % 2 = 0 then ['x', 'y'] else list_filter(more, lambda x: x <> trim(plain)) end as ex from b)
+    select query_id, array_to_string(case k when 0 then case when len(terms) > 0 then [plain, question] else [question] end when 1 then [question] else case when compared then list_concat([re, question || ' V1 旧版 原规则', question || ' V2 新版 当前规则'], ex) else list_concat([re], ex) end end, '~') as queries,
+    case when k = 0 then 'bm25' else mode end as mode, case when k = 1 or customer % 3 = 0 then '' when customer % 3 = 1 then 'RULE,SOP' else '' end as types,
+    case when k = 1 and customer % 3 = 2 then null else 'orders' end as business_domain, case k when 0 then 'EXACT' when 1 then 'RELAXED' else case when customer % 2 = 0 then 'REWRITTEN' else 'FALLBACK_REWRITE' end end as query_variant from c""")
+def ana10_plan_retry(read):
+    return analysis.plan_retry(_retry(read)).select("query_id", F.array_join("queries", "~").alias("queries"), "mode", F.array_join("target_types", ",").alias("types"), "business_domain", "query_variant")
+
+
+@query(f"with {ASKED} select query_id, trim({FALLBACK}) as rewritten, array_to_string(case when {has('question', analysis.FALLBACK_COMPARISON)} then [question || ' 旧版 规则', question || ' 新版 生效规则'] else list_filter(['c', 'd'], lambda x: x <> trim({FALLBACK})) end, '~') as expanded from a")
+def ana11_rewrite_fallback(read):
+    r = analysis.rewrite_fallback(F.col("question"), F.array(F.lit("c"), F.lit("d"), F.lit("e")))
+    return _asked(read).select("query_id", r.alias("r")).select("query_id", "r.rewritten", F.array_join("r.expanded", "~").alias("expanded"))
+
+
+@query(f"""select query_id, case when k = 3 and customer % 2 = 0 and customer % 5 <> 0 then 'dependent' when {STRATEGY} <> 'QUERY_REWRITE' and customer % 2 = 0 then 'retry' when customer % 5 <> 0 then 'context' else 'finish' end as next_step,
+    case when customer % 7 = 0 then 'RETRIEVAL_INSUFFICIENT' when k = 0 then 'CONTEXT_READY' when k = 1 then 'RERANK_READY' else 'RETRIEVAL_READY' end as status from {{asked}}""")
+def ana12_route(read):
+    a = read("asked").withColumns({
+        "has_candidates": F.col("customer") % 5 != 0, "round_no": F.when(F.col("customer") % 2 == 0, 1).otherwise(2), "dependent_status": F.when(F.col("k") == 3, "FIRST_HOP_READY"), "retry_strategy": F.when(F.col("k") == 0, "FORCE_BM25").when(F.col("k") == 1, "RELAX_FILTER").otherwise("NONE"),
+        "quality": F.when(F.col("customer") % 7 == 0, "POOR").otherwise("GOOD"), "has_context": F.col("k") == 0, "has_reranked": F.col("k") == 1,
+    })
+    return analysis.final_status(analysis.route(a)).select("query_id", "next_step", "status")
+
+
+FACT = """case when k = 3 then 'no fact found' when customer % 11 = 0 then 'fact, quote and chunk are needed' when customer % 11 = 1 then 'only a connecting phrase' when customer % 11 = 2 then 'confidence too low' when customer % 11 = 3 then 'not a candidate' when customer % 11 = 4 then 'quote not in the chunk' end"""
+
+
+def _facts(read):
+    a, n = read("asked"), F.col("customer") % 11
+    facts = a.select(
+        "query_id", (F.col("k") != 3).alias("success"), F.when(n == 1, "，核实订单之后。").otherwise(F.concat(F.lit(" 订单  "), F.col("customer").cast("string"))).alias("intermediate_fact"), F.when(n == 0, " ").when(n == 4, "别的话").otherwise("已  支付").alias("evidence_quote"),
+        F.when(n == 3, 99).otherwise(2).cast("long").alias("supporting_chunk_id"), F.when(n == 2, 0.5).otherwise(0.9).alias("confidence"),
+    )
+    candidates = a.select("query_id", F.explode(F.array(F.struct(F.lit(1).alias("rank"), F.lit(1).cast("long").alias("chunk_id"), F.lit("").alias("content")), F.struct(F.lit(2).alias("rank"), F.lit(2).cast("long").alias("chunk_id"), F.lit("订单已支付。").alias("content")))).alias("c")).select("query_id", "c.*")
+    return analysis.validate_fact(facts, candidates)
+
+
+@query(f"select query_id, {FACT} as reason, {FACT} is null as accepted from {{asked}}")
+def ana14_validate_fact(read):
+    return _facts(read).select("query_id", "reason", "accepted")
+
+
+@query(f"select query_id, case when {FACT} is null then '查询 订单 ' || customer || ' 的退款' else question end as query from (select query_id, trim(question) as question, k, customer from {{asked}})")
+def ana15_dependent_queries(read):
+    plans = _asked(read).select("query_id", "question", F.lit("查询 {{intermediate_fact}} 的退款").alias("template"))
+    return analysis.dependent_queries(plans, _facts(read))
+
+
+@query("with n as (select query_id, count(*) as n from {items} where quantity > 47 group by 1) select c.case_code as query_id, case when n is null then 'POOR' when n = 1 then 'WEAK' else 'GOOD' end as grade from {cases} c left join n on n.query_id = c.case_code")
+def ana16_grade_simple(read):
+    return analysis.grade_simple(read("cases").withColumnRenamed("case_code", "query_id"), read("items").where("quantity > 47")).select("query_id", "grade")
+
+
+POLICIES = "ord int, code string, trigger_groups array<array<string>>, required_any_terms array<string>, excluded_terms array<string>, required_slots array<struct<code:string,label:string,values:array<string>>>, clarification_question string"
+
+
+def _policies(spark):
+    """A small configuration table."""
+    rows = [(1, "REFUND", [["退款"], ["多久", "条件"]], [], ["15"], [("order", "订单", ["ORD-A-7", "E1024"]), ("days", "天数", ["天"])], "哪个订单？"), (2, "LOCATION", [["车位置", "看不到车"]], ["不刷新"], [], [("car", "车辆", ["order_status"])], "哪辆车？")]
+    return spark.createDataFrame(rows, POLICIES)
+
+
+BARE = "lower(regexp_replace(question, '[^\\p{L}\\p{N}]+', '', 'g'))"
+CLARIFIED = f"""p as (select query_id, {BARE} as q from {{asked}}), c0 as (select query_id, case when contains(q, '退款') and (contains(q, '多久') or contains(q, '条件')) and not contains(q, '15') then 1 when (contains(q, '车位置') or contains(q, '看不到车')) and contains(q, '不刷新') then 2 end as policy,
+    contains(q, 'orda7') or contains(q, 'e1024') as has_order, contains(q, '天') as has_days, contains(q, 'orderstatus') as has_car from p),
+    clarified as (select query_id, case policy when 1 then 'REFUND' else 'LOCATION' end as policy_code, case policy when 1 then '哪个订单？' else '哪辆车？' end as ask, case policy when 1 then array_to_string(list_filter([case when not has_order then '订单' end, case when not has_days then '天数' end], lambda x: x is not null), ',') when 2 then case when not has_car then '车辆' else '' end end as missing from c0 where policy is not null)"""
+
+
+@query(f"with {CLARIFIED} select query_id, policy_code, ask as clarification_question, missing from clarified where missing <> ''")
+def act1_clarify(read):
+    a = _asked(read)
+    return analysis.clarify(a, _policies(a.sparkSession)).select("query_id", "policy_code", "clarification_question", F.array_join(F.transform("missing_slots", lambda s: s["label"]), ",").alias("missing"))
+
+
+def _contexts(read):
+    return read("asked").select("query_id", F.when(F.col("k") == 0, "").when(F.col("k") == 1, "需要 3 天或 15个工作日，或 7 天").otherwise("15工作日内处理").alias("context"))
+
+
+GAP = f"gap as (select query_id, case when query_id % 5 = 1 and not (k = 1 and customer % 30 in (3, 7)) then (customer % 30) || '天' when query_id % 5 = 3 and k = 0 then '15工作日' end as gap from {{asked}})"
+
+
+@query(f"with {GAP} select query_id, gap as missing from gap where gap is not null")
+def act2_constraint_gap(read):
+    return analysis.constraint_gap(_asked(read), _contexts(read)).select("query_id", F.array_join("missing", ",").alias("missing"))
+
+
+def _decided(read):
+    a = _asked(read)
+    q = a.select("query_id", "question", (F.col("customer") % 13 == 0).alias("need_clarification"), F.when(F.col("customer") % 26 == 0, " 哪一个？ ").alias("clarification_question"), F.when(F.col("price") > 100000, 0.9).otherwise(0.5).alias("confidence"))
+    n = F.col("customer") % 5
+    s = a.where("customer % 5 < 4").select("query_id", (n == 0).alias("needs_clarification"), F.when(F.col("price") > 50000, 0.8).otherwise(0.3).alias("clarify_confidence"), F.lit("说明什么？").alias("clarify_question"), (n == 1).alias("answerable"), F.when(n == 2, 0.9).otherwise(0.1).alias("answer_confidence"))
+    return analysis.decide(q, _policies(a.sparkSession), _contexts(read), s)
+
+
+DECIDED = f"""{CLARIFIED}, {GAP}, d as (select a.query_id, case when a.customer % 26 = 0 and a.price > 100000 then 'CLARIFY|QUERY_ANALYSIS|哪一个？' when c.query_id is not null then 'CLARIFY|POLICY_ENGINE|' || c.ask when a.k = 0 then 'REFUSE|EMPTY_CONTEXT|' when g.gap is not null then 'REFUSE|CONSTRAINT_GUARD|'
+    when a.customer % 5 = 0 and a.price > 50000 then 'CLARIFY|LLM_EVIDENCE|说明什么？' when a.customer % 5 = 1 then 'ANSWER|LLM_EVIDENCE|' when a.customer % 5 = 2 then 'REFUSE|LLM_EVIDENCE|' else 'ANSWER|FALLBACK|' end as d from {{asked}} a left join (select * from clarified where missing <> '') c using (query_id) left join gap g using (query_id)),
+    decided as (select query_id, split_part(d, '|', 1) as action, split_part(d, '|', 2) as decision_source, split_part(d, '|', 3) as ask from d)"""
+
+
+@query(f"with {DECIDED} select query_id, action, decision_source, ask from decided")
+def act3_decide(read):
+    return _decided(read).select("query_id", "action", "decision_source", F.coalesce("clarification_question", F.lit("")).alias("ask"))
+
+
+@query(f"with {DECIDED} select query_id, case action when 'CLARIFY' then 'CLARIFIED' else 'REFUSED' end as status, case action when 'CLARIFY' then ask else '{analysis.REFUSE_TEXT}' end as answer from decided where action <> 'ANSWER'")
+def act5_direct_response(read):
+    return analysis.direct_response(_decided(read))
+
+
+@query("select query_id, case when customer % 4 < 2 and price > 100000 then 'model' else 'rule' end as mode, not (customer % 4 < 2 and price > 100000) as fallback_used from {asked}")
+def jn14_gate(read):
+    a = read("asked")
+    model = a.where("customer % 4 < 2").select("query_id", F.lit("model").alias("mode"), F.when(F.col("price") > 100000, 0.6).otherwise(0.59).alias("confidence"))
+    return analysis.gate(a.select("query_id", F.lit("rule").alias("mode")), model, ("mode",))
+
+
+# -- retrieval -------------------------------------------------------------------------
+
+
+@query("""with h as (select *, case query_id % 3 when 0 then 'vector' else 'bm25' end as mode, query_id % 2 = 0 as one from {hits}), k as (select h.query_id, h.chunk_id, h.rank, h.score, h.mode, chunk_id % 4 as kind, one from h where source = mode)
+    select query_id, chunk_id, cast(row_number() over (partition by query_id order by rank, chunk_id) as int) as rank, score, mode from k where not one or kind = 1 qualify row_number() over (partition by query_id order by rank, chunk_id) <= 20""")
+def ret7_auto(read):
+    hits = read("hits")
+    analysed = hits.select("query_id").distinct().withColumn("mode", F.when(F.col("query_id") % 3 == 0, "vector").otherwise("bm25")).withColumn("target_types", F.when(F.col("query_id") % 2 == 0, F.array(F.lit("SOP"))).otherwise(F.array(F.lit("SOP"), F.lit("RULE"))))
+    kinds = hits.select("chunk_id").distinct().withColumn("chunk_type", F.when(F.col("chunk_id") % 4 == 1, "SOP").otherwise("OTHER"))
+    return retrieval.retrieve_auto(analysed, {m: hits.where(F.col("source") == m) for m in ("vector", "bm25")}, kinds)
+
+
+@query("select query_id, case when k = 0 then 'SOP' end as type_filter from {asked}")
+def flt7_effective_filter(read):
+    a = read("asked").select("query_id", F.when(F.col("k") == 0, F.array(F.lit("SOP"))).otherwise(F.array(F.lit("SOP"), F.lit("FAQ"))).alias("target_types"))
+    return retrieval.effective_filter(a).select("query_id", "type_filter")
+
+
+@query("select query_id, variant, query from (select query_id, unnest([question, 'q' || customer, 'x']) as query, unnest([0, 1, 2]) as variant from {asked} where k > 0 union all select query_id, unnest(['x', 'a', 'b', 'c', 'd']), unnest([0, 1, 2, 3, 4]) from {asked} where k = 0)")
+def ret8_fan_out(read):
+    some = F.array(F.col("question"), F.lit(" "), F.concat(F.lit("q"), F.col("customer").cast("string")), F.col("question"), F.lit("x"))
+    many = F.array(*[F.lit(x) for x in "xabxcde"])
+    return retrieval.fan_out(read("asked").select("query_id", F.when(F.col("k") == 0, many).otherwise(some).alias("queries")))
+
+
+def _searched(read):
+    """Round hits of line items: the first lists, or what a retry's mode asks for."""
+    v, b = read("vector_hits").where("rank <= 4"), read("bm25_hits").where("rank <= 4")
+
+    def search(rows):
+        both = b.withColumn("m", F.lit("bm25")).unionByName(v.withColumn("m", F.lit("vector")))
+        return rows.select("query_id", "mode").join(both, "query_id").where(F.col("m") == F.col("mode")).select("query_id", "rank", "chunk_id", "score", "source", F.array("source").alias("sources"))
+
+    return search
+
+
+@query("""with q as (select case_code as query_id, case when case_code % 2 = 0 then ['RULE'] else [] end as types, case_code % 3 = 0 as exact from {cases}), h as (select q.query_id, v.rank, v.chunk_id, v.score, v.chunk_id % 4 = 0 as is_rule, v.chunk_id % 50 as doc from q join {vector_hits} v on v.query_id = q.query_id and v.rank <= 4),
+    f as (select q.query_id, q.exact, q.types, count(h.chunk_id) as n, count(distinct doc) as docs, coalesce(max(cast(is_rule as int)), 0) as has_rule from q left join h using (query_id) group by all),
+    g as (select *, case when n = 0 then 'RELAX_FILTER' when exact then 'FORCE_BM25' when len(types) > 0 and has_rule = 0 then 'RELAX_FILTER' when n < 3 or docs < 2 then 'QUERY_REWRITE' else 'NONE' end as strategy from f),
+    w as (select query_id, strategy, case strategy when 'FORCE_BM25' then 1.0 when 'RELAX_FILTER' then 0.8 else 0.9 end as weight, case strategy when 'FORCE_BM25' then 'bm25' else 'vector' end as mode from g where strategy <> 'NONE'),
+    parts as (select query_id, chunk_id, 1 as round_no, rank, 1.0 / (60 + rank) as part from h union all select w.query_id, x.chunk_id, 2, x.rank, w.weight / (60 + x.rank) from w join {hits} x on x.query_id = w.query_id and x.source = w.mode and x.rank <= 4),
+    fused as (select query_id, chunk_id, round(sum(part), 9) as score, string_agg(cast(round_no as varchar), ',' order by round_no) as rounds, min(round_no * 1000 + rank) as seen from parts group by 1, 2)
+    select fused.query_id, chunk_id, score, fused.rounds, cast(row_number() over (partition by fused.query_id order by score desc, seen, chunk_id) as int) as rank, g.strategy as retry_strategy from fused join g using (query_id)""")
+def ana13_adaptive(read):
+    exact = F.col("query_id") % 3 == 0
+    q = read("cases").select(F.col("case_code").alias("query_id")).select("query_id", F.when(exact, "E1024 order").otherwise("order").alias("question"), F.array(F.lit("order")).alias("queries"), F.lit("vector").alias("mode"), F.when(F.col("query_id") % 2 == 0, F.array(F.lit("RULE"))).otherwise(F.array().cast("array<string>")).alias("target_types"), F.lit("d").alias("business_domain"))
+    hits = read("hits").select("chunk_id").distinct()
+    chunks = hits.select("chunk_id", (F.col("chunk_id") % 50).alias("doc_id"), F.when(F.col("chunk_id") % 4 == 0, "RULE").otherwise("SOP").alias("chunk_type"), *[F.lit("text").alias(c) for c in ("content", "title", "title_path", "source_section")], F.lit(None).cast("string").alias("version"))
+    rewrites = q.select("query_id", F.lit(None).cast("string").alias("rewritten"), F.lit(None).cast("array<string>").alias("expanded"))
+    fused, decided = loop.adaptive_retrieve(q, _searched(read), lambda h: h.select("query_id", "chunk_id", "rank", "score", F.lit(0.9).alias("rerank_score")), chunks, rewrites)
+    return fused.join(decided.select("query_id", "retry_strategy"), "query_id").select("query_id", "chunk_id", "score", F.array_join("rounds", ",").alias("rounds"), "rank", "retry_strategy")
+
+
+@query("select query_id, 5 + least(k, 3) as top_n from {asked}")
+def rnk4_effective_n(read):
+    return fusion.effective_n(read("asked").select("query_id", F.when(F.col("k") > 0, F.array_repeat(F.lit("q"), F.col("k").cast("int"))).alias("sub_queries"))).select("query_id", "top_n")
+
+
+# -- contexts -----------------------------------------------------------------------------
+
+
+def _hits(read):
+    return read("case_hits").select(F.col("case_code").alias("query_id"), F.when(F.col("chunk_id") % 9 > 0, F.col("chunk_id")).alias("chunk_id"), "rank", (1.0 / (1 + F.col("rank"))).alias("score"), F.when(F.col("chunk_id") % 2 == 0, 0.5).otherwise(0.0).alias("rerank_score"))
+
+
+CONTEXT_ROWS = "rows_ as (select case_code as query_id, chunk_id, rank as pos, case when chunk_id % 2 = 0 then 0.5 else 1.0 / (1 + rank) end as sort_score from {case_hits} where chunk_id % 9 > 0)"
+
+
+@query(f"with {CONTEXT_ROWS} select query_id, chunk_id, pos, round(sort_score, 9) as sort_score, 'SELF' as relation from rows_")
+def prj20_ctx1_rows(read):
+    return context.context_rows(_hits(read)).withColumn("sort_score", F.round("sort_score", 9))
+
+
+RELATED = """types as (select distinct chunk_id, case chunk_id % 3 when 0 then 'SOP' when 1 then 'RULE' else 'FAQ' end as chunk_type, chunk_id % 7 > 0 as active from {hits}),
+    pairs as (select chunk_id as a, lead(chunk_id) over (order by chunk_id) as b, case chunk_id % 3 when 0 then 'PARENT_CHILD' when 1 then 'PREVIOUS_NEXT' else 'SAME_SECTION' end as relation, chunk_id % 5 as sort_order from types),
+    edges as (select a as chunk_id, b as other, relation, sort_order from pairs where b is not null union all select b, a, relation, sort_order from pairs where b is not null)"""
+
+
+@query(f"""with {CONTEXT_ROWS}, {RELATED}, n as (select r.*, e.other, e.relation, e.sort_order from rows_ r join types t using (chunk_id) join edges e using (chunk_id) where (t.chunk_type = 'SOP' and e.relation in ('PARENT_CHILD', 'PREVIOUS_NEXT')) or (t.chunk_type = 'RULE' and e.relation in ('PREVIOUS_NEXT', 'SAME_SECTION'))),
+    k as (select *, row_number() over (partition by query_id, pos order by sort_order, relation, other) as nth from n qualify nth <= 2)
+    select query_id, chunk_id, pos, round(sort_score, 9) as sort_score, 'SELF' as relation from rows_ union all select query_id, other, pos + 1000000, round(sort_score - 0.01, 9), relation from k join types t on t.chunk_id = k.other where t.active""")
+def jn11_expand(read):
+    kinds = read("hits").select("chunk_id").distinct()
+    chunks = kinds.select("chunk_id", F.when(F.col("chunk_id") % 3 == 0, "SOP").when(F.col("chunk_id") % 3 == 1, "RULE").otherwise("FAQ").alias("chunk_type"), F.when(F.col("chunk_id") % 7 > 0, "ACTIVE").otherwise("INACTIVE").alias("status"))
+    order = fusion.Window.orderBy("chunk_id")
+    pairs = kinds.withColumn("to_chunk_id", F.lead("chunk_id").over(order)).where("to_chunk_id is not null")
+    relations = pairs.select(F.col("chunk_id").alias("from_chunk_id"), "to_chunk_id", F.when(F.col("chunk_id") % 3 == 0, "PARENT_CHILD").when(F.col("chunk_id") % 3 == 1, "PREVIOUS_NEXT").otherwise("SAME_SECTION").alias("relation_type"), (F.col("chunk_id") % 5).alias("sort_order"))
+    return context.expand_hits(context.context_rows(_hits(read)), relations, chunks).drop("nth").withColumn("sort_score", F.round("sort_score", 9))
+
+
+def _packed(read):
+    return context.citations(read("case_hits").where("rank <= 6").select(F.col("case_code").alias("query_id"), F.col("rank").alias("place"), "chunk_id", (1.0 / F.col("rank")).alias("sort_score")))
+
+
+def _named(read):
+    return read("hits").select("chunk_id").distinct().select("chunk_id", F.concat(F.lit("t"), F.col("chunk_id").cast("string")).alias("title"), F.concat(F.lit("c"), F.col("chunk_id").cast("string")).alias("content"))
+
+
+BLOCK = "'[C' || rank || '] t' || chunk_id || chr(10) || 'c' || chunk_id"
+
+
+@query(f"select case_code as query_id, string_agg({BLOCK}, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context from {{case_hits}} where rank <= 6 group by 1")
+def ctx4_rendered(read):
+    return context.render(_packed(read), _named(read))
+
+
+@query(f"""with p as (select case_code as query_id, rank, chunk_id, {BLOCK} as b from {{case_hits}} where rank <= 6)
+    select query_id, '子问题：one' || chr(10) || coalesce(string_agg(case when chunk_id % 3 = 0 then b end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank), '（未找到相关证据）') || chr(10) || chr(10) || '子问题：two' || chr(10) || coalesce(string_agg(case when chunk_id % 3 in (0, 1) then b end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank), '（未找到相关证据）')
+    || case when count(case when chunk_id % 3 = 2 then 1 end) > 0 then chr(10) || chr(10) || '其他证据：' || chr(10) || string_agg(case when chunk_id % 3 = 2 then b end, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) else '' end as context from p group by query_id""")
+def ctx5_grouped(read):
+    packed = _packed(read).withColumn("sub_query_ids", F.when(F.col("chunk_id") % 3 == 0, F.array(F.lit("SQ1"), F.lit("SQ2"))).when(F.col("chunk_id") % 3 == 1, F.array(F.lit("SQ2"))).otherwise(F.array().cast("array<string>")))
+    subs = packed.select("query_id").distinct().select("query_id", F.explode(F.array(F.struct(F.lit(1).alias("sub_query_ord"), F.lit("SQ1").alias("sub_query_id"), F.lit("one").alias("question")), F.struct(F.lit(2).alias("sub_query_ord"), F.lit("SQ2").alias("sub_query_id"), F.lit("two").alias("question")))).alias("s")).select("query_id", "s.*")
+    return context.render_grouped(packed, _named(read), subs)
+
+
+@query("select distinct case_code as query_id, chunk_id from {case_hits} where rank in (2, 5)")
+def ctx8_cited(read):
+    packed = _packed(read)
+    return context.cited_chunks(packed.select("query_id").distinct().withColumn("answer", F.lit("as [C5] and [C2], [C2] say [C77]")), packed)
+
+
+@query("""select query_id, source as channel, 1 as round_no, rank as rank_no, chunk_id, score as raw_score, -1.0 as fused_score, -1.0 as rerank_score from {hits} where rank <= 3 union all select query_id, 'rerank', -1, rank, chunk_id, -1, -1, score from {vector_hits} where rank <= 2
+    union all select case_code, 'final', -1, rank, chunk_id, -1, round(1.0 / rank, 9), -1 from {case_hits} where rank <= 6""")
+def ctx9_hit_log(read):
+    logged = context.hit_log(read("hits").where("rank <= 3").withColumn("round_no", F.lit(1)), read("vector_hits").where("rank <= 2").withColumn("rerank_score", F.col("score")), _packed(read))
+    return logged.withColumn("fused_score", F.round("fused_score", 9)).fillna(-1, ["round_no", "raw_score", "fused_score", "rerank_score"])
+
+
+@query("select case_code as query_id, string_agg('[C' || rank || '] t' || chunk_id, chr(10) order by rank) as citation_summary, case when case_code % 2 = 0 then 'SQ1：one' || chr(10) || 'SQ2：two' else '' end as sub_query_plan from {case_hits} where rank <= 6 group by case_code")
+def ctx10_answer_inputs(read):
+    packed = _packed(read)
+    q = packed.select("query_id").distinct()
+    subs = q.where("query_id % 2 = 0").select("query_id", F.explode(F.array(F.struct(F.lit(2).alias("sub_query_ord"), F.lit("SQ2").alias("sub_query_id"), F.lit("two").alias("question")), F.struct(F.lit(1).alias("sub_query_ord"), F.lit("SQ1").alias("sub_query_id"), F.lit("one").alias("question")))).alias("s")).select("query_id", "s.*")
+    return context.answer_inputs(q, packed, _named(read), subs)
+
+
+@query("with n as (select case_code, count(*) as had from {case_hits} where rank <= 9 group by 1) select c.case_code as query_id, case when had is null then 0 else least(had, 6) end as n_chunks, case when had is null then 'EMPTY' when had > 6 then 'TRUNCATED' else 'SUCCESS' end as status from {cases} c left join (select * from n where case_code % 5 > 0) n using (case_code)")
+def ctx2_status(read):
+    rows = read("case_hits").where("rank <= 9 and case_code % 5 > 0").withColumnRenamed("case_code", "query_id")
+    return context.context_status(read("cases").withColumnRenamed("case_code", "query_id"), rows, rows.where("rank <= 6"))
