@@ -70,10 +70,9 @@ def prj6_split_multi(read):
     return read("pages").select("page_id", F.array_join(T.split_multi(F.regexp_replace("url", "[/?]", ";")), "~").alias("parts"))
 
 
-@query("select page_id, array_to_string(list_distinct(regexp_extract_all(url, '[a-z]+_[a-z]+')), ',') as none from {pages} where false union all select page_id, '' from {pages} where not regexp_matches(url, '[a-z0-9]_[a-z0-9]|[A-Z][0-9]{3}|/api/')")
+@query()
 def fn3_exact_terms(read):
-    p = read("pages").where(~F.col("url").rlike("[a-z0-9]_[a-z0-9]|[A-Z][0-9]{3}|/api/"))
-    return p.select("page_id", F.array_join(T.exact_terms(F.col("url")), ",").alias("none"))
+    return read("pages").select("page_id", F.array_join(T.exact_terms(F.col("url")), ",").alias("none"))
 
 
 @query("select doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) as squeezed, sha256(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))) as letters from {documents}")
@@ -373,8 +372,8 @@ def rnk1_rerank(read):
     return fusion.rerank(h, scores, limit=10).select("query_id", "chunk_id", "rank")
 
 
-@query("""with s as (select *, row_number() over (partition by query_id order by (chunk_id * 37 % 101) / 100.0 desc, rank) as r from {vector_hits} where rank <= 50 and query_id % 2 = 0)
-    select query_id, chunk_id, cast(r as int) as rank, 'SUCCESS' as status from s where r <= 5 union all select query_id, chunk_id, rank, 'FALLBACK' from {vector_hits} where query_id % 2 = 1 and rank <= 5""")
+@query("""select query_id, chunk_id, cast(r as int) as rank, case when query_id % 2 = 0 then 'SUCCESS' else 'FALLBACK' end as status
+    from (select query_id, chunk_id, case when query_id % 2 = 0 then row_number() over (partition by query_id order by (chunk_id * 37 % 101) / 100.0 desc, rank) else rank end as r from {vector_hits}) x where r <= 5""")
 def rnk3_fallback(read):
     h = read("vector_hits").withColumn("content", F.lit("x"))
     scores = h.where("query_id % 2 = 0").select("query_id", "chunk_id", ((F.col("chunk_id") * 37 % 101) / 100.0).alias("rerank_score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import user
 from ..operators import analysis, context, fusion, loop, retrieval
 from .catalog import query
 
@@ -370,3 +371,15 @@ def ctx10_answer_inputs(read):
 def ctx2_status(read):
     rows = read("case_hits").where("rank <= 9 and case_code % 5 > 0").withColumnRenamed("case_code", "query_id")
     return context.context_status(read("cases").withColumnRenamed("case_code", "query_id"), rows, rows.where("rank <= 6"))
+
+
+@query("select query_id, chunk_id, round(length(query) / (1.0 + length(content)), 9) as rerank_score from (select q.query_id, q.query, c.chunk_id, c.content from {questions} q join {chunks} c on c.chunk_id % 40 = q.query_id)")
+def u1_score_pairs(read):
+    pairs = read("questions").join(read("chunks"), F.col("chunk_id") % 40 == F.col("query_id")).select("query_id", "chunk_id", "query", "content")
+    return user.score_pairs(pairs, lambda q, c: [len(x) / (1.0 + len(y)) for x, y in zip(q, c, strict=True)]).withColumn("rerank_score", F.round("rerank_score", 9))
+
+
+@query("select query_id, round(cast(length(query) as double), 6) as a, round(length(replace(query, 'e', '')) / (1.0 + length(query)), 6) as b from {questions}")
+def u2_embed(read):
+    v = user.embed(read("questions"), lambda texts: [[float(len(t)), len(t.replace("e", "")) / (1.0 + len(t))] for t in texts], "query_id", "query")
+    return v.select("query_id", F.round(F.col("vector")[0], 6).alias("a"), F.round(F.col("vector")[1], 6).alias("b"))
