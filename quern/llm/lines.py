@@ -15,7 +15,7 @@ character of a line is in a shingle.
 3. The values stand in a rectangle; its columns and diagonals are the bands. Two
    lines of similarity 0.8 share a band with a probability of 0.98, of 0.85 with 0.995.
 4. In a band each line is compared with the band's first line, by the exact Jaccard
-   similarity of all their shingles. Pairs at or above the threshold make
+   similarity of all their shingles, as sets of 64-bit hashes. Pairs at or above the threshold make
    components. Bands whose lines are then still in several components are compared
    exactly, each line with all of other components, in cells of bounded size, until
    no two near lines of a band are apart.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, written
-from .graph import blocks, components
+from .graph import components
 from .repeats import LAST
 
 THRESHOLD = 0.8
@@ -42,7 +42,7 @@ THRESHOLD = 0.8
 SHORT, LONG, WINDOW = 6, 12, 5
 #: The rectangle of MinHash values; a band has one value of each row.
 ROWS, COLUMNS, SLOPES = 4, 5, 2
-#: Lines of a band that are compared in one cell, about twice as many where two blocks meet.
+#: Lines of a block; two blocks of a band are compared in one cell.
 CELL = 128
 
 
@@ -60,18 +60,6 @@ def band_places(rows: int = ROWS, columns: int = COLUMNS, slopes: int = SLOPES)
     return [[columns * r + (slope * r + c) % columns for r in range(rows)] for slope in range(slopes) for c in range(columns)]
 
 
-def shingles(line: Column) -> Column:
-    """The shingles of a line, in no order and with repetitions."""
-    given = F.array(F.struct(F.array_remove(F.split(line, " "), "").alias("words")))
-    long = lambda x: F.flatten(F.transform(F.filter(x["words"], lambda w: F.char_length(w) > LONG), lambda w: F.regexp_extract_all(w, F.lit(rf"(?s)(?=(.{{{WINDOW}}}))"), 1)))
-
-    def anchored(words):
-        more = lambda w, i: F.when(F.char_length(w) >= SHORT, w).otherwise(F.substring(F.concat(w, F.lit(" "), F.coalesce(F.get(words, i + 1), F.lit(""))), 1, SHORT))
-        return F.filter(F.transform(words, lambda w, i: F.when(F.char_length(w) <= LONG, more(w, i))), lambda w: w.isNotNull())
-
-    return F.transform(given, lambda x: F.concat(anchored(x["words"]), long(x)))[0]
-
-
 def identity(doc_id: Column, text: Column) -> list[Column]:
     """doc and twin, which order and tell apart documents."""
     return [F.coalesce(doc_id.cast("long"), F.lit(int(LAST))).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("twin")]
@@ -89,20 +77,20 @@ def first_lines(documents: DataFrame) -> DataFrame:
     return hashed.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def exploded_shingles(lines: DataFrame) -> DataFrame:
-    """h1, h2 and h, the hash of a shingle, for the shingles that ``shingles`` gives; without functions on arrays, which are not compiled."""
+def shingles(lines: DataFrame, *keys: str) -> DataFrame:
+    """The keys and h, the hash of a shingle, of each shingle of ``line``. Rows instead of functions on arrays, as those are not compiled."""
     words = F.array_remove(F.split("line", " "), "")
-    pairs = lines.select("h1", "h2", words.alias("words")).select("h1", "h2", F.inline(F.arrays_zip("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("after"))).alias("word", "after"))
+    pairs = lines.select(*keys, words.alias("words")).select(*keys, F.inline(F.arrays_zip("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("after"))).alias("word", "after"))
     word = F.col("word")
     lengthened = F.substring(F.concat(word, F.lit(" "), F.coalesce("after", F.lit(""))), 1, SHORT)
     anchored = F.when(F.char_length(word) >= SHORT, F.substring(word, 1, LONG)).otherwise(lengthened)
     every = F.when(F.char_length(word) > LONG, F.regexp_extract_all(word, F.lit(rf"(?s)(?=(.{{{WINDOW}}}))"), 1)).otherwise(F.array(anchored))
-    return pairs.select("h1", "h2", F.explode(every).alias("shingle")).select("h1", "h2", F.xxhash64("shingle").alias("h"))
+    return pairs.select(*keys, F.explode(every).alias("shingle")).select(*keys, F.xxhash64("shingle").alias("h"))
 
 
 def banded(first: DataFrame) -> DataFrame:
     """h1, h2 and bands of lines."""
-    hashes = exploded_shingles(first)
+    hashes = shingles(first, "h1", "h2")
     signed = hashes.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants())])
     return signed.select("h1", "h2", F.array(*[F.xxhash64(F.lit(k), *[f"m{i}" for i in places]) for k, places in enumerate(band_places())]).alias("bands"))
 
@@ -120,44 +108,56 @@ def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 27) ->
     return joined.where(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8).cast("int") + 1)) != 0).drop("bucket", "bitmap")
 
 
-def near(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two sets have at least the threshold's Jaccard similarity."""
-    return F.transform(F.array(F.size(F.array_intersect(a, b))), lambda c: c >= F.lit(threshold) * (F.size(a) + F.size(b) - c) - 1e-9)[0]
+def near(a: Column, b: Column, both: Column, threshold: float) -> Column:
+    """Whether two sets, ``both`` of whose elements are common, have at least the threshold's Jaccard similarity."""
+    return both >= F.lit(threshold) * (F.size(a) + F.size(b) - both) - 1e-9
 
 
-def near_in_cell(members: Column, across: Column, threshold: float) -> Column:
-    """Of each member (id, component, side, line) of a cell that is near to members before it in other
-    components: a (its component), b (the smallest of theirs) and more (whether there are others)."""
-    sets = F.transform(members, lambda m: F.struct(m["id"].alias("id"), m["component"].alias("component"), m["side"].alias("side"), F.array_distinct(shingles(m["line"])).alias("set")))
+def near_in_cell(members: Column, threshold: float) -> Column:
+    """Of each asking member (id, component, rest, asks, set) of a cell that is near to others of other components:
+    a (its component), b (the smallest of theirs) and more (whether there are several). Of two that both ask in
+    their band the later one asks."""
 
     def alike(x, y):
-        apart = (y["id"] < x["id"]) & (y["component"] != x["component"]) & (~across | (y["side"] != x["side"]))
+        apart = (y["component"] != x["component"]) & (~y["rest"] | (y["id"] < x["id"]))
         n, m = F.size(x["set"]), F.size(y["set"])
         possible = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9
-        return F.when(~apart, False).when(~possible, False).otherwise(near(x["set"], y["set"], threshold))
+        return F.when(~apart, False).when(~possible, False).otherwise(F.transform(F.array(F.size(F.array_intersect(x["set"], y["set"]))), lambda c: near(x["set"], y["set"], c, threshold))[0])
 
-    def others(every):
-        found = F.transform(every, lambda x: F.struct(x["component"].alias("a"), F.transform(F.filter(every, lambda y: alike(x, y)), lambda y: y["component"]).alias("to")))
+    def links(cell):
+        found = F.transform(F.filter(cell, lambda x: x["asks"]), lambda x: F.struct(x["component"].alias("a"), F.transform(F.filter(cell, lambda y: F.when(y["asks"], False).otherwise(alike(x, y))), lambda y: y["component"]).alias("to")))
         return F.transform(F.filter(found, lambda x: F.size(x["to"]) > 0), lambda x: F.struct(x["a"].alias("a"), F.array_min(x["to"]).alias("b"), (F.array_min(x["to"]) < F.array_max(x["to"])).alias("more")))
 
-    return F.transform(F.array(sets), others)[0]
+    return F.transform(F.array(members), links)[0]
+
+
+def cells_of(placed: DataFrame, sets: DataFrame, cell: int = CELL) -> DataFrame:
+    """(band, members) of bands (band, id, component): the lines outside a band's largest component ask, all are asked.
+
+    Both are dealt into blocks of about ``cell`` lines, and each two blocks share a cell, so lines of the largest
+    component are never compared with each other, and if few are outside, all others are in one cell each."""
+    counted = placed.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    blocks = lambda n: F.ceil(n / cell).cast("int")
+    sized = placed.join(counted.where("most < n").select("band", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most")).alias("rest_blocks")), "band").join(sets, "id").withColumn("rest", F.col("component") != F.col("main"))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = sized.where("rest").select("band", own("rest_blocks").alias("i"), upto("all_blocks").alias("j"), "id", "component", "rest", F.lit(True).alias("asks"), "set")
+    asked = sized.select("band", upto("rest_blocks").alias("i"), own("all_blocks").alias("j"), "id", "component", "rest", F.lit(False).alias("asks"), "set")
+    return asking.unionByName(asked).groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "rest", "asks", "set")).alias("members")).select("band", "members")
 
 
-def rest_of_bands(met: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def rest_of_bands(met: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """``groups`` (id, component) united over all near lines of bands whose lines are in several; of bands with the same lines one counts.
 
     A line makes one link in a round, however many lines it is near to; bands in which one was near to several
     components are looked at again after these links, so a round halves the components that are still apart."""
-    members = durable(met.where("n > 2").select("band", "n", "id").join(texts, "id", "left_semi"))
     bands = None
     while True:
-        placed = members.join(groups, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component"))
+        placed = met.where("n > 2").select("band", "id").join(groups, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
         if bands is None:
             parted = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y")).where("least <> most")
-            bands = parted.groupBy("members", "x", "y").agg(F.min("band").alias("band")).select("band")
-        dealt = blocks(placed.join(bands, "band").join(texts, "id"), "band", "n", CELL, "id")
-        cells = dealt.groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "side", "line")).alias("members")).where("size(members) > 1")
-        found = durable(cells.select("band", F.explode(near_in_cell(F.col("members"), F.col("i") != F.col("j"), threshold)).alias("p")).select("band", "p.*"))
+            bands = durable(parted.groupBy("members", "x", "y").agg(F.min("band").alias("band")).select("band"))
+        found = durable(cells_of(placed.join(bands, "band"), sets).select("band", F.explode(near_in_cell(F.col("members"), threshold)).alias("p")).select("band", "p.*"))
         joined = durable(components(found))
         moved = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
         groups = durable(moved.unionByName(joined.join(groups.select("id"), "id", "left_anti")))
@@ -171,17 +171,17 @@ def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     first = first_lines(documents)
     signed = first.join(banded(first), ["h1", "h2"], "left")
     lines = written(signed.select(F.monotonically_increasing_id().alias("id"), "doc", "twin", "no", "line", "bands"))
-    in_bands = lines.select("id", F.explode("bands").alias("band"))
-    heads = durable(in_bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    in_bands = lines.select("id", F.explode("bands").alias("band")).repartition("band")  # one exchange serves the heads and the join with them
+    heads = in_bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     met = durable(in_bands.join(heads, "band"))
     pairs = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = met.select("id").distinct()
-    texts = durable(only_wanted(lines.select("id", "line"), wanted, "id").join(wanted, "id", "left_semi"))
-    sided = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    sets = F.array(F.struct(F.array_distinct(shingles(F.col("line_a"))).alias("a"), F.array_distinct(shingles(F.col("line_b"))).alias("b")))
-    alike = sided.where(F.transform(sets, lambda p: near(p["a"], p["b"], threshold))[0]).select("a", "b")
-    groups = durable(components(alike))
-    return lines, rest_of_bands(met, groups, texts, threshold)
+    texts = only_wanted(lines.select("id", "line"), wanted, "id").join(wanted, "id", "left_semi")
+    sets = durable(shingles(texts, "id").groupBy("id").agg(F.collect_set("h").alias("set")))
+    sided = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    common = sided.select("a", "b", "set_a", "set_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    groups = durable(components(common.where(near(F.col("set_a"), F.col("set_b"), F.col("both"), threshold)).select("a", "b")))
+    return lines, rest_of_bands(met, groups, sets, threshold)
 
 
 def kept_lines(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
