@@ -8,28 +8,30 @@ from pyspark.sql import functions as F
 from .common import durable
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each larger end u of the distinct edges has one smaller end v, which is no larger end itself: all components are found."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("ups"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("ups"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("ups").alias("ups"), F.max("down").alias("down")).where("ups > 1 or (ups = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every node that has an edge to another; component is the smallest id.
 
     Alternating large-star and small-star rounds: each round links every node's
     larger neighbours, then its smaller ones, to the smallest node around it, so
-    paths halve and a few rounds are enough. A round's edges are written to the
-    shared checkpoint folder. Each round shuffles the remaining edges only;
-    minima are combined before they are shuffled. Null ids and loops are left out.
+    paths halve and a few rounds are enough; it ends when only stars are left. A round's
+    edges are written to the shared checkpoint folder. Each round shuffles the remaining
+    edges only; minima are combined before they are shuffled. Null ids and loops are left out.
     """
     now = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u <> v").distinct())
-    before = None
-    while True:
+    while not are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = durable(small)
-        state = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        before = state
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def blocks(members: DataFrame, group: str, size: str, limit: int, key: str) -> DataFrame:

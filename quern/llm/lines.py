@@ -158,6 +158,8 @@ def rest_of_bands(met: DataFrame, groups: DataFrame, sets: DataFrame, threshold:
             parted = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(2), "id")).alias("y")).where("least <> most")
             bands = durable(parted.groupBy("members", "x", "y").agg(F.min("band").alias("band")).select("band"))
         found = durable(cells_of(placed.join(bands, "band"), sets).select("band", F.explode(near_in_cell(F.col("members"), threshold)).alias("p")).select("band", "p.*"))
+        if found.isEmpty():
+            return groups
         joined = durable(components(found))
         moved = groups.join(joined.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
         groups = durable(moved.unionByName(joined.join(groups.select("id"), "id", "left_anti")))

@@ -302,6 +302,23 @@ def test_components(spark):
     assert got == {**{i: 1 for i in (1, 2, 3, 4)}, **{i: 10 for i in (10, 11, 12)}, **{i: 100 for i in range(100, 161)}}
 
 
+def test_components_of_random_graphs(spark):
+    rnd = random.Random(31)
+    for n in (40, 90):
+        edges = [(rnd.randrange(100), rnd.randrange(100)) for _ in range(n)]
+        root = list(range(100))
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, n_chars long")
     assert repeats.remove_repeats(none).count() == 0
