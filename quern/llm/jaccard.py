@@ -175,11 +175,14 @@ def _verify(threshold: float, trees: int, levels: int, depth: int, before: int |
     return run
 
 
-def _met(classes: DataFrame, trees: int, levels: int, depth: int, block: int) -> DataFrame:
-    """(cell, tree, across, id, side) of classes that share a prefix of ``depth`` values; equal cells of several trees count once."""
+def _met(classes: DataFrame, trees: int, levels: int, depth: int, before: int | None, block: int) -> DataFrame:
+    """(cell, tree, across, id, side) of classes that share a prefix of ``depth`` values; equal cells of several trees count once.
+    Nodes whose classes all share the prefix of ``before`` values too, so that all their pairs have met, are left out."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    in_trees = classes.select("id", "paths", tree).select("id", "tree", F.xxhash64("tree", F.substr("paths", F.col("tree") * (4 * levels) + 1, F.lit(4 * depth))).alias("prefix"))
-    sizes = in_trees.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
+    prefix = lambda n: F.xxhash64("tree", F.substr("paths", F.col("tree") * (4 * levels) + 1, F.lit(4 * n)))
+    in_trees = classes.select("id", "paths", tree).select("id", "tree", prefix(depth).alias("prefix"), (prefix(before) if before else F.col("id")).alias("deeper"))
+    sizes = in_trees.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.min("deeper").alias("a"), F.max("deeper").alias("b")).where("size > 1 and a <> b").select("tree", "prefix", "size")
+    in_trees = in_trees.drop("deeper")
     dealt = blocks(in_trees.join(sizes, ["tree", "prefix"]), "prefix", "size", block, "id")
     cells = dealt.groupBy("tree", "prefix", "i", "j").agg(F.array_sort(F.collect_list(F.struct("id", "side"))).alias("members")).where("size(members) > 1")
     cells = cells.groupBy("members").agg(F.min(F.struct("tree", (F.col("i") != F.col("j")).alias("across"))).alias("of"))
@@ -190,7 +193,7 @@ def _links(rows: DataFrame, classes: DataFrame, threshold: float, k: int, trees:
     """The rows of ``_verify`` of all rounds."""
     found, depth, before, seen = None, levels, None, {}
     while True:
-        placed = durable(_met(classes, trees, levels, depth, block))
+        placed = durable(_met(classes, trees, levels, depth, before, block))
         wanted = classes.join(placed.select("id").distinct(), "id", "left_semi").select("id", "doc", "twin")
         sets = rows.join(wanted, ["doc", "twin"]).select("id", "text").mapInArrow(_sets(k), "id bigint, shingles binary")
         whole = sets.dropDuplicates(["id"]).join(classes.select("id", "copies", "paths"), "id")
