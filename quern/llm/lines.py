@@ -71,7 +71,8 @@ def split_lines(text: Column) -> Column:
 
 def first_lines(documents: DataFrame) -> DataFrame:
     """h1, h2, doc, twin, no and line: the first of equal lines that are not blank."""
-    every = documents.select(*identity(F.col("doc_id"), F.col("text")), F.posexplode(split_lines(F.col("text"))).alias("no", "line")).where(F.trim("line") != "")
+    told_apart = documents.select(*identity(F.col("doc_id"), F.col("text")), "text")  # first, as a text is hashed once and not for each of its lines
+    every = told_apart.select("doc", "twin", F.posexplode(split_lines(F.col("text"))).alias("no", "line")).where(F.trim("line") != "")
     hashed = every.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"), "doc", "twin", "no", "line")
     order = Window.partitionBy("h1", "h2").orderBy("doc", "twin", "no")
     return hashed.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
@@ -79,8 +80,8 @@ def first_lines(documents: DataFrame) -> DataFrame:
 
 def shingles(lines: DataFrame, *keys: str) -> DataFrame:
     """The keys and h, the hash of a shingle, of each shingle of ``line``. Rows instead of functions on arrays, as those are not compiled."""
-    words = F.array_remove(F.split("line", " "), "")
-    pairs = lines.select(*keys, words.alias("words")).select(*keys, F.inline(F.arrays_zip("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("after"))).alias("word", "after"))
+    words = lines.select(*keys, F.array_remove(F.split("line", " "), "").alias("words"))
+    pairs = words.select(*keys, "words", F.posexplode("words").alias("at", "word")).select(*keys, "word", F.get("words", F.col("at") + 1).alias("after"))
     word = F.col("word")
     lengthened = F.substring(F.concat(word, F.lit(" "), F.coalesce("after", F.lit(""))), 1, SHORT)
     anchored = F.when(F.char_length(word) >= SHORT, F.substring(word, 1, LONG)).otherwise(lengthened)
@@ -113,15 +114,25 @@ def near(a: Column, b: Column, both: Column, threshold: float) -> Column:
     return both >= F.lit(threshold) * (F.size(a) + F.size(b) - both) - 1e-9
 
 
+def mask_of(h: Column) -> Column:
+    """An aggregate: 64 bits, of which each hash sets one."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int")))
+
+
+def can_be_near(a: Column, b: Column, mask_a: Column, mask_b: Column, threshold: float) -> Column:
+    """False only for sets below the threshold: each bit that only one mask has stands for an element, at least, that only its set has."""
+    only = lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))
+    return near(a, b, F.least(F.size(a) - only(mask_a, mask_b), F.size(b) - only(mask_b, mask_a)), threshold)
+
+
 def near_in_cell(members: Column, threshold: float) -> Column:
-    """Of each asking member (id, component, rest, asks, set) of a cell that is near to others of other components:
+    """Of each asking member (id, component, rest, asks, set, mask) of a cell that is near to others of other components:
     a (its component), b (the smallest of theirs) and more (whether there are several). Of two that both ask in
     their band the later one asks."""
 
     def alike(x, y):
         apart = (y["component"] != x["component"]) & (~y["rest"] | (y["id"] < x["id"]))
-        n, m = F.size(x["set"]), F.size(y["set"])
-        possible = F.least(n, m) >= F.greatest(n, m) * F.lit(threshold) - 1e-9
+        possible = can_be_near(x["set"], y["set"], x["mask"], y["mask"], threshold)
         return F.when(~apart, False).when(~possible, False).otherwise(F.transform(F.array(F.size(F.array_intersect(x["set"], y["set"]))), lambda c: near(x["set"], y["set"], c, threshold))[0])
 
     def links(cell):
@@ -141,9 +152,9 @@ def cells_of(placed: DataFrame, sets: DataFrame, cell: int = CELL) -> DataFrame:
     sized = placed.join(counted.where("most < n").select("band", "main", blocks(F.col("n")).alias("all_blocks"), blocks(F.col("n") - F.col("most")).alias("rest_blocks")), "band").join(sets, "id").withColumn("rest", F.col("component") != F.col("main"))
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n).cast("long")).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = sized.where("rest").select("band", own("rest_blocks").alias("i"), upto("all_blocks").alias("j"), "id", "component", "rest", F.lit(True).alias("asks"), "set")
-    asked = sized.select("band", upto("rest_blocks").alias("i"), own("all_blocks").alias("j"), "id", "component", "rest", F.lit(False).alias("asks"), "set")
-    return asking.unionByName(asked).groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "rest", "asks", "set")).alias("members")).select("band", "members")
+    asking = sized.where("rest").select("band", own("rest_blocks").alias("i"), upto("all_blocks").alias("j"), "id", "component", "rest", F.lit(True).alias("asks"), "set", "mask")
+    asked = sized.select("band", upto("rest_blocks").alias("i"), own("all_blocks").alias("j"), "id", "component", "rest", F.lit(False).alias("asks"), "set", "mask")
+    return asking.unionByName(asked).groupBy("band", "i", "j").agg(F.collect_list(F.struct("id", "component", "rest", "asks", "set", "mask")).alias("members")).select("band", "members")
 
 
 def rest_of_bands(met: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -175,13 +186,14 @@ def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     lines = written(signed.select(F.monotonically_increasing_id().alias("id"), "doc", "twin", "no", "line", "bands"))
     in_bands = lines.select("id", F.explode("bands").alias("band")).repartition("band")  # one exchange serves the heads and the join with them
     heads = in_bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = durable(in_bands.join(heads, "band"))
+    met = durable(in_bands.join(heads.hint("shuffle_hash"), "band"))  # few bands have several lines, so a table of them spares sorting all
     pairs = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = met.select("id").distinct()
-    texts = only_wanted(lines.select("id", "line"), wanted, "id").join(wanted, "id", "left_semi")
-    sets = durable(shingles(texts, "id").groupBy("id").agg(F.collect_set("h").alias("set")))
-    sided = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    common = sided.select("a", "b", "set_a", "set_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    texts = only_wanted(lines.select("id", "line"), wanted, "id").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    sets = durable(shingles(texts, "id").groupBy("id").agg(F.collect_set("h").alias("set"), mask_of(F.col("h")).alias("mask")))
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}"), F.col("mask").alias(f"mask_{s}"))
+    sided = pairs.join(side("a"), "a").join(side("b"), "b")
+    common = sided.where(can_be_near(F.col("set_a"), F.col("set_b"), F.col("mask_a"), F.col("mask_b"), threshold)).select("a", "b", "set_a", "set_b", F.size(F.array_intersect("set_a", "set_b")).alias("both"))
     groups = durable(components(common.where(near(F.col("set_a"), F.col("set_b"), F.col("both"), threshold)).select("a", "b")))
     return lines, rest_of_bands(met, groups, sets, threshold)
 
@@ -190,9 +202,9 @@ def kept_lines(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc, twin and kept (the numbers, from 0, of the lines that stay) of documents that keep lines that are not blank."""
     lines, groups = near_lines(documents, threshold)
     placed = lines.select("id", "doc", "twin", "no")
-    first = placed.join(groups, "id").groupBy("component").agg(F.min(F.struct("doc", "twin", "no", "id")).alias("first"))
+    first = placed.join(groups.hint("shuffle_hash"), "id").groupBy("component").agg(F.min(F.struct("doc", "twin", "no", "id")).alias("first"))
     gone = groups.join(first, "component").where(F.col("id") != F.col("first.id")).select("id")
-    return placed.join(gone, "id", "left_anti").groupBy("doc", "twin").agg(F.collect_list("no").alias("kept"))
+    return placed.join(gone.hint("shuffle_hash"), "id", "left_anti").groupBy("doc", "twin").agg(F.collect_list("no").alias("kept"))
 
 
 def removed_lines(lines: Column, kept: Column) -> Column:
