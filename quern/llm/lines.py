@@ -189,7 +189,7 @@ def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[Data
     met = durable(in_bands.join(heads.hint("shuffle_hash"), "band"))  # few bands have several lines, so a table of them spares sorting all
     pairs = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = met.select("id").distinct()
-    texts = only_wanted(lines.select("id", "line"), wanted, "id").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    texts = only_wanted(lines.select("id", "line"), wanted, "id").join(wanted.hint("shuffle_hash"), "id")  # no semi join, as that is moved before the bitmap
     sets = durable(shingles(texts, "id").groupBy("id").agg(F.collect_set("h").alias("set"), mask_of(F.col("h")).alias("mask")))
     side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}"), F.col("mask").alias(f"mask_{s}"))
     sided = pairs.join(side("a"), "a").join(side("b"), "b")
