@@ -331,3 +331,18 @@ def test_empty_tables(spark):
     assert quality.classify(none, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.format_chats(empty.withColumn("parts", chat.text_parts(F.col("text"))))).count() == 0
+
+
+def test_mask_bound_rejects_no_near_sets(spark):
+    draw, rows = random.Random(5), []
+    for i in range(400):
+        a = [draw.getrandbits(63) for _ in range(draw.randint(1, 120))]
+        b = [x for x in a if draw.random() < 0.9] + [draw.getrandbits(63) for _ in range(draw.randint(0, 1 + len(a) // 8))]
+        rows += [(i, "a", x) for x in a] + [(i, "b", x) for x in b or a[:1]]
+    sets = spark.createDataFrame(rows, "i int, side string, h long").groupBy("i", "side").agg(F.collect_set("h").alias("set"), lines.mask_of(F.col("h")).alias("mask"))
+    a, b = (sets.where(F.col("side") == s).select("i", F.col("set").alias(f"set_{s}"), F.col("mask").alias(f"mask_{s}")) for s in "ab")
+    possible = lines.can_be_near(F.col("set_a"), F.col("set_b"), F.col("mask_a"), F.col("mask_b"), 0.8)
+    judged = a.join(b, "i").select("set_a", "set_b", possible.alias("possible")).collect()
+    near = [len(set(r.set_a) & set(r.set_b)) >= 0.8 * len(set(r.set_a) | set(r.set_b)) - 1e-9 for r in judged]
+    assert any(near) and not all(r.possible for r in judged)
+    assert all(r.possible for r, n in zip(judged, near) if n)
