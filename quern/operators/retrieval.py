@@ -1,4 +1,4 @@
-"""Batch retrieval: keyword index, BM25, cosine k-NN, hybrid, routing and merging.
+"""Batch retrieval: filters, hybrid, routing and merging.
 
 Hits are rows (query_id, chunk_id, score, source, rank). Ranks are numbered with
 a second key, so ties have one order.
@@ -10,22 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
-from ..functions.text import cosine, text
+from ..functions.text import text
 from .fusion import rrf
 
-#: How much each field counts in keyword search.
-BOOSTS = {"title": 3.0, "title_path": 2.0, "content": 1.0, "keywords": 2.0, "tags": 2.0}
 #: A parent domain's parts.
 DOMAIN_ALIASES = {"ecommerce_after_sales": ("order", "payment", "refund", "return", "after_sales", "logistics", "coupon", "invoice", "member", "risk")}
 
 
-def tokens(col):
-    """Lower-case words of Latin letters and digits, and pairs of neighbouring CJK characters."""
-    latin = F.regexp_extract_all(F.lower(text(col)), F.lit(r"[\p{L}\p{N}&&[^一-鿿]]+"), 0)
-    cjk = F.regexp_extract_all(text(col), F.lit(r"(?=([一-鿿]{2}))"), 1)
-    return F.concat(latin, cjk)
-
-
 def top(hits: DataFrame, k: int, *order, by=("query_id",)) -> DataFrame:
     """The first k rows of each query with their ``rank``."""
     window = Window.partitionBy(*by).orderBy(*order)
@@ -50,72 +41,6 @@ def effective_filter(queries: DataFrame) -> DataFrame:
     return queries.withColumn("type_filter", F.when(F.size("target_types") == 1, F.col("target_types")[0]))
 
 
-def build_postings(chunks: DataFrame, fields=tuple(BOOSTS)) -> tuple[DataFrame, DataFrame]:
-    """(postings: chunk_id, field, term, tf, length), (field statistics: field, n_chunks, mean_length)."""
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("terms")) for f in fields])
-    exploded = chunks.select("chunk_id", F.explode(parts).alias("p")).select("chunk_id", "p.field", "p.terms", F.size("p.terms").alias("length")).where("length > 0")
-    postings = exploded.select("chunk_id", "field", "length", F.explode("terms").alias("term")).groupBy("chunk_id", "field", "length", "term").agg(F.count("*").alias("tf"))
-    stats = exploded.groupBy("field").agg(F.count("*").alias("n_chunks"), F.avg("length").alias("mean_length"))
-    return postings, stats
-
-
-def bm25(queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int = DEFAULTS.channel_k, boosts=BOOSTS, allowed: DataFrame | None = None) -> DataFrame:
-    """The top k chunks of each query (query_id, query): the best boosted field's BM25 score.
-
-    ``allowed`` (query_id, chunk_id) is joined before the top k is taken, so filters
-    never cost results. A term's postings and a query's terms meet in a join on the
-    term, so only postings of asked terms move.
-    """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    used = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    df = used.groupBy("field", "term").agg(F.count("*").alias("df"))
-    weighed = used.join(df, ["field", "term"]).join(F.broadcast(stats), "field")
-    idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (DEFAULTS.bm25_k1 + 1) / (F.col("tf") + DEFAULTS.bm25_k1 * (1 - DEFAULTS.bm25_b + DEFAULTS.bm25_b * F.col("length") / F.col("mean_length")))
-    boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
-    scored = asked.join(weighed.select("chunk_id", "field", "term", (part * boost).alias("part")), "term").groupBy("query_id", "chunk_id", "field").agg(F.sum("part").alias("s"))
-    best = scored.groupBy("query_id", "chunk_id").agg(F.round(F.max("s"), 6).alias("score"))
-    if allowed is not None:
-        best = best.join(allowed, ["query_id", "chunk_id"], "left_semi")
-    return top(best.withColumn("source", F.lit("bm25")), k, F.desc("score"), "chunk_id")
-
-
-def with_phrases(hits: DataFrame, queries: DataFrame, chunks: DataFrame, boost: float = 2.0) -> DataFrame:
-    """Scores doubled where the content holds the whole query."""
-    phrase = hits.join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
-    return phrase.withColumn("score", F.when(F.contains(F.lower("content"), F.lower("query")), F.col("score") * boost).otherwise(F.col("score"))).drop("query", "content")
-
-
-def knn(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int = DEFAULTS.channel_k, blocks: int = 8) -> DataFrame:
-    """The exact top k chunks of each query by cosine.
-
-    Queries and chunks are dealt into blocks, and each block of queries meets each
-    block of chunks once: the stated queries are compared with all rows, in blocks,
-    and only each block's top k goes on to the final ranking.
-    """
-    q = query_vectors.select("query_id", F.col("vector").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb"))
-    c = chunk_vectors.select("chunk_id", F.col("vector").alias("cv"), F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
-    scored = q.join(c, ["qb", "cb"]).select("query_id", "chunk_id", "cb", F.round(cosine(F.col("qv"), F.col("cv")), 6).alias("score"))
-    local = top(scored, k, F.desc("score"), "chunk_id", by=("query_id", "cb")).drop("rank", "cb")
-    return top(local.withColumn("source", F.lit("vector")), k, F.desc("score"), "chunk_id")
-
-
-def ann(query_vectors: DataFrame, chunk_vectors: DataFrame, k: int = DEFAULTS.channel_k, bucket: float = 0.9, tables: int = 8, seed: int = 11) -> DataFrame:
-    """Approximate k-NN by random projections, with exact scores for the candidates.
-
-    Chunks that share a bucket of a projection with the query are candidates; the
-    projections are drawn from hashes of the dimension, so no model is kept."""
-
-    def keyed(df, key):
-        dot = lambda t: F.aggregate(F.transform(F.col("vector"), lambda v, i: v.cast("double") * F.sqrt(F.lit(-2.0) * F.log((F.pmod(F.xxhash64(i, F.lit(t), F.lit(seed)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1))) * F.cos(F.lit(6.283185307179586) * F.pmod(F.xxhash64(i, F.lit(t), F.lit(seed + 1)), F.lit(1 << 30)) / float(1 << 30))), F.lit(0.0), lambda a, b: a + b)
-        return df.select(key, "vector", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.floor(dot(t) / bucket).alias("b")) for t in range(tables)])).alias("h")).select(key, "vector", "h.t", "h.b")
-
-    q = keyed(query_vectors, "query_id").select("query_id", F.col("vector").alias("qv"), "t", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"))
-    pairs = q.select("query_id", "t", "b").join(keyed(chunk_vectors, "chunk_id").select("chunk_id", "t", "b"), ["t", "b"]).select("query_id", "chunk_id").distinct()
-    scored = pairs.join(query_vectors.select("query_id", F.col("vector").alias("qv")), "query_id").join(chunk_vectors.select("chunk_id", F.col("vector").alias("cv")), "chunk_id").select("query_id", "chunk_id", F.round(cosine(F.col("qv"), F.col("cv")), 6).alias("score"))
-    return top(scored.withColumn("source", F.lit("vector")), k, F.desc("score"), "chunk_id")
-
-
 def hybrid(keyword_hits: DataFrame, vector_hits: DataFrame, k: int = DEFAULTS.final_k) -> DataFrame:
     """Both channels fused by reciprocal ranks; the vector list counts as seen first."""
     both = vector_hits.select("query_id", "chunk_id", "rank", "score", "source").unionByName(keyword_hits.select("query_id", "chunk_id", "rank", "score", "source"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import analysis, context, dataset, experiment, fusion, metrics, retrieval, structure
+from ..operators import analysis, context, dataset, experiment, fusion, keyword, metrics, retrieval, structure, vectors
 from ..sources import readers
 from ..streaming import jobs
 from .tables import sql, view
@@ -247,55 +247,108 @@ def jn7_containment(read):
 
 # -- retrieval ------------------------------------------------------------------------
 
-_BM25 = """with t as (select chunk_id, list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), lambda x: x <> '') as w from {chunks} where status = 'ACTIVE'),
-    l as (select chunk_id, len(w) as n from t where len(w) > 0), st as (select count(*) as nn, avg(n) as avgdl from l),
-    p as (select chunk_id, term, count(*) as tf from (select chunk_id, unnest(w) as term from t) group by 1, 2),
-    q as (select distinct query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) as term from {questions}),
-    df as (select term, count(*) as df from p group by 1),
-    s as (select q.query_id, p.chunk_id, round(sum(ln(1 + (st.nn - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.n / st.avgdl))), 6) as score from q join p on p.term = q.term join df on df.term = q.term join l on l.chunk_id = p.chunk_id cross join st group by 1, 2),
+_FIELDS = ("title", "title_path", "content", "keywords", "tags")
+
+#: Scores of the best boosted field and of the query as a phrase of the content, over all active chunks.
+_BM25 = """with raw as (
+        """ + " union all ".join(f"select chunk_id, '{f}' as field, {f} as body from {{chunks}} where status = 'ACTIVE'" for f in _FIELDS) + """),
+    t as materialized (select chunk_id, field, list_filter(regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+'), lambda x: x <> '') as w from raw),
+    l as (select chunk_id, field, len(w) as n from t where len(w) > 0),
+    st as (select field, count(*) as nn, avg(n) as avgdl from l group by 1),
+    p as materialized (select chunk_id, field, term, count(*) as tf from (select chunk_id, field, unnest(w) as term from t) group by 1, 2, 3),
+    sq as (select query_id, regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+') as seq from {questions}),
+    q as (select distinct query_id, unnest(seq) as term from sq),
+    df as (select field, term, count(*) as df from p group by 1, 2),
+    idf as (select df.field, df.term, ln(1 + (st.nn - df.df + 0.5) / (df.df + 0.5)) as idf from df join st on df.field = st.field),
+    one as (select q.query_id, p.chunk_id, p.field, sum(idf.idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * l.n / st.avgdl))) as s, count(*) as met
+        from q join p on p.term = q.term join idf on idf.term = q.term and idf.field = p.field
+        join l on l.chunk_id = p.chunk_id and l.field = p.field join st on st.field = p.field group by 1, 2, 3),
+    best as (select query_id, chunk_id, max(s * case field when 'title' then 3 when 'content' then 1 else 2 end) as s from one group by 1, 2),
+    whole as (select o.query_id, o.chunk_id from one o join (select query_id, count(*) as n from q group by 1) c on c.query_id = o.query_id and c.n = o.met where o.field = 'content'),
+    occ as (select whole.query_id, whole.chunk_id, len(list_filter(range(1, len(t.w) - len(sq.seq) + 2), lambda i: t.w[i:i + len(sq.seq) - 1] = sq.seq)) as times, l.n
+        from whole join sq on sq.query_id = whole.query_id join t on t.chunk_id = whole.chunk_id and t.field = 'content' join l on l.chunk_id = whole.chunk_id and l.field = 'content'),
+    weight as (select u.query_id, sum(idf.idf) as w from (select query_id, unnest(seq) as term from sq) u join idf on idf.term = u.term and idf.field = 'content' group by 1),
+    phrase as (select occ.query_id, occ.chunk_id, 2 * weight.w * occ.times * 2.2 / (occ.times + 1.2 * (0.25 + 0.75 * occ.n / st.avgdl)) as extra
+        from occ join weight on weight.query_id = occ.query_id cross join (select avgdl from st where field = 'content') st where occ.times > 0),
+    s as (select best.query_id, best.chunk_id, round(best.s + coalesce(phrase.extra, 0), 6) as score from best left join phrase on phrase.query_id = best.query_id and phrase.chunk_id = best.chunk_id),
     top as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) """
 
+_INDEXES: dict = {}
+
+
+def _index(read):
+    """The keyword index of the active chunks; written once for each application and folder of tables."""
+    chunks = read("chunks").where("status = 'ACTIVE'")
+    key = (chunks.sparkSession.sparkContext.applicationId, tuple(chunks.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = keyword.build_index(chunks)
+    return _INDEXES[key]
+
 
 def _bm25(read, k=20):
-    chunks = read("chunks").where("status = 'ACTIVE'").select("chunk_id", "content")
-    postings, stats = retrieval.build_postings(chunks, ("content",))
-    return retrieval.bm25(read("questions"), postings, stats, k)
+    return keyword.search(_index(read), read("questions"), k)
 
 
-@query("select chunk_id, count(*) as n_terms, cast(sum(tf) as bigint) as n_words from (select chunk_id, term, count(*) as tf from (select chunk_id, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) as term from {chunks}) group by 1, 2) group by 1")
+@query(
+    _BM25
+    + "select t.chunk_id, t.field, count(*) as n_terms, cast(sum(p.tf) as bigint) as n_words, any_value(len(t.w)) as length from t join p on p.chunk_id = t.chunk_id and p.field = t.field group by 1, 2"
+)
 def ret1_postings(read):
-    postings, _ = retrieval.build_postings(read("chunks").select("chunk_id", "content"), ("content",))
-    return postings.groupBy("chunk_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_words"))
+    listed = keyword.listed_postings(_index(read))
+    length = F.max(F.array_max("positions")) + 1
+    return listed.groupBy("chunk_id", "field").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("n_words"), length.cast("long").alias("length"))
 
 
-@query(_BM25 + "select query_id, chunk_id, cast(rank as int) as rank from top where rank <= 20")
+@query(_BM25 + "select query_id, chunk_id, score, cast(rank as int) as rank from top where rank <= 20")
 def ret2_bm25(read):
-    return _bm25(read).select("query_id", "chunk_id", "rank")
+    return _bm25(read).select("query_id", "chunk_id", "score", "rank")
 
 
 _KNN = """with e as (select vec_id, cast(embedding as double[]) as v from {embeddings}),
-    s as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) as score from e q cross join e c where q.vec_id in (select item_id from {benchmark})),
+    s as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) as score
+        from e q cross join e c where q.vec_id % 50 = 0),
     top as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s) """
 
 
 def _vectors(read):
+    """Queries are the vectors whose id is divisible by 50."""
     e = read("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    q = e.join(read("benchmark").select(F.col("item_id").alias("chunk_id")), "chunk_id", "left_semi").withColumnRenamed("chunk_id", "query_id")
-    return q, e
+    return e.where("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), e
 
 
 @query(_KNN + "select query_id, chunk_id, score, cast(rank as int) as rank from top where rank <= 20")
 def ret3_knn(read):
-    return retrieval.knn(*_vectors(read)).select("query_id", "chunk_id", "score", "rank")
+    return vectors.knn(*_vectors(read)).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("""with e as (select vec_id, label, cast(embedding as double[]) as v from {embeddings}),
+    s as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_dot_product(q.v, c.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(c.v, c.v))), 6) as score
+        from e q join e c on (q.vec_id % 100 = 0 or cast(c.label as varchar) = cast(q.label as varchar)) where q.vec_id % 50 = 0),
+    top as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s)
+    select query_id, chunk_id, score, cast(rank as int) as rank from top where rank <= 20""")
+def ret3_knn_filtered(read):
+    """Every second query asks for chunks of its own type only."""
+    e = read("embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("chunk_type"))
+    q = e.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector", F.when(F.col("chunk_id") % 100 != 0, F.col("chunk_type")).alias("type_filter"))
+    return vectors.knn(q, e).select("query_id", "chunk_id", "score", "rank")
 
 
 @query()
 def ret4_ann(read):
-    return retrieval.ann(*_vectors(read)).select("query_id", "chunk_id", "score", "rank")
+    q, e = _vectors(read)
+    return vectors.ann(vectors.build_vector_index(e), q).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("select 20 * count(*) as n, true as reached from {embeddings} where vec_id % 50 = 0")
+def ret4_recall(read):
+    """Whether the inverted file finds at least 0.9 of the exact neighbours."""
+    q, e = _vectors(read)
+    measured = vectors.recall(vectors.ann(vectors.build_vector_index(e), q), vectors.knn(q, e))
+    return measured.select("n", (F.col("recall") >= 0.9).alias("reached"))
 
 
 def _fused(read):
-    return retrieval.hybrid(_bm25(read, 50), retrieval.knn(*_vectors(read), 50))
+    return retrieval.hybrid(_bm25(read, 50), vectors.knn(*_vectors(read), 50))
 
 
 @query()
