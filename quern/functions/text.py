@@ -169,10 +169,10 @@ def stable_side(code: Column) -> Column:
 
 
 def fill_template(template: Column, fact: Column) -> Column:
-    """The fact in place of {{intermediate_fact}}, or before a text that has no such place."""
-    mark = F.lit("{{intermediate_fact}}")
-    filled = F.when(F.contains(template, mark), F.replace(template, mark, fact)).otherwise(F.concat(fact, F.lit(" "), template))
-    return strip(F.regexp_replace(filled, r"(?U)\s+", " "))
+    """The fact in place of {{intermediate_fact}} or {intermediate_fact}, or before a text that has no such place."""
+    filled = F.replace(F.replace(template, F.lit("{{intermediate_fact}}"), fact), F.lit("{intermediate_fact}"), fact)
+    named = F.contains(template, F.lit("{intermediate_fact}"))
+    return strip(F.regexp_replace(F.when(named, filled).otherwise(F.concat(fact, F.lit(" "), template)), r"(?U)\s+", " "))
 
 
 def fact_slug(identifier: Column) -> Column:

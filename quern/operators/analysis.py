@@ -181,10 +181,14 @@ def quality_policy(features: DataFrame, config=DEFAULTS) -> DataFrame:
     return features.withColumn("quality_score", F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 6)).withColumn("_d", chosen.otherwise(good)).select("*", "_d.*").drop("_d")
 
 
+#: The reason of a retry that asks single sub-queries again.
+UNCOVERED = "sub-query evidence missing"
+
+
 def coverage_override(graded: DataFrame) -> DataFrame:
     """A decomposed question that lacks a sub-query's evidence and has no retry yet is rewritten."""
     weak = F.coalesce("decomposed", F.lit(False)) & (F.coalesce("coverage_rate", F.lit(1.0)) < 1) & (F.col("retry_strategy") == "NONE")
-    return graded.withColumns({"quality": F.when(weak, "WEAK").otherwise(F.col("quality")), "retry_strategy": F.when(weak, "QUERY_REWRITE").otherwise(F.col("retry_strategy")), "reason": F.when(weak, "sub-query evidence missing").otherwise(F.col("reason"))})
+    return graded.withColumns({"quality": F.when(weak, "WEAK").otherwise(F.col("quality")), "retry_strategy": F.when(weak, "QUERY_REWRITE").otherwise(F.col("retry_strategy")), "reason": F.when(weak, UNCOVERED).otherwise(F.col("reason"))})
 
 
 def rewrite_fallback(question: Column, current: Column) -> Column:

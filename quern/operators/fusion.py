@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 
 #: The weight of a round by its strategy.
-ROUND_WEIGHTS = {"INITIAL": 1.0, "QUERY_REWRITE": 0.9, "FORCE_BM25": 1.0, "RELAX_FILTER": 0.8}
+ROUND_WEIGHTS = {"INITIAL": 1.0, "QUERY_REWRITE": 0.9, "FORCE_BM25": 1.0, "RELAX_FILTER": 0.8, "DEPENDENT_HOP": 1.0}
 
 
 def numbered(df: DataFrame, *order, by="query_id", name="rank") -> DataFrame:
@@ -64,7 +64,7 @@ def fuse_subqueries(hits: DataFrame, k: int = DEFAULTS.final_k, quota: int = DEF
 def with_anchor(hits: DataFrame, anchor_hits: DataFrame) -> DataFrame:
     """Anchor queries' hits joined to the sub-queries' as the last sub-query, ANCHOR."""
     last = hits.groupBy("query_id").agg((F.max("sub_query_ord") + 1).alias("sub_query_ord"))
-    anchors = anchor_hits.join(last, "query_id", "left").select("query_id", F.coalesce("sub_query_ord", F.lit(1)).alias("sub_query_ord"), F.lit("ANCHOR").alias("sub_query_id"), "rank", "chunk_id")
+    anchors = anchor_hits.select("query_id", "rank", "chunk_id").join(last, "query_id", "left").select("query_id", F.coalesce("sub_query_ord", F.lit(1)).alias("sub_query_ord"), F.lit("ANCHOR").alias("sub_query_id"), "rank", "chunk_id")
     return hits.select("query_id", "sub_query_ord", "sub_query_id", "rank", "chunk_id").unionByName(anchors)
 
 

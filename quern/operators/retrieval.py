@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions.text import text
-from .fusion import rrf
+from . import keyword
+from .fusion import fuse_subqueries, rrf, with_anchor
 
 #: A parent domain's parts.
 DOMAIN_ALIASES = {"ecommerce_after_sales": ("order", "payment", "refund", "return", "after_sales", "logistics", "coupon", "invoice", "member", "risk")}
@@ -78,3 +79,78 @@ def retrieve_auto(analysed: DataFrame, channels: dict[str, DataFrame], chunks: D
     asked = effective_filter(analysed)
     routed = route(asked, channels).join(asked.select("query_id", "type_filter"), "query_id").join(chunks.select("chunk_id", "chunk_type"), "chunk_id")
     return top(routed.where("type_filter is null or chunk_type = type_filter").drop("type_filter", "chunk_type").withColumnRenamed("rank", "rank_before"), k, "rank_before", "chunk_id").drop("rank_before")
+
+
+# -- several queries of one question -----------------------------------------------
+
+#: What tells one search from another.
+SEARCH = ("query", "mode", "type_filter", "business_domain")
+SUB_QUERIES = "array<struct<sub_query_id:string,question:string>>"
+
+
+def _given(df: DataFrame, name: str, kind: str):
+    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+
+
+def search_tasks(questions: DataFrame, limit: int = 5) -> DataFrame:
+    """(query_id, query_variant, variant, sub_query_ord, sub_query_id, is_anchor, and what tells searches apart) of
+    each query of each question.
+
+    questions: (query_id, question) and where there queries, mode, target_types, business_domain, query_variant,
+    sub_queries (an array of structs with sub_query_id and question) and anchor_queries. A question with sub-queries
+    asks these, without a type filter, and its anchor queries; any other asks its first ``limit`` distinct queries,
+    or itself, of its type if it has exactly one target type. ``variant`` numbers a question's queries."""
+    texts = "array<string>"
+    subs = F.coalesce(F.transform(F.col("sub_queries"), lambda s: F.struct(s["sub_query_id"].alias("sub_query_id"), s["question"].alias("question"))), F.array().cast(SUB_QUERIES)) if "sub_queries" in questions.columns else F.array().cast(SUB_QUERIES)
+    clean = lambda c: F.filter(F.coalesce(c, F.array().cast(texts)), lambda x: F.trim(x) != "")
+    own = F.slice(F.array_distinct(clean(_given(questions, "queries", texts))), 1, limit)
+    rows = questions.select(
+        "query_id",
+        F.coalesce(_given(questions, "query_variant", "string"), F.lit("ORIGINAL")).alias("query_variant"),
+        F.coalesce(_given(questions, "mode", "string"), F.lit("hybrid")).alias("mode"),
+        F.when(F.size(_given(questions, "target_types", texts)) == 1, F.get(_given(questions, "target_types", texts), F.lit(0))).alias("one_type"),
+        _given(questions, "business_domain", "string").alias("business_domain"),
+        subs.alias("subs"),
+        F.when(F.size(own) > 0, own).otherwise(F.array("question")).alias("own"),
+        clean(_given(questions, "anchor_queries", texts)).alias("anchors"),
+    )
+    one = lambda q, i, sub, anchor, typed: F.struct(q.alias("query"), i.alias("sub_query_ord"), sub.alias("sub_query_id"), F.lit(anchor).alias("is_anchor"), F.lit(typed).alias("typed"))
+    none = F.lit(None).cast("string")
+    parts = F.transform("subs", lambda s, i: one(F.concat(s["question"]), i + 1, F.concat(s["sub_query_id"]), False, False))
+    anchors = F.transform("anchors", lambda q: one(F.concat(q), F.size("subs") + 1, F.lit("ANCHOR"), True, True))
+    plain = F.transform("own", lambda q: one(F.concat(q), F.lit(None).cast("int"), none, False, True))
+    tasks = rows.select("query_id", "query_variant", "mode", "one_type", "business_domain", F.posexplode(F.when(F.size("subs") > 0, F.concat(parts, anchors)).otherwise(plain)).alias("variant", "t"))
+    return tasks.select("query_id", "query_variant", "variant", "t.sub_query_ord", "t.sub_query_id", "t.is_anchor", "t.query", "mode", F.when(F.col("t.typed"), F.col("one_type")).alias("type_filter"), "business_domain")
+
+
+def multi_retrieve(questions: DataFrame, search, round_no: int = 1, limit: int = 5) -> DataFrame:
+    """The hits of every query of every question, with where they come from: query_id, round_no, query_variant,
+    variant, sub_query_ord, sub_query_id, is_anchor, query, rank, chunk_id, score and source.
+
+    ``search`` gives (search_id, rank, chunk_id, score, source) of a table (search_id, query, mode, type_filter,
+    business_domain). Each distinct search is made once, however many questions ask it; its hits are joined back."""
+    key = F.sha2(F.to_json(F.struct(*SEARCH)), 256)
+    tasks = search_tasks(questions, limit).withColumn("search_id", key)
+    found = search(tasks.select("search_id", *SEARCH).distinct())
+    return tasks.join(found.select("search_id", "rank", "chunk_id", "score", "source"), "search_id").select("query_id", F.lit(round_no).alias("round_no"), "query_variant", "variant", "sub_query_ord", "sub_query_id", "is_anchor", "query", "rank", "chunk_id", "score", "source")
+
+
+def keyword_channel(index: keyword.KeywordIndex, k: int = DEFAULTS.channel_k):
+    """A ``search`` for ``multi_retrieve`` over a keyword index."""
+
+    def search(searches: DataFrame) -> DataFrame:
+        domains = F.when(F.col("business_domain").isNotNull(), F.array("business_domain"))
+        return keyword.search(index, searches.select(F.col("search_id").alias("query_id"), "query", "type_filter", domains.alias("domains")), k).withColumnRenamed("query_id", "search_id")
+
+    return search
+
+
+def merge_tasks(hits: DataFrame, k: int = DEFAULTS.rerank_limit, quota: int = DEFAULTS.sub_query_quota) -> DataFrame:
+    """(query_id, rank, chunk_id, score, source, sub_query_ids) of a round's hits: sub-queries fused with their
+    anchors as the last one, other questions' chunks by their best score, first seen on ties."""
+    split = hits.where("sub_query_id is not null")
+    anchored = with_anchor(split.where("not is_anchor"), split.where("is_anchor"))
+    fused = fuse_subqueries(anchored, k, quota).select("query_id", "rank", "chunk_id", "score", F.lit("sub_query").alias("source"), "sub_query_ids")
+    seen = hits.where("sub_query_id is null").withColumn("seen", F.struct("variant", "rank"))
+    best = merge_best(seen).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score", "source", F.array().cast("array<string>").alias("sub_query_ids"))
+    return fused.unionByName(best)

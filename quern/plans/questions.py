@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import user
 from ..operators import analysis, context, fusion, loop, retrieval
+from . import catalog
 from .catalog import query
 
 
@@ -284,6 +285,99 @@ def ana13_adaptive(read):
     return fused.join(decided.select("query_id", "retry_strategy"), "query_id").select("query_id", "chunk_id", "score", F.array_join("rounds", ",").alias("rounds"), "rank", "retry_strategy")
 
 
+# -- several queries of one question, and the second hop -----------------------------------
+
+#: Each item's text, its first and its next eight words; every third item is decomposed into these two, with the
+#: whole text as its anchor, and every fifth has one target type.
+PARTS = """parts as (select item_id as query_id, text as question, array_to_string(string_split(text, ' ')[1:8], ' ') as one, array_to_string(string_split(text, ' ')[9:16], ' ') as two,
+        item_id % 3 = 0 as decomposed, case when item_id % 5 = 0 then 'FAQ' end as one_type from {benchmark}),
+    tasks as (select query_id, 0 as variant, question as query, cast(null as int) as sub_query_ord, cast(null as varchar) as sub_query_id, false as is_anchor, one_type as type_filter from parts where not decomposed
+        union all select query_id, 1, one, null, null, false, one_type from parts where not decomposed and one <> question
+        union all select query_id, 0, one, 1, 'SQ1', false, null from parts where decomposed union all select query_id, 1, two, 2, 'SQ2', false, null from parts where decomposed
+        union all select query_id, 2, question, 3, 'ANCHOR', true, one_type from parts where decomposed),
+    searches as materialized (select distinct query || '|' || coalesce(type_filter, '') as query_id, query, type_filter from tasks), """
+SEARCHED = (
+    "with " + PARTS + catalog._BM25.replace("with raw", "raw", 1).replace("{questions}", "searches").rsplit("top as", 1)[0]
+    + """top as (select s.*, row_number() over (partition by s.query_id order by s.score desc, s.chunk_id) as rank
+        from s join searches on searches.query_id = s.query_id join {chunks} c on c.chunk_id = s.chunk_id where searches.type_filter is null or c.chunk_type = searches.type_filter),
+    found as (select t.*, top.rank, top.chunk_id, top.score from tasks t join top on top.query_id = t.query || '|' || coalesce(t.type_filter, '') and top.rank <= 5) """
+)
+
+
+def _multi(read):
+    words = F.split("text", " ")
+    part = lambda start: F.array_join(F.slice(words, start, 8), " ")
+    sub = lambda name, start: F.struct(F.lit(name).alias("sub_query_id"), part(start).alias("question"))
+    decomposed = F.col("item_id") % 3 == 0
+    q = read("benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.col("text").alias("question"),
+        F.array("text", F.lit(" "), part(1), F.col("text")).alias("queries"),
+        F.when(F.col("item_id") % 5 == 0, F.array(F.lit("FAQ"))).otherwise(F.array(F.lit("FAQ"), F.lit("SOP"))).alias("target_types"),
+        F.when(decomposed, F.array(sub("SQ1", 1), sub("SQ2", 9))).alias("sub_queries"),
+        F.when(decomposed, F.array("text")).alias("anchor_queries"),
+    )
+    return retrieval.multi_retrieve(q, retrieval.keyword_channel(catalog._index(read), 5))
+
+
+@query(SEARCHED + "select query_id, 1 as round_no, cast(variant as int) as variant, sub_query_ord, sub_query_id, is_anchor, query, cast(rank as int) as rank, chunk_id, score from found")
+def ret8_multi_retrieve(read):
+    return _multi(read).select("query_id", "round_no", "variant", "sub_query_ord", "sub_query_id", "is_anchor", "query", "rank", "chunk_id", "score")
+
+
+@query(
+    SEARCHED
+    + """, split as (select query_id, sub_query_ord as o, chunk_id, min(rank) as rank, sum(1.0 / (60 + rank)) as part from found where sub_query_id is not null group by 1, 2, 3),
+    nth as (select *, row_number() over (partition by query_id, o order by rank) as nth from split),
+    fused as (select query_id, chunk_id, round(sum(part), 9) as score, min(case when nth <= 1 then o * 1000 + rank end) as place, min(o * 1000 + rank) as seen, string_agg(case o when 3 then 'ANCHOR' else 'SQ' || o end, ',' order by o) as sub_query_ids from nth group by 1, 2),
+    merged as (select query_id, chunk_id, max(score) as score, arg_max(variant * 1000 + rank, score * 1e6 - (variant * 1000 + rank) / 1e4) as seen from found where sub_query_id is null group by 1, 2)
+    select query_id, cast(row_number() over (partition by query_id order by place nulls last, score desc, seen) as int) as rank, chunk_id, score, sub_query_ids from fused
+    union all select query_id, cast(row_number() over (partition by query_id order by score desc, seen, chunk_id) as int), chunk_id, score, '' from merged"""
+)
+def fus6_merged_tasks(read):
+    return retrieval.merge_tasks(_multi(read)).select("query_id", "rank", "chunk_id", "score", F.array_join("sub_query_ids", ",").alias("sub_query_ids"))
+
+
+#: Even cases have a dependent plan; of these every second one has a fact, of these every second a sure one.
+@query(
+    """with q as (select case_code as query_id, case_code % 2 = 0 as dependent from {cases}),
+    h as (select v.query_id, v.rank, v.chunk_id, v.score, v.chunk_id % 50 as doc from {vector_hits} v where v.rank <= 4),
+    f as (select q.query_id, q.dependent, count(h.chunk_id) as n, count(distinct doc) as docs from q left join h using (query_id) group by all),
+    g as (select *, case when dependent and n > 0 then 'DEPENDENT_HOP' when n = 0 then 'RELAX_FILTER' when n < 3 or docs < 2 then 'QUERY_REWRITE' else 'NONE' end as strategy,
+        dependent and n > 0 and query_id % 8 = 0 as filled from f),
+    w as (select query_id, case strategy when 'RELAX_FILTER' then 0.8 when 'QUERY_REWRITE' then 0.9 else 1.0 end as weight, filled, dependent from g where strategy <> 'NONE'),
+    x as (select query_id, chunk_id, rank, true as filled from {bm25_hits} where rank <= 4 union all select query_id, chunk_id, rank, false from {vector_hits} where rank <= 6),
+    parts as (select query_id, chunk_id, 1 as round_no, rank, 1.0 / (60 + rank) as part from h
+        union all select w.query_id, x.chunk_id, 2, x.rank, w.weight / (60 + x.rank) from w join x on x.query_id = w.query_id and x.filled = w.filled and (w.dependent or x.rank <= 4)),
+    fused as (select query_id, chunk_id, round(sum(part), 9) as score, min(round_no * 1000 + rank) as seen from parts group by 1, 2)
+    select fused.query_id, chunk_id, score, cast(row_number() over (partition by fused.query_id order by score desc, seen, chunk_id) as int) as rank, g.strategy as retry_strategy,
+        case when g.filled then 'SECOND_HOP_READY' when g.strategy = 'DEPENDENT_HOP' then 'SECOND_HOP_FALLBACK' end as hop_status,
+        case when g.filled then 'about F' || g.query_id when g.strategy = 'DEPENDENT_HOP' then 'order' end as second_query
+    from fused join g using (query_id) qualify row_number() over (partition by fused.query_id order by score desc, seen, chunk_id) <= 20"""
+)
+def ana15_two_hop(read):
+    v, b = read("vector_hits"), read("bm25_hits")
+    plan = F.array(*[F.struct(F.lit(i).alias("sub_query_id"), F.lit(q).alias("question")) for i, q in (("SQ1", "first"), ("SQ2", "about {{intermediate_fact}}"))])
+    dependent = F.col("query_id") % 2 == 0
+    none = F.array().cast("array<string>")
+    q = read("cases").select(F.col("case_code").alias("query_id")).select("query_id", F.lit("order").alias("question"), F.array(F.lit("order")).alias("queries"), F.lit("vector").alias("mode"), none.alias("target_types"), F.lit("d").alias("business_domain"), F.when(dependent, plan).alias("sub_queries"), F.when(dependent, "DEPENDENT").alias("decomposition_type"))
+    text = F.concat(F.lit("text "), F.col("chunk_id").cast("string"))
+    chunks = read("hits").select("chunk_id").distinct().select("chunk_id", (F.col("chunk_id") % 50).alias("doc_id"), F.lit("SOP").alias("chunk_type"), text.alias("content"), *[F.lit("t").alias(c) for c in ("title", "title_path", "source_section")], F.lit(None).cast("string").alias("version"))
+    fact = F.concat(F.lit("F"), F.col("query_id").cast("string"))
+    facts = v.where("rank = 1 and query_id % 4 = 0").select("query_id", F.lit(True).alias("success"), fact.alias("intermediate_fact"), text.alias("evidence_quote"), F.col("chunk_id").alias("supporting_chunk_id"), F.when(F.col("query_id") % 8 == 0, 0.8).otherwise(0.7).alias("confidence"))
+
+    def search(rows):
+        """The second list where the query has a fact, more of the first where a hop fell back to the question."""
+        told = rows.select("query_id", F.get("queries", F.lit(0)).startswith("about F").alias("filled"), (F.col("query_variant") == "DEPENDENT_HOP").alias("hop"))
+        both = b.where("rank <= 4").withColumn("of", F.lit(True)).unionByName(v.where("rank <= 6").withColumn("of", F.lit(False)))
+        fits = (F.col("filled") == F.col("of")) & (F.col("hop") | (F.col("rank") <= 4))
+        return told.join(both, "query_id").where(fits).select("query_id", "rank", "chunk_id", "score", "source", F.array("source").alias("sources"))
+
+    rewrites = q.select("query_id", F.lit(None).cast("string").alias("rewritten"), F.lit(None).cast("array<string>").alias("expanded"))
+    fused, decided = loop.adaptive_retrieve(q, search, lambda h: h.select("query_id", "chunk_id", "rank", "score", F.lit(0.9).alias("rerank_score")), chunks, rewrites, facts)
+    return fused.join(decided.select("query_id", "retry_strategy", "hop_status", "second_query"), "query_id").select("query_id", "chunk_id", "score", "rank", "retry_strategy", "hop_status", "second_query")
+
+
 @query("select query_id, 5 + least(k, 3) as top_n from {asked}")
 def rnk4_effective_n(read):
     return fusion.effective_n(read("asked").select("query_id", F.when(F.col("k") > 0, F.array_repeat(F.lit("q"), F.col("k").cast("int"))).alias("sub_queries"))).select("query_id", "top_n")
