@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, fact_slug, folded, letters, squeeze, strip, text
+from ..functions.text import fact_slug, folded, letters, squeeze, strip, text
+from .order import choose_in_order, numbered_globally, similar_pairs
 
 #: What a finished document of each type needs at least.
 FAQ_SECTIONS, FAQ_ALIASES, SOP_STEPS = (8, 15), (2, 4), 4
@@ -24,13 +25,51 @@ def issues(df: DataFrame, entity: Column, *checks: tuple[str, Column]) -> DataFr
 # -- evidence ------------------------------------------------------------------
 
 
+def anchored(quotes: DataFrame, chunks: DataFrame, sizes: tuple[int, ...] = (8, 3)) -> DataFrame:
+    """(quote_id, doc_id, chunk_id) of quotes (quote_id, doc_id, body) and chunks (doc_id, chunk_id, body) of the same
+    document where the chunk holds the quote's anchor, a run of ``sizes[0]`` characters of it. Shorter quotes have
+    shorter anchors; those below the last size meet all chunks of their document.
+
+    The anchor is the quote's run with the least hash. Chunks post their runs by document and run, so a document
+    with very many chunks is dealt out, and a quote's text moves only to chunks that can hold it."""
+    runs = lambda col, n: F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    asked = chunks.join(quotes.select("doc_id").distinct(), "doc_id", "left_semi")
+    out, above = None, None
+    for n in (*sizes, 0):
+        own = quotes.where((F.char_length("body") >= n) & (F.lit(True) if above is None else F.char_length("body") < above))
+        above = n
+        if n:
+            keyed = own.select("quote_id", "doc_id", F.array_min(F.transform(runs("body", n), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"].alias("run"))
+            wanted = keyed.select("doc_id", "run").distinct()
+            posted = asked.select("doc_id", "chunk_id", F.explode(F.array_distinct(runs("body", n))).alias("run")).join(wanted, ["doc_id", "run"], "left_semi")
+            met = keyed.join(posted, ["doc_id", "run"]).select("quote_id", "doc_id", "chunk_id")
+        else:
+            met = own.select("quote_id", "doc_id").join(asked.select("doc_id", "chunk_id"), "doc_id")
+        out = met if out is None else out.unionByName(met)
+    return out.distinct()
+
+
 def map_evidence(evidence: DataFrame, source_docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """``evidence`` with mapped_doc_id, mapped_chunk_id, mapping_status and method, tier by tier: quote in one
-    chunk without white space, then without punctuation, then across two neighbours (AMBIGUOUS), else MISSING."""
+    chunk without white space, then without punctuation, then across two neighbours (AMBIGUOUS), else MISSING.
+
+    A quote is compared with the chunks that hold its anchor, with the pairs of neighbours that such a chunk ends, and
+    with pairs whose seam holds it."""
     keyed = evidence.join(source_docs.select("source_doc_code", "mapped_doc_id"), "source_doc_code", "left").withColumn("_e", F.xxhash64("case_code", "source_doc_code", "evidence_quote"))
     order = Window.partitionBy("doc_id").orderBy("sort_order", "chunk_id")
-    c = chunks.where("status = 'ACTIVE'").select(F.col("doc_id").alias("mapped_doc_id"), "chunk_id", "parent_chunk_id", "content", F.concat(text(F.col("content")), text(F.lead("content").over(order))).alias("both"), F.lead("chunk_id").over(order).alias("next_id"))
-    pairs = keyed.select("_e", "mapped_doc_id", "evidence_quote").join(c, "mapped_doc_id")
+    near = 40
+    active = chunks.where("status = 'ACTIVE'").withColumns({"next_id": F.lead("chunk_id").over(order), "before_id": F.lag("chunk_id").over(order), "_start": F.lead(F.substring(letters(F.col("content")), 1, near)).over(order)})
+    c = active.select("doc_id", "chunk_id", "parent_chunk_id", "content", "next_id")
+    quotes = keyed.select("_e", "mapped_doc_id", "evidence_quote").where("mapped_doc_id is not null").dropDuplicates(["_e"])
+    bodies = quotes.select(F.col("_e").alias("quote_id"), F.col("mapped_doc_id").alias("doc_id"), letters(F.col("evidence_quote")).alias("body"))
+    inner = anchored(bodies, active.select("doc_id", "chunk_id", letters(F.col("content")).alias("body")))
+    seams = active.where("next_id is not null").select("doc_id", "chunk_id", F.concat(F.right(letters(F.col("content")), F.lit(near)), F.coalesce("_start", F.lit(""))).alias("body"))
+    across = anchored(bodies, seams)
+    ends = inner.join(active.where("before_id is not null").select("chunk_id", "before_id"), "chunk_id").select("quote_id", "doc_id", F.col("before_id").alias("chunk_id"))
+    ids = inner.unionByName(across).unionByName(ends).distinct()
+    told = quotes.select(F.col("_e").alias("quote_id"), "evidence_quote")
+    pairs = ids.join(told, "quote_id").join(c.drop("doc_id"), "chunk_id").join(c.select(F.col("chunk_id").alias("next_id"), F.col("content").alias("next_content")), "next_id", "left")
+    pairs = pairs.withColumnRenamed("quote_id", "_e").withColumn("both", F.concat(text(F.col("content")), text(F.col("next_content"))))
     inside = lambda f, body: (f(F.col("evidence_quote")) != "") & F.contains(f(F.col(body)), f(F.col("evidence_quote")))
     tiered = pairs.select("_e", "chunk_id", "parent_chunk_id", F.when(inside(squeeze, "content"), 1).when(inside(letters, "content"), 2).when(F.col("next_id").isNotNull() & inside(letters, "both"), 3).alias("tier")).where("tier is not null")
     best = tiered.withColumn("least", F.min("tier").over(Window.partitionBy("_e"))).where("tier = least")
@@ -46,9 +85,14 @@ def map_evidence(evidence: DataFrame, source_docs: DataFrame, chunks: DataFrame)
 
 def map_facts(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, fact_key, chunk_ids): all chunks that hold the fact; an empty list is a missing fact."""
-    pairs = facts.join(chunks.select("doc_id", "chunk_id", "content"), "doc_id", "left")
-    hit = F.contains(letters(F.col("content")), letters(F.col("fact_text"))) & (letters(F.col("fact_text")) != "")
-    return pairs.groupBy("doc_id", "fact_key").agg(F.array_sort(F.collect_set(F.when(hit, F.col("chunk_id")))).alias("chunk_ids"))
+    asked = facts.select("doc_id", "fact_key", "fact_text", letters(F.col("fact_text")).alias("body"))
+    quotes = asked.where("body <> ''").select(F.struct("doc_id", "fact_key", "body").alias("quote_id"), "doc_id", "body").distinct()
+    bodies = chunks.select("doc_id", "chunk_id", letters(F.col("content")).alias("body"))
+    met = anchored(quotes, bodies).join(bodies.drop("doc_id"), "chunk_id").where(F.contains("body", F.col("quote_id.body")))
+    hits = met.groupBy("quote_id.doc_id", "quote_id.fact_key").agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
+    keys = asked.select("doc_id", "fact_key").distinct()
+    ids = dict(chunks.dtypes)["chunk_id"]
+    return keys.join(hits, ["doc_id", "fact_key"], "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast(f"array<{ids}>")))
 
 
 def missing_identifiers(blueprints: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -113,36 +157,12 @@ def dedup_lexical(cases: DataFrame) -> DataFrame:
 
 def semantic_pairs(rows: DataFrame, keys: tuple[str, ...], least: float = 0.85) -> DataFrame:
     """(keys, later, earlier, similarity) of rows (keys, ord, vec) of a group that are alike."""
-    a, b = rows.select(*keys, F.col("ord").alias("later"), F.col("vec").alias("va")), rows.select(*keys, F.col("ord").alias("earlier"), F.col("vec").alias("vb"))
-    return a.join(b, list(keys)).where("earlier < later").withColumn("similarity", cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= least).drop("va", "vb")
+    return similar_pairs(rows, keys, least)
 
 
 def dedup_semantic(rows: DataFrame, keys: tuple[str, ...] = ("dataset_split", "case_type"), duplicate: float = 0.92, review: float = 0.85) -> DataFrame:
-    """``rows`` (keys, ord, vec) with mark, nearest and similarity: each row against the kept ones before it.
-
-    The pairs are found by a join; only near pairs reach the groups in which the choice, which depends on the
-    earlier ones, is made in order."""
-    pairs = semantic_pairs(rows, keys, review)
-    schema = ", ".join([*[f"{k} {dict(rows.dtypes)[k]}" for k in keys], "ord long", "mark string", "nearest long", "similarity double"])
-
-    def choose(group):
-        import pandas as pd
-
-        group = group.sort_values(["later", "earlier"])
-        gone, out = set(), []
-        for later, near in group.groupby("later", sort=True):
-            near = near[~near.earlier.isin(gone)]
-            if not len(near):
-                continue
-            best = near.loc[near.similarity.idxmax()]
-            mark = "DUPLICATE" if best.similarity >= duplicate else "REVIEW"
-            if mark == "DUPLICATE":
-                gone.add(later)
-            out.append([*[group[k].iloc[0] for k in keys], int(later), mark, int(best.earlier), float(best.similarity)])
-        return pd.DataFrame(out, columns=[*keys, "ord", "mark", "nearest", "similarity"])
-
-    marks = pairs.groupBy(*keys).applyInPandas(choose, schema)
-    return rows.join(marks, [*keys, "ord"], "left").withColumn("mark", F.coalesce("mark", F.lit("KEEP")))
+    """``rows`` (keys, ord, vec) with mark, nearest and similarity: each row against the kept ones before it."""
+    return choose_in_order(rows, keys, duplicate, review)
 
 
 # -- upserts and freezing --------------------------------------------------------
@@ -415,15 +435,18 @@ def plan_pool(quota: DataFrame, multiplier: float = 1.25) -> DataFrame:
 
 
 def plan_supplement(docs: DataFrame, split: str, case_type: str, pool: int, count: int, round_no: int) -> DataFrame:
-    """(i, source_doc_code, fact_key): facts the pool did not use first, then all facts, offset by the round."""
-    d = _numbered_docs(docs.where(F.col("split") == split))
-    used = d.sparkSession.range(pool).select(F.col("id").alias("i")).join(d.select("d", "n_docs", "source_doc_code", "facts"), F.col("i") % F.col("n_docs") == F.col("d")).select("source_doc_code", F.get("facts", (F.col("i") % F.size("facts")).cast("int")).alias("fact_key")).distinct().withColumn("used", F.lit(True))
+    """(i, source_doc_code, fact_key): facts the pool did not use first, then all facts, offset by the round.
+
+    Documents and units are numbered by ranges, not in one task."""
+    d = numbered_globally(docs.where(F.col("split") == split), "source_doc_code", name="d")
+    spark, n = d.sparkSession, d.count()
+    used = spark.range(pool).select(F.col("id").alias("i"), (F.col("id") % max(n, 1)).alias("d")).join(d.select("d", "source_doc_code", "facts"), "d").select("source_doc_code", F.get("facts", (F.col("i") % F.size("facts")).cast("int")).alias("fact_key")).distinct().withColumn("used", F.lit(True))
     units = d.select("d", "source_doc_code", F.posexplode("facts").alias("f", "fact_key")).join(used, ["source_doc_code", "fact_key"], "left")
     both = units.where("used is null").withColumn("part", F.lit(0)).unionByName(units.withColumn("part", F.lit(1)))
-    placed = both.withColumn("u", F.row_number().over(Window.orderBy("part", "d", "f")) - 1)
-    total = placed.agg(F.count("*").alias("total"))
-    want = d.sparkSession.range(count).select(F.col("id").alias("i"))
-    return want.crossJoin(F.broadcast(total)).join(placed, (F.lit((round_no - 1) * count) + F.col("i")) % F.col("total") == F.col("u")).select("i", "source_doc_code", "fact_key")
+    placed = numbered_globally(both.select("part", "d", "f", "source_doc_code", "fact_key"), "part", "d", "f", name="u")
+    total = placed.count()
+    want = spark.range(count).select(F.col("id").alias("i"), ((F.lit((round_no - 1) * count) + F.col("id")) % max(total, 1)).alias("u"))
+    return want.join(placed, "u").select("i", "source_doc_code", "fact_key")
 
 
 def build_cases(seeds: DataFrame, texts: DataFrame) -> DataFrame:

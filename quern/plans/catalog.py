@@ -643,7 +643,15 @@ def set3_pairs(read):
     return dataset.semantic_pairs(rows, ("label",), 0.35).select("label", "later", "earlier", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+#: Row by row, a label's list of kept ids grows unless one of them is a near copy of the next row.
+@query("""with recursive e as materialized (select label, vec_id as ord, cast(embedding as double[]) as v, row_number() over (partition by label order by vec_id) as i from {embeddings} where label is not null),
+    p as materialized (select a.label, a.ord as later, b.ord as earlier, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) as s from e a join e b on a.label = b.label and b.ord < a.ord),
+    r as materialized (select e.label, e.i, e.ord, list_filter(list(p.earlier), lambda x: x is not null) as near from e left join p on p.label = e.label and p.later = e.ord and p.s >= 0.45 group by all),
+    walk as (select label, cast(0 as bigint) as i, cast([] as bigint[]) as kept from (select distinct label from e)
+        union all select r.label, r.i, case when list_has_any(walk.kept, r.near) then walk.kept else list_append(walk.kept, r.ord) end from walk join r on r.label = walk.label and r.i = walk.i + 1),
+    kept as (select label, unnest(arg_max(kept, i)) as earlier from walk group by label),
+    best as (select p.label, later as ord, max(s) as s, arg_max(p.earlier, s) as nearest from p join kept on kept.label = p.label and kept.earlier = p.earlier where s >= 0.35 group by 1, 2)
+    select e.label, e.ord, case when s >= 0.45 then 'DUPLICATE' when s is not null then 'REVIEW' else 'KEEP' end as mark, nearest, round(s, 6) as similarity from e left join best on best.label = e.label and best.ord = e.ord""")
 def set3_semantic(read):
     rows = read("embeddings").select("label", F.col("vec_id").alias("ord"), F.col("embedding").alias("vec"))
     return dataset.dedup_semantic(rows, ("label",), 0.45, 0.35).select("label", "ord", "mark", "nearest", F.round("similarity", 6).alias("similarity"))

@@ -171,17 +171,34 @@ def fn12_percent(read):
     return read("lineitem").select("l_orderkey", "l_linenumber", T.percent(F.col("l_discount")).alias("discount"))
 
 
-@query("""with c as (select * from {chunks} where status = 'ACTIVE'), e as (select doc_id as case_code, doc_id - doc_id % 4 as mapped, substr(replace(text, chr(10), ' '), 5, 40) as quote from {documents} where length(text) > 60),
-    squeezed as (select e.*, c.chunk_id, c.parent_chunk_id from e join c on c.doc_id = e.mapped and contains(lower(regexp_replace(c.content, '\\s+', '', 'g')), lower(regexp_replace(e.quote, '\\s+', '', 'g')))),
-    n as (select case_code, count(*) as n, min(chunk_id) as one, count(case when chunk_id in (select s2.parent_chunk_id from squeezed s2 where s2.case_code = squeezed.case_code) then 1 end) as parents, min(case when chunk_id not in (select coalesce(s2.parent_chunk_id, -1) from squeezed s2 where s2.case_code = squeezed.case_code) then chunk_id end) as leaf from squeezed group by case_code)
-    select e.case_code, case when n.n is null then 'OTHER' when n = 1 or (parents > 0 and n - parents = 1) then 'MAPPED' else 'AMBIGUOUS' end as mapping_status, coalesce(case when n = 1 then one when parents > 0 and n - parents = 1 then leaf end, -1) as mapped_chunk_id from e left join n using (case_code)""")
+#: Quotes of whole chunks, with other punctuation, across two chunks, and of no chunk.
+QUOTES = r"""c as (select *, lead(chunk_id) over (partition by doc_id order by sort_order, chunk_id) as next_id, lead(content) over (partition by doc_id order by sort_order, chunk_id) as next_content from {chunks} where status = 'ACTIVE'),
+    e as (select doc_id as case_code, doc_id - doc_id % 4 as mapped, case doc_id % 4 when 0 then substr(replace(text, chr(10), ' '), 5, 40) when 1 then replace(substr(text, 5, 40), ' ', ' - ')
+        when 2 then concat(right(text, 25), ' ', coalesce((select substr(d2.text, 1, 25) from {documents} d2 where d2.doc_id = d.doc_id + 1), '')) else concat(substr(text, 9, 12), 'xyzzy') end as quote from {documents} d where length(text) > 60)"""
+
+
+@query(rf"""with {QUOTES},
+    n as (select c.*, lower(regexp_replace(content, '\s+', '', 'g')) as squeezed, lower(regexp_replace(content, '[^\p{{L}}\p{{N}}]+', '', 'g')) as bare, lower(regexp_replace(content || coalesce(next_content, ''), '[^\p{{L}}\p{{N}}]+', '', 'g')) as pair_text from c),
+    q as (select *, lower(regexp_replace(quote, '\s+', '', 'g')) as squeezed_quote, lower(regexp_replace(quote, '[^\p{{L}}\p{{N}}]+', '', 'g')) as bare_quote from e),
+    tiered as (select q.case_code, chunk_id, parent_chunk_id, case when contains(squeezed, squeezed_quote) then 1 when bare_quote <> '' and contains(bare, bare_quote) then 2 when next_id is not null and bare_quote <> '' and contains(pair_text, bare_quote) then 3 end as tier from q join n on n.doc_id = q.mapped),
+    best as (select * from tiered t where tier = (select min(tier) from tiered u where u.case_code = t.case_code)),
+    marked as (select *, chunk_id in (select p.parent_chunk_id from best p where p.case_code = best.case_code) as is_parent from best),
+    per as (select case_code, tier, count(*) as n, min(chunk_id) as one, count(case when is_parent then 1 end) as parents, min(case when not coalesce(is_parent, false) then chunk_id end) as leaf from marked group by all)
+    select e.case_code, case when tier is null then 'MISSING' when tier < 3 and (n = 1 or (parents > 0 and n - parents = 1)) then 'MAPPED' else 'AMBIGUOUS' end as mapping_status,
+        case tier when 1 then 'EXACT' when 2 then 'PUNCTUATION_NORMALIZED' when 3 then 'ADJACENT_CHUNKS' else 'NOT_FOUND' end || case when tier < 3 and n > 1 and parents > 0 and n - parents = 1 then '_MOST_SPECIFIC' else '' end as method,
+        case when tier < 3 and n = 1 then one when tier < 3 and parents > 0 and n - parents = 1 then leaf end as mapped_chunk_id from e left join per using (case_code)""")
 def jn7_map_evidence(read):
-    d = read("documents").where("char_length(text) > 60")
-    e = d.select(F.col("doc_id").alias("case_code"), (F.col("doc_id") - F.col("doc_id") % 4).cast("string").alias("source_doc_code"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 5, 40).alias("evidence_quote"))
+    d = read("documents")
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.substring("text", 1, 25).alias("start"))
+    quote = (
+        F.when(F.col("doc_id") % 4 == 0, F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 5, 40))
+        .when(F.col("doc_id") % 4 == 1, F.replace(F.substring("text", 5, 40), F.lit(" "), F.lit(" - ")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.right("text", F.lit(25)), F.lit(" "), F.coalesce("start", F.lit(""))))
+        .otherwise(F.concat(F.substring("text", 9, 12), F.lit("xyzzy")))
+    )
+    e = d.where("char_length(text) > 60").join(following, "doc_id", "left").select(F.col("doc_id").alias("case_code"), (F.col("doc_id") - F.col("doc_id") % 4).cast("string").alias("source_doc_code"), quote.alias("evidence_quote"))
     docs = read("chunks").select(F.col("doc_id").cast("string").alias("source_doc_code"), F.col("doc_id").alias("mapped_doc_id")).distinct()
-    m = dataset.map_evidence(e, docs, read("chunks"))
-    exact = F.col("method").startswith("EXACT")
-    return m.select("case_code", F.when(exact, F.col("mapping_status")).otherwise("OTHER").alias("mapping_status"), F.coalesce(F.when(exact, F.col("mapped_chunk_id")), F.lit(-1)).alias("mapped_chunk_id"))
+    return dataset.map_evidence(e, docs, read("chunks")).select("case_code", "mapping_status", "method", "mapped_chunk_id")
 
 
 @query("""with f as (select doc_id, concat('f', doc_id % 2) as fact_key, max(substr(text, 1, 30)) as fact_text from (select doc_id - doc_id % 4 as doc_id, text from {documents} where length(text) > 30) group by 1, 2)
