@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import split_multi, strip, text
+from ..functions.text import clean, split_multi, strip, text
 
 #: Forms of lines.
 QUESTION_LINE = r"(?i)^(Q\d*|问题\d*)[:：]\s*(.+)$"
@@ -210,6 +210,21 @@ def chunk(parsed: DataFrame) -> DataFrame:
     return out
 
 
+def parse(documents: DataFrame, cleaned: bool = True) -> DataFrame:
+    """The structures of documents (doc_id, doc_type, content), as the chunking functions take them: doc_id, doc_type,
+    clean_content, title, scene, steps, notes, title_path, button_names, qa_pairs and clauses.
+
+    The text is cleaned first unless ``cleaned`` is false. A document without a line that is not blank has no row."""
+    body = clean(F.col("content"), F.col("doc_type")) if cleaned else text(F.col("content"))
+    docs = documents.select("doc_id", "doc_type", body.alias("clean_content"))
+    lines = to_lines(docs, "clean_content")
+    listed = lambda names: F.transform(F.array_sort(F.collect_list(F.struct(*names))), lambda x: F.struct(*[x[n].alias(n) for n in names[1:]]))
+    pairs = extract_faq(lines).groupBy("doc_id").agg(listed(("pair_no", "question", "answer", "aliases", "tags")).alias("qa_pairs"))
+    clauses = extract_rules(lines).groupBy("doc_id").agg(listed(("line_no", "clause_no", "title_path", "content", "raw_line")).alias("clauses"))
+    manual = extract_manual(lines).select("doc_id", "title_path", "button_names")
+    return docs.join(extract_sop(lines), "doc_id").join(manual, "doc_id").join(pairs, "doc_id", "left").join(clauses, "doc_id", "left")
+
+
 def build_relations(chunks: DataFrame, same_section: bool = False) -> DataFrame:
     """(from_chunk_id, to_chunk_id, relation_type, sort_order): parent to child, each chunk to the next,
     and with ``same_section`` each chunk to the next of its section."""

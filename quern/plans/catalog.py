@@ -837,9 +837,15 @@ def str2_changes(read):
     return jobs.detect_changes(old, new).drop("retry_count")
 
 
-@query("select user_id as doc_id, arg_max(event_type, event_id) as status from {events} group by 1")
+#: Events as moves of documents, most of them illegal; a list of a document's moves folded by the machine.
+@query("""with e as (select user_id as doc_id, event_id as seq, ['UPLOADED', 'PARSING', 'CLEANED', 'NEED_REVIEW', 'FAILED', 'CHUNKED', 'LOST'][event_id % 7 + 1] as status from {events}),
+    listed as (select doc_id, list_prepend('-:0', list(status order by seq)) as moves from e group by 1),
+    ended as (select doc_id, list_reduce(moves, lambda a, b: case when list_contains(['-UPLOADED', 'UPLOADEDPARSING', 'PARSINGCLEANED', 'PARSINGNEED_REVIEW', 'PARSINGFAILED', 'CLEANEDCHUNKED', 'CLEANEDPARSING', 'NEED_REVIEWPARSING', 'FAILEDPARSING', 'CHUNKEDCHUNKED', 'CHUNKEDPARSING'],
+        split_part(a, ':', 1) || b) then b || ':' || split_part(a, ':', 2) else split_part(a, ':', 1) || ':' || (cast(split_part(a, ':', 2) as int) + 1) end) as state from listed)
+    select doc_id, nullif(split_part(state, ':', 1), '-') as status, cast(split_part(state, ':', 2) as bigint) as rejected from ended""")
 def str4_status(read):
-    return jobs.document_status(read("events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status")))
+    names = F.array(*[F.lit(x) for x in (*jobs.TRANSITIONS, "LOST")])
+    return jobs.document_status(read("events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.get(names, F.col("event_id") % 7).alias("status")))
 
 
 @query("select time_bucket(interval 5 minutes, finished_at) as window_start, count(*) as total, count(case when status = 'FAILED' then 1 end) as failed from {results} group by 1")

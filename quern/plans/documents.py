@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dataset, experiment, structure
+from ..storage import shared_folder
+from ..streaming import jobs
 from .catalog import query
 
 #: The lines of the view ``texts``, numbered and stripped, without blank ones.
@@ -104,12 +108,13 @@ def prj11_manual(read):
     return m.select("doc_id", "title", "title_path", F.array_join("steps", "\n").alias("steps"), F.array_join(F.array_sort("button_names"), "~").alias("buttons"))
 
 
+def _kind():
+    return F.element_at(F.array(*map(F.lit, structure.TYPES)), (F.col("doc_id") % 4 + 1).cast("int"))
+
+
 def _parsed(read):
-    pairs = _faq(read).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", "question", "answer", "aliases", "tags"))), lambda p: F.struct(p["question"].alias("question"), p["answer"].alias("answer"), p["aliases"].alias("aliases"), p["tags"].alias("tags"))).alias("qa_pairs"))
-    clauses = structure.extract_rules(_lines(read)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "clause_no", "title_path", "content", "raw_line"))), lambda c: F.struct(c["clause_no"].alias("clause_no"), c["title_path"].alias("title_path"), c["content"].alias("content"), c["raw_line"].alias("raw_line"))).alias("clauses"))
-    manual = structure.extract_manual(_lines(read)).select("doc_id", "title_path", "button_names")
-    kind = F.element_at(F.array(*map(F.lit, structure.TYPES)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return _sop(read).join(manual, "doc_id").join(pairs, "doc_id", "left").join(clauses, "doc_id", "left").withColumn("clean_content", F.lit("")).withColumn("doc_type", kind)
+    docs = read("texts").select("doc_id", _kind().alias("doc_type"), F.col("text").alias("content"))
+    return structure.parse(docs, cleaned=False).withColumn("clean_content", F.lit(""))
 
 
 CHUNKED = ("doc_id", "chunk_type", "title", "title_path", "content", "source_section", "sort_order")
@@ -151,6 +156,31 @@ def prj16_chunk(read):
     return structure.chunk(_parsed(read)).select(*CHUNKED)
 
 
+#: The texts cleaned by their type, and the chunks that hold such a text or are made of its lines.
+TYPED = f"""typed as (select doc_id, clean as text from (with {LINES}, k as (select * from l where not regexp_matches(line, '^第\\s*\\d+\\s*页\\s*/\\s*共\\s*\\d+\\s*页$')), {REPAIRED % 'k'}
+        select doc_id, string_agg(line, chr(10) order by n) as clean from s where doc_id % 2 = 1 group by doc_id
+        union all select doc_id, string_agg(line, chr(10) order by line_no) from k where doc_id % 2 = 0 group by doc_id))"""
+MANUAL = """manual as (select doc_id, min_by(line, line_no) as title, array_to_string((list(line order by line_no) filter (where starts_with(line, '一、') or ends_with(line, '操作') or ends_with(line, '说明') or ends_with(line, '配置') or ends_with(line, '管理')))[-3:], ' > ') as path,
+        list_distinct(flatten(list(regexp_extract_all(line, '【(.+?)】', 1) order by line_no))) as names, min_by(regexp_extract_all(line, '【(.+?)】', 1), line_no) filter (where contains(line, '【')) as named from lines group by doc_id)"""
+
+
+@query(
+    f"""with {TYPED}, {FAQ.replace("{texts}", "typed")}, {SOP.removeprefix(LINES)[2:]}, {RULES.removeprefix(LINES)[2:]}, {MANUAL},
+    every as (select * from ({FAQ_CHUNKS}) union all select * from ({RULE_CHUNKS})
+        union all select c.doc_id, c.chunk_type, c.title, c.title_path, case when c.sort_order = 1 then t.text else c.content end, c.source_section, c.sort_order from ({SOP_CHUNKS}) c join typed t on t.doc_id = c.doc_id
+        union all select m.doc_id, 'MANUAL', m.title, '操作手册 > ' || m.path, t.text || chr(10) || '涉及按钮：' || array_to_string(list_concat(list_distinct(m.named[:1]), list_filter(m.named[2:], lambda x: x <> m.named[1])), '；'), m.path, 1 from manual m join typed t on t.doc_id = m.doc_id)
+    select every.* from every where chunk_type = case doc_id % 4 when 0 then 'FAQ' when 1 then 'SOP' when 2 then 'RULE' else 'MANUAL' end"""
+)
+def str1_arriving(read):
+    """All texts arrive in two batches, of which the first is played twice; what the reader then sees."""
+    docs = read("texts").select("doc_id", _kind().alias("doc_type"), F.col("text").alias("content"))
+    target = f"{shared_folder(docs.sparkSession)}/arrived-{uuid.uuid4().hex}"
+    odd = F.col("doc_id") % 3 == 0
+    for number, rows in ((0, docs.where(odd)), (1, docs.where(~odd)), (0, docs.where(odd))):
+        jobs.ingest_batch(rows, number, target, "run")
+    return jobs.current_chunks(docs.sparkSession, target).select(*CHUNKED)
+
+
 @query("select p_partkey, 'exact_' || trim(lower(regexp_replace(p_name || '/' || p_brand, '[^\\p{L}\\p{N}]+', '_', 'g')), '_') as slug from {part}")
 def fn19_fact_slug(read):
     return read("part").select("p_partkey", T.fact_slug(F.concat("p_name", F.lit("/"), "p_brand")).alias("slug"))

@@ -342,9 +342,3 @@ def str3_outcomes(read):
     d = read("documents")
     state = d.select(C("doc_id").alias("chunk_id"), F.lit("h").alias("text_hash"), F.lit("PROCESSING").alias("status"), (C("doc_id") % 3).alias("retry_count"))
     return jobs.apply_outcomes(state, d.where("doc_id % 4 < 2").select(C("doc_id").alias("chunk_id"), (C("doc_id") % 4 == 0).alias("ok"))).select("chunk_id", "status", C("retry_count").cast("long").alias("retry_count"))
-
-
-@query("select sha256(text) as sha256, count(*) > 0 as seen from {documents} group by 1")
-def str1_arriving(read):
-    d = read("documents").select(C("text").alias("content"))
-    return jobs.arriving_documents(d, "FAQ").select("sha256", C("clean_content").isNotNull().alias("seen"))

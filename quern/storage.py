@@ -28,6 +28,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _place(spark, path)
+    return files.exists(place)
+
+
 @dataclass(frozen=True)
 class Stored:
     """A written table: ``read`` it as often as needed, ``drop`` it when done."""
@@ -39,9 +49,8 @@ class Stored:
         return self.spark.read.parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        place, files = _place(self.spark, self.path)
+        files.delete(place, True)
 
 
 def stored(df: DataFrame, path: str | None = None) -> Stored:
