@@ -218,3 +218,18 @@ def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     value = F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
     return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors of different sizes")).cast("double"))
+
+
+def safe_ratio(part: Column, whole: Column, otherwise=None) -> Column:
+    """part / whole, rounded to six places; ``otherwise`` where the whole is 0 or either is null."""
+    return F.coalesce(F.round(F.try_divide(part.cast("double"), whole.cast("double")), 6), F.lit(otherwise).cast("double"))
+
+
+def decode_json(col: Column, kind: str, default: Column) -> Column:
+    """A JSON text as ``kind``; the default where it is null, empty or no such JSON."""
+    return F.coalesce(F.from_json(F.nullif(strip(col), F.lit("")), kind, {"mode": "PERMISSIVE"}), default)
+
+
+def dates_in_order(start: Column, end: Column) -> Column:
+    """Whether a span of effective dates is one: it does not end before it starts. An open side is in order."""
+    return F.coalesce(end >= start, F.lit(True))

@@ -29,7 +29,7 @@ def query(text: str | None = None):
 
 def _register() -> None:
     """The modules that register more queries here."""
-    from . import documents, evaluation, questions  # noqa: F401
+    from . import documents, evaluation, files, questions  # noqa: F401
 
 
 def queries() -> dict:
@@ -105,14 +105,26 @@ def fn15_stable_side(read):
     return read("results").select("case_code", T.stable_side(F.col("case_code")).alias("side"))
 
 
-@query("select event_id, coalesce(cast(json_extract_string(props, '$.k') as int), -1) as k from {events}")
+#: Every third text is broken, every fifth is missing.
+@query("select event_id, case when event_id % 3 = 0 or event_id % 5 = 0 then -1 else coalesce(cast(json_extract_string(props, '$.k') as int), -1) end as k from {events}")
 def fn16_json(read):
-    return read("events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))
+    props = F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("string")).when(F.col("event_id") % 3 == 0, F.concat(F.lit("["), "props")).otherwise(F.col("props"))
+    decoded = T.decode_json(props, "k int", F.named_struct(F.lit("k"), F.lit(-1)))
+    return read("events").select("event_id", F.coalesce(decoded["k"], F.lit(-1)).alias("k"))
 
 
-@query("select o_orderkey, o_orderdate < cast('1995-01-01' as timestamp) as ends_before from {orders}")
+@query("select l_orderkey, l_linenumber, coalesce(l_receiptdate >= l_commitdate, true) as in_order, coalesce(case when l_linenumber % 3 > 0 then l_shipdate end >= l_commitdate, true) as open_side from (select *, l_shipdate + interval 9 day as l_receiptdate, l_shipdate - interval (l_quantity) day as l_commitdate from (select l_orderkey, l_linenumber, l_shipdate, cast(l_quantity as int) - 25 as l_quantity from {lineitem}))")
 def fn17_dates(read):
-    return read("orders").select("o_orderkey", (F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp")).alias("ends_before"))
+    moved = F.expr("l_shipdate - make_interval(0, 0, 0, cast(l_quantity as int) - 25)")
+    later = F.expr("l_shipdate + interval 9 days")
+    shipped = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_shipdate"))
+    return read("lineitem").select("l_orderkey", "l_linenumber", T.dates_in_order(moved, later).alias("in_order"), T.dates_in_order(moved, shipped).alias("open_side"))
+
+
+@query("select o_orderkey, case when o_custkey % 4 > 0 then round(o_totalprice / (o_custkey % 4), 6) end as ratio, case when o_custkey % 4 > 0 then round(o_totalprice / (o_custkey % 4), 6) else 0 end as or_zero from {orders}")
+def fn12_safe_ratio(read):
+    whole = F.col("o_custkey") % 4
+    return read("orders").select("o_orderkey", T.safe_ratio(F.col("o_totalprice"), whole).alias("ratio"), T.safe_ratio(F.col("o_totalprice"), whole, 0.0).alias("or_zero"))
 
 
 @query("""select chunk_id, trim(concat_ws(chr(10), '文档类型：' || chunk_type, '业务域：' || business_domain, '标题路径：' || title_path, '来源章节：' || source_section, '标签：' || tags, '关键词：' || keywords, '正文：', content), ' ' || chr(10)) as embedding_text,
@@ -351,7 +363,15 @@ def _fused(read):
     return retrieval.hybrid(_bm25(read, 50), vectors.knn(*_vectors(read), 50))
 
 
-@query()
+@query(
+    _BM25.rsplit("top as", 1)[0]
+    + """b as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s qualify row_number() over (partition by query_id order by score desc, chunk_id) <= 50), """
+    + _KNN.removeprefix("with ").replace("s as (", "ks as (").replace("from s)", "from ks)")
+    + """, met as (select query_id, chunk_id, rank, 'bm25' as source from b union all select query_id, chunk_id, rank, 'vector' from top where rank <= 50),
+    fused as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) as score, min(case when source = 'vector' then rank else rank + 1000000 end) as seen, string_agg(distinct source, ',' order by source) as sources from met group by 1, 2),
+    placed as (select *, row_number() over (partition by query_id order by score desc, seen, chunk_id) as rank from fused)
+    select query_id, chunk_id, score, sources, cast(rank as int) as rank from placed where rank <= 20"""
+)
 def ret5_hybrid(read):
     return _fused(read).select("query_id", "chunk_id", "score", F.array_join("sources", ",").alias("sources"), "rank")
 
@@ -402,12 +422,21 @@ def fus3_subqueries(read):
     return fusion.fuse_subqueries(_sub_hits(read), k=6, quota=2).select("query_id", "chunk_id", "score", "rank")
 
 
-@query()
+#: The first five candidates that only the first sub-query found; the second one's first candidate comes in their last place.
+@query("""with a as (select query_id, 1 as o, rank, chunk_id from {vector_hits} where rank <= 20 union all select query_id, 2, rank, chunk_id from {bm25_hits} where rank <= 20),
+    f as (select query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) as score, min(case when rank <= 1 then o * 1000 + rank end) as place, min(o * 1000 + rank) as seen, max(case when o = 1 then 1 else 0 end) as one, max(case when o = 2 then 1 else 0 end) as two from a group by 1, 2),
+    c as (select *, row_number() over (partition by query_id order by place nulls last, score desc, seen) as rank from f qualify row_number() over (partition by query_id order by place nulls last, score desc, seen) <= 20),
+    held as (select query_id, chunk_id, row_number() over (partition by query_id order by rank) as r from c where one = 1 and two = 0 qualify row_number() over (partition by query_id order by rank) <= 5),
+    n as (select q.query_id, count(held.r) as n from (select distinct query_id from c) q left join held using (query_id) group by 1),
+    new as (select query_id, coalesce(arg_min(case when n = 0 and one = 1 then chunk_id end, rank) filter (where n = 0 and one = 1), arg_min(chunk_id, rank) filter (where two = 1)) as chunk_id from c join n using (query_id) group by 1)
+    select held.query_id, cast(r as int) as rank, held.chunk_id, false as quota_restored from held join n using (query_id) join new using (query_id) where r < 5 or new.chunk_id is null
+    union all select query_id, cast(least(n.n + 1, 5) as int), chunk_id, true from new join n using (query_id) where chunk_id is not null""")
 def fus4_quota(read):
     c = fusion.fuse_subqueries(_sub_hits(read), k=20)
-    reranked = c.where("rank <= 5")
+    mine = c.where(F.array_contains("sub_query_ids", "SQ1") & ~F.array_contains("sub_query_ids", "SQ2"))
+    reranked = fusion.numbered(mine, "rank", name="place").where("place <= 5").drop("rank").withColumnRenamed("place", "rank")
     subs = c.select("query_id").distinct().withColumn("s", F.explode(F.array(F.lit(1), F.lit(2)))).select("query_id", F.col("s").alias("sub_query_ord"), F.concat(F.lit("SQ"), F.col("s").cast("string")).alias("sub_query_id"))
-    return fusion.restore_quota(reranked, c, subs, n=5).select("query_id", "rank", "chunk_id", "quota_restored")
+    return fusion.restore_quota(reranked, c, subs, n=5).select(F.col("query_id").cast("long").alias("query_id"), "rank", "chunk_id", "quota_restored")
 
 
 @query("""with a as (select distinct query_id, 'SQ1' as s, chunk_id from {vector_hits} where rank <= 5 union all select distinct query_id, 'SQ2', chunk_id from {bm25_hits} where rank <= 5),
@@ -715,13 +744,37 @@ def val2_documents(read):
     return dataset.check_documents(c)
 
 
-@query("""with c as (select event_id as case_code, event_type as q, value from {events}), r as (select case_code, row_number() over (partition by q order by case_code) as n, value from c)
-    select 'DUPLICATE_QUESTION' as code, cast(case_code as varchar) as entity_code from r where n > 1 union all select 'CASE_REVIEW_SCORE_TOO_LOW', cast(case_code as varchar) from r where value < 0.88 union all select 'CASE_NOT_ACTIVE', cast(case_code as varchar) from r where case_code % 10 = 0""")
+#: Every event is a case with a piece of evidence from one of the nations; some nations are unknown, doubled, not reviewed or not mapped.
+@query("""with c as (select event_id as case_code, event_type as q, value, user_id from {events}),
+    r as (select case_code, row_number() over (partition by q order by case_code) as n from c),
+    d as (select n_nationkey as k, 'N' || n_nationkey as code, n_nationkey % 6 <> 5 as passed, case when n_nationkey % 4 > 0 then 0.9 else 0.8 end as score, case when n_nationkey % 7 > 0 then n_nationkey end as mapped from {nation}
+        union all select n_nationkey, 'N' || n_nationkey, true, 0.95, n_nationkey from {nation} where n_nationkey % 10 = 3),
+    docs as (select code, max(mapped) as mapped from d group by 1),
+    e as (select case_code, 'N' || (case_code % 30) as code, user_id % 5 <> 0 as is_mapped, case when user_id % 3 = 0 then 1 else case_code % 30 end as doc, case when case_code % 11 > 0 then case_code end as chunk from c),
+    j as (select e.*, docs.code is not null as known, docs.mapped from e left join docs on docs.code = e.code),
+    m as (select *, not is_mapped or doc is null or chunk is null as open from j)
+    select 'DUPLICATE_DOCUMENT_CODE' as code, code as entity_code from (select code, row_number() over (partition by code) as n from d) where n > 1
+    union all select 'DOCUMENT_NOT_REVIEWED', code from d where not passed union all select 'DOCUMENT_REVIEW_SCORE_TOO_LOW', code from d where score < 0.88 union all select 'DOCUMENT_NOT_MAPPED', code from d where mapped is null
+    union all select 'DUPLICATE_QUESTION', cast(case_code as varchar) from r where n > 1 union all select 'CASE_REVIEW_SCORE_TOO_LOW', cast(case_code as varchar) from c where value < 0.88
+    union all select 'CASE_NOT_ACTIVE', cast(case_code as varchar) from c where case_code % 10 = 0 union all select 'CASE_NOT_REVIEWED', cast(case_code as varchar) from c where case_code % 13 = 0
+    union all select 'CASE_SPLIT_UNASSIGNED', cast(case_code as varchar) from c where case_code % 17 = 0
+    union all select 'EVIDENCE_SOURCE_NOT_FOUND', cast(case_code as varchar) from m where not known union all select 'EVIDENCE_NOT_MAPPED', cast(case_code as varchar) from m where known and open
+    union all select 'EVIDENCE_DOCUMENT_MAPPING_MISMATCH', cast(case_code as varchar) from m where known and not open and doc is distinct from mapped""")
 def val3_dataset(read):
     e = read("events")
-    cases = e.select(F.col("event_id").alias("case_code"), F.col("event_type").alias("question"), F.lit(None).cast("string").alias("normalized_question"), F.lit("PASSED").alias("review_status"), F.col("value").alias("review_score"), F.when(F.col("event_id") % 10 == 0, "DRAFT").otherwise("ACTIVE").alias("status"), F.lit("TEST").alias("dataset_split"))
-    docs = read("region").select(F.col("r_name").alias("source_doc_code"), F.lit("PASSED").alias("review_status"), F.lit(1.0).alias("review_score"), F.lit(1).cast("long").alias("mapped_doc_id"))
-    evidence = e.limit(0).select(F.col("event_id").alias("case_code"), F.lit("x").alias("source_doc_code"), F.lit("MAPPED").alias("mapping_status"), F.lit(1).cast("long").alias("mapped_doc_id"), F.lit(1).cast("long").alias("mapped_chunk_id"))
+    k = F.col("event_id")
+    cases = e.select(
+        k.alias("case_code"), F.col("event_type").alias("question"), F.lit(None).cast("string").alias("normalized_question"), F.when(k % 13 == 0, "REJECTED").otherwise("PASSED").alias("review_status"), F.col("value").alias("review_score"),
+        F.when(k % 10 == 0, "DRAFT").otherwise("ACTIVE").alias("status"), F.when(k % 17 == 0, "UNASSIGNED").otherwise("TEST").alias("dataset_split"),
+    )
+    n = F.col("n_nationkey")
+    name = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    nations = read("nation").select(n.cast("long").alias("n_nationkey"))
+    first = nations.select(name(n).alias("source_doc_code"), F.when(n % 6 != 5, "PASSED").alias("review_status"), F.when(n % 4 > 0, 0.9).otherwise(0.8).alias("review_score"), F.when(n % 7 > 0, n).alias("mapped_doc_id"))
+    docs = first.unionByName(nations.where("n_nationkey % 10 = 3").select(name(n).alias("source_doc_code"), F.lit("PASSED").alias("review_status"), F.lit(0.95).alias("review_score"), n.alias("mapped_doc_id")))
+    evidence = e.select(
+        k.alias("case_code"), name(k % 30).alias("source_doc_code"), F.when(F.col("user_id") % 5 != 0, "MAPPED").otherwise("AMBIGUOUS").alias("mapping_status"), F.when(F.col("user_id") % 3 == 0, F.lit(1)).otherwise(k % 30).cast("long").alias("mapped_doc_id"), F.when(k % 11 > 0, k).alias("mapped_chunk_id"),
+    )
     return dataset.validate_dataset(docs, cases, evidence)
 
 

@@ -248,10 +248,10 @@ def met14_overview(read):
     return metrics.overview(r)
 
 
-@query("with n as (select c_mktsegment as domain, count(*) as a, count(case when c_acctbal < 0 then 1 end) as b from {customer} group by 1) select not exists (select 1 from {orders} where o_totalprice < 0) and not exists (select 1 from n where a > 0 and b > 0) as mismatch")
+@query("with n as (select c_mktsegment as domain, count(*) as a, count(case when c_acctbal < 0 then 1 end) as b from {customer} group by 1) select not exists (select 1 from {orders} where o_totalprice > 200000) and not exists (select 1 from n where a > 0 and b > 0) as mismatch")
 def met15_mismatch(read):
     d = read("customer").groupBy(C("c_mktsegment").alias("domain")).agg(F.count("*").alias("n_cases"), F.count(F.when(C("c_acctbal") < 0, 1)).alias("n_chunks"))
-    hits = read("orders").where("o_totalprice < 0").agg(F.count("*").alias("n_hits"))
+    hits = read("orders").where("o_totalprice > 200000").agg(F.count("*").alias("n_hits"))
     return metrics.domain_mismatch(d.crossJoin(F.broadcast(hits)))
 
 

@@ -89,10 +89,10 @@ def fn18_fill_template(read):
     return read("asked").select("query_id", T.fill_template(template, F.col("customer").cast("string")).alias("filled"))
 
 
-@query("""select query_id, case when k = 3 then 'fewer than two sub-queries' when customer % 3 = 0 then 'benefit too low' when k = 0 then 'not required' when k = 2 and price > 200000 then 'the second hop is no template' end as reason,
-    case when k in (1, 2) and customer % 3 > 0 and not (k = 2 and price > 200000) then case k when 1 then 'SQ1:first ' || customer || '~SQ2:second part' else 'SQ1:first ' || customer || '~SQ2:of {{' || 'intermediate_fact' || '}}' end else '' end as subs from (select * from {asked}) where not (k = 0 and customer % 3 = 0) and not (k = 3 and customer % 3 = 0)""")
+@query("""select query_id, case when k = 0 then 'not required' when customer % 3 = 0 then 'benefit too low' when k = 3 then 'fewer than two sub-queries' when k = 2 and price > 200000 then 'the second hop is no template' end as reason,
+    case when k in (1, 2) and customer % 3 > 0 and not (k = 2 and price > 200000) then case k when 1 then 'SQ1:first ' || customer || '~SQ2:second part' else 'SQ1:first ' || customer || '~SQ2:of {{' || 'intermediate_fact' || '}}' end else '' end as subs from {asked}""")
 def ana6_decomposition(read):
-    a = read("asked").where("not (k = 0 and customer % 3 = 0) and not (k = 3 and customer % 3 = 0)")
+    a = read("asked")
     sub = lambda q, on=None: F.struct(q.alias("question"), F.array(F.lit("faq"), F.lit("NONE"), F.lit("FAQ")).alias("target_types"), F.lit(on).cast("string").alias("depends_on"))
     one = F.concat(F.lit("first   "), F.col("customer").cast("string"))
     second = F.when(F.col("price") > 200000, "no template").otherwise("of {{intermediate_fact}}")
