@@ -285,6 +285,43 @@ def ana13_adaptive(read):
     return fused.join(decided.select("query_id", "retry_strategy"), "query_id").select("query_id", "chunk_id", "score", F.array_join("rounds", ",").alias("rounds"), "rank", "retry_strategy")
 
 
+#: The features of each case's first six hits, of which four are reranked: codes and versions asked for and held by some chunks.
+FEATURES = """h as (select query_id, rank, chunk_id, chunk_id % 50 as doc, ['FAQ', 'SOP', 'RULE', 'MANUAL'][chunk_id % 4 + 1] as kind, chunk_id % 3 = 0 as in_both, chunk_id % 5 = 0 as has_code, chunk_id % 3 as v, round((chunk_id % 10 + 1) / 11.0, 6) as s from {vector_hits} where rank <= 6),
+    m as (select query_id, count(*) as n, count(distinct doc) as docs, round(avg(cast(in_both as int)), 6) as overlap, (max(case when kind = 'RULE' then 1 else 0 end) + max(case when kind = 'SOP' then 1 else 0 end)) / 2.0 as types from h group by 1),
+    r as (select query_id, max(case when rank = 1 then s end) as top1, max(case when rank = 2 then s end) as top2, avg(case when rank <= 3 then s end) as top3, max(case when has_code then 1 else 0 end) as code, count(distinct v) as versions from h where rank <= 4 group by 1),
+    f as (select query_id, n as candidate_count, docs as distinct_document_count, overlap as channel_overlap_at_10, round(top1, 6) as rerank_top1, round(top3, 6) as rerank_top3_mean, round(case when top2 is null then top1 else greatest(top1 - top2, 0) end, 6) as rerank_margin,
+        types as target_type_coverage, case when query_id % 3 = 0 then cast(code as double) else 1.0 end as exact_term_coverage, versions as distinct_version_count, query_id % 5 = 0 as comparison_intent from m join r using (query_id))"""
+
+
+def _quality(read):
+    k = F.col("chunk_id")
+    q = read("cases").select(F.col("case_code").alias("query_id"), F.lit("order").alias("o")).select("query_id", F.concat("o", F.when(F.col("query_id") % 3 == 0, " E1024").otherwise(""), F.when(F.col("query_id") % 5 == 0, " V1 V2").otherwise("")).alias("question"), F.array(F.lit("RULE"), F.lit("SOP")).alias("target_types"))
+    both = F.when(k % 3 == 0, F.array(F.lit("bm25"), F.lit("vector"))).otherwise(F.array(F.lit("vector")))
+    hits = read("vector_hits").where("rank <= 6").select(
+        "query_id", "rank", "chunk_id", "score", (k % 50).alias("doc_id"), F.element_at(F.array(*map(F.lit, ("FAQ", "SOP", "RULE", "MANUAL"))), (k % 4 + 1).cast("int")).alias("chunk_type"), both.alias("sources"),
+        F.when(k % 5 == 0, "text e1024").otherwise("text").alias("content"), *[F.lit("t").alias(c) for c in ("title", "title_path", "source_section")], F.concat(F.lit("v"), (k % 3).cast("string")).alias("version"),
+    )
+    return analysis.quality_features(q, hits, hits.where("rank <= 4").withColumn("rerank_score", F.round((k % 10 + 1) / 11, 6)))
+
+
+@query(f"with {FEATURES} select * from f")
+def ana7_quality(read):
+    return _quality(read).drop("exact_terms")
+
+
+@query(
+    f"""with {FEATURES}, p as (select *, round(greatest(0, least(1, 15e-2 * least(candidate_count / 3e0, 1) + 10e-2 * least(distinct_document_count / 2e0, 1) + 10e-2 * channel_overlap_at_10 + 25e-2 * rerank_top1 + 15e-2 * rerank_top3_mean + 10e-2 * target_type_coverage
+        + 75e-3 * exact_term_coverage + 75e-3 * case when comparison_intent then least(distinct_version_count / 2e0, 1) else 1 end)), 6) as quality_score,
+        case when query_id % 3 = 0 and exact_term_coverage < 1 then 'FORCE_BM25' when comparison_intent and distinct_version_count < 2 then 'QUERY_REWRITE' when target_type_coverage = 0 then 'RELAX_FILTER'
+        when rerank_top1 < 0.6 and rerank_top3_mean < 0.55 then 'QUERY_REWRITE' when candidate_count < 3 or distinct_document_count < 2 then 'QUERY_REWRITE' else 'NONE' end as first_strategy from f),
+    d as (select *, query_id % 2 = 0 and query_id % 7 > 0 and first_strategy = 'NONE' as uncovered from p)
+    select query_id, round(quality_score, 4) as quality_score, case when first_strategy <> 'NONE' or uncovered then 'WEAK' else 'GOOD' end as quality, case when uncovered then 'QUERY_REWRITE' else first_strategy end as retry_strategy, uncovered from d"""
+)
+def ana9_policy(read):
+    graded = analysis.quality_policy(_quality(read)).withColumns({"decomposed": F.col("query_id") % 2 == 0, "coverage_rate": F.when(F.col("query_id") % 7 == 0, 1.0).otherwise(0.5)})
+    return analysis.coverage_override(graded).select("query_id", F.round("quality_score", 4).alias("quality_score"), "quality", "retry_strategy", (F.col("reason") == analysis.UNCOVERED).alias("uncovered"))
+
+
 # -- several queries of one question, and the second hop -----------------------------------
 
 #: Each item's text, its first and its next eight words; every third item is decomposed into these two, with the
