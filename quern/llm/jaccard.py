@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import durable, mix, written
 from .embeddings import forest
 from .graph import blocks, components
+from .lines import only_wanted
 from .passages import WordHashes, grams, words
 from .repeats import LAST
 
@@ -194,8 +195,10 @@ def _links(rows: DataFrame, classes: DataFrame, threshold: float, k: int, trees:
     found, depth, before, seen = None, levels, None, {}
     while True:
         placed = durable(_met(classes, trees, levels, depth, before, block))
-        wanted = classes.join(placed.select("id").distinct(), "id", "left_semi").select("id", "doc", "twin")
-        sets = rows.join(wanted, ["doc", "twin"]).select("id", "text").mapInArrow(_sets(k), "id bigint, shingles binary")
+        key = F.xxhash64("doc", "twin").alias("key")
+        wanted = durable(classes.join(placed.select("id").distinct(), "id", "left_semi").select("id", "doc", "twin", key))
+        texts = only_wanted(rows.select("doc", "twin", "text", key), wanted, "key").drop("key").join(wanted.drop("key"), ["doc", "twin"])
+        sets = texts.select("id", "text").mapInArrow(_sets(k), "id bigint, shingles binary")
         whole = sets.dropDuplicates(["id"]).join(classes.select("id", "copies", "paths"), "id")
         made = durable(placed.join(whole, "id").groupBy("cell").applyInArrow(_verify(threshold, trees, levels, depth, before), "a bigint, b bigint, n bigint"))
         found = made if found is None else found.unionByName(made)
