@@ -47,6 +47,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def written_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed by ``keys`` as the shuffle deals them: rows dealt by these keys
+    are written where they are, and grouping the table by them needs no exchange."""
+    spark, name = df.sparkSession, f"quern_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), *keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an array of uint64."""
     x = x ^ (x >> np.uint64(30))

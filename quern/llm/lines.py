@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, written
+from .common import durable, written_by
 from .graph import components
 from .repeats import LAST
 
@@ -90,10 +90,10 @@ def shingles(lines: DataFrame, *keys: str) -> DataFrame:
 
 
 def banded(first: DataFrame) -> DataFrame:
-    """h1, h2 and bands of lines."""
-    hashes = shingles(first, "h1", "h2")
-    signed = hashes.groupBy("h1", "h2").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants())])
-    return signed.select("h1", "h2", F.array(*[F.xxhash64(F.lit(k), *[f"m{i}" for i in places]) for k, places in enumerate(band_places())]).alias("bands"))
+    """id and bands of lines (id, h1, h2, line); grouped by what the lines are dealt by."""
+    hashes = shingles(first, "h1", "h2", "id")
+    signed = hashes.groupBy("h1", "h2", "id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(constants())])
+    return signed.select("id", F.array(*[F.xxhash64(F.lit(k), *[f"m{i}" for i in places]) for k, places in enumerate(band_places())]).alias("bands"))
 
 
 def only_wanted(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 27) -> DataFrame:
@@ -180,11 +180,9 @@ def rest_of_bands(met: DataFrame, groups: DataFrame, sets: DataFrame, threshold:
 
 
 def near_lines(documents: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(id, doc, twin, no, line and bands of the distinct lines; id and component of those that have near copies)."""
-    first = first_lines(documents)
-    signed = first.join(banded(first), ["h1", "h2"], "left")
-    lines = written(signed.select(F.monotonically_increasing_id().alias("id"), "doc", "twin", "no", "line", "bands"))
-    in_bands = lines.select("id", F.explode("bands").alias("band")).repartition("band")  # one exchange serves the heads and the join with them
+    """(id, doc, twin, no and line of the distinct lines, dealt by their hashes; id and component of those that have near copies)."""
+    lines = written_by(first_lines(documents).withColumn("id", F.monotonically_increasing_id()), "h1", "h2")
+    in_bands = banded(lines).select("id", F.explode("bands").alias("band")).repartition("band")  # one exchange serves the heads and the join with them
     heads = in_bands.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     met = durable(in_bands.join(heads.hint("shuffle_hash"), "band"))  # few bands have several lines, so a table of them spares sorting all
     pairs = met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
