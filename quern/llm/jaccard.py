@@ -37,6 +37,8 @@ from .passages import WordHashes, grams, words
 from .repeats import LAST
 
 TREES, LEVELS, RECALL, BLOCK = 16, 8, 0.995, 512
+#: Keys of 64 bits that are broadcast at most.
+FEW_KEYS = 1 << 20
 SHINGLE, THRESHOLD = 5, 0.8
 #: Links from which the share that a prefix length finds is estimated; and the steps of similarity they are counted in.
 SURE, STEPS = 1000, 50
@@ -197,7 +199,10 @@ def _links(rows: DataFrame, classes: DataFrame, threshold: float, k: int, trees:
         placed = durable(_met(classes, trees, levels, depth, before, block))
         key = F.xxhash64("doc", "twin").alias("key")
         wanted = durable(classes.join(placed.select("id").distinct(), "id", "left_semi").select("id", "doc", "twin", key))
-        texts = only_wanted(rows.select("doc", "twin", "text", key), wanted, "key").drop("key").join(wanted.drop("key"), ["doc", "twin"])
+        keyed = rows.select("doc", "twin", "text", key)
+        few = wanted.count() <= FEW_KEYS  # their keys are broadcast; beyond that a bitmap of them, of at most 16 MB
+        picked = keyed.join(F.broadcast(wanted.select("key").distinct()), "key", "left_semi") if few else only_wanted(keyed, wanted, "key")
+        texts = picked.drop("key").join(wanted.drop("key"), ["doc", "twin"])
         sets = texts.select("id", "text").mapInArrow(_sets(k), "id bigint, shingles binary")
         whole = sets.dropDuplicates(["id"]).join(classes.select("id", "copies", "paths"), "id")
         made = durable(placed.join(whole, "id").groupBy("cell").applyInArrow(_verify(threshold, trees, levels, depth, before), "a bigint, b bigint, n bigint"))
