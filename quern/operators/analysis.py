@@ -281,13 +281,20 @@ def gate(rule: DataFrame, model: DataFrame, columns: tuple[str, ...], least: flo
     return joined.withColumns({c: F.when(use, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns} | {"fallback_used": ~use}).drop("_c", *[f"_{c}" for c in columns])
 
 
+#: Clarification policies at most.
+POLICIES = 1000
+
+
 def clarify(questions: DataFrame, policies: DataFrame) -> DataFrame:
     """(query_id, policy_code, clarification_question, missing_slots) of questions that lack a slot.
 
     policies: (ord, code, trigger_groups, required_any_terms, excluded_terms, required_slots
-    array<struct<code, label, values>>, clarification_question), a small configuration table that is collected
-    into one literal. The first policy that applies counts, also when nothing is missing."""
-    rows = policies.orderBy("ord").collect()
+    array<struct<code, label, values>>, clarification_question), a configuration table of at most ``POLICIES`` rows
+    that is collected into one literal; more are an error. The first policy that applies counts, also when nothing
+    is missing."""
+    rows = policies.orderBy("ord").limit(POLICIES + 1).collect()
+    if len(rows) > POLICIES:
+        raise ValueError(f"more than {POLICIES} policies")
     q = letters(F.col("question"))
     chosen = None
     bare = lambda s: "".join(c for c in s if c.isalnum()).lower()

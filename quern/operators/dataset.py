@@ -356,7 +356,7 @@ def select_quota(cases: DataFrame, quota: DataFrame) -> tuple[DataFrame, DataFra
     case_type, subtype, review_score, review_status, status); quota: (ord, split, case_type, subtype, n)."""
     good = cases.where("review_status = 'PASSED' and status = 'ACTIVE'")
     q = quota.select(F.col("ord").alias("_ord"), F.col("split").alias("dataset_split"), F.col("case_type").alias("_type"), F.col("subtype").alias("_sub"), "n")
-    joined = good.join(F.broadcast(q), (good["dataset_split"] == q["dataset_split"]) & (good["case_type"] == q["_type"]) & (q["_sub"].isNull() | good["subtype"].eqNullSafe(q["_sub"]))).drop(q["dataset_split"])
+    joined = good.join(q, (good["dataset_split"] == q["dataset_split"]) & (good["case_type"] == q["_type"]) & (q["_sub"].isNull() | good["subtype"].eqNullSafe(q["_sub"]))).drop(q["dataset_split"])
     best = Window.partitionBy("_ord").orderBy(F.coalesce("review_score", F.lit(0.0)).desc(), "case_code")
     ranked = joined.withColumn("_r", F.row_number().over(best))
     taken = ranked.where(F.col("_r") <= F.col("n"))

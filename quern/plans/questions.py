@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import user
 from ..operators import analysis, context, fusion, loop, retrieval
+from ..operators.order import numbered_globally
 from . import catalog
 from .catalog import query
 
@@ -446,8 +447,8 @@ RELATED = """types as (select distinct chunk_id, case chunk_id % 3 when 0 then '
 def jn11_expand(read):
     kinds = read("hits").select("chunk_id").distinct()
     chunks = kinds.select("chunk_id", F.when(F.col("chunk_id") % 3 == 0, "SOP").when(F.col("chunk_id") % 3 == 1, "RULE").otherwise("FAQ").alias("chunk_type"), F.when(F.col("chunk_id") % 7 > 0, "ACTIVE").otherwise("INACTIVE").alias("status"))
-    order = fusion.Window.orderBy("chunk_id")
-    pairs = kinds.withColumn("to_chunk_id", F.lead("chunk_id").over(order)).where("to_chunk_id is not null")
+    placed = numbered_globally(kinds, "chunk_id")
+    pairs = placed.join(placed.select(F.col("chunk_id").alias("to_chunk_id"), (F.col("n") - 1).alias("n")), "n").drop("n")
     relations = pairs.select(F.col("chunk_id").alias("from_chunk_id"), "to_chunk_id", F.when(F.col("chunk_id") % 3 == 0, "PARENT_CHILD").when(F.col("chunk_id") % 3 == 1, "PREVIOUS_NEXT").otherwise("SAME_SECTION").alias("relation_type"), (F.col("chunk_id") % 5).alias("sort_order"))
     return context.expand_hits(context.context_rows(_hits(read)), relations, chunks).drop("nth").withColumn("sort_score", F.round("sort_score", 9))
 

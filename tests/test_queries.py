@@ -29,16 +29,16 @@ def rows(df):
     return sorted(tuple(clean(getattr(v, "item", lambda v=v: v)()) for v in r) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", ["ret2_bm25", "ret3_knn", "fus1_rrf", "fus3_subqueries", "met8_case_metrics", "met9_run_summary", "met12_attribution", "exp1_compare", "jn7_containment", "snk2_digest", "str2_changes", "win5_budget", "met18_calibrate", "rnk3_fallback"])
+@pytest.mark.parametrize("name", ["ret1_postings", "ret2_bm25", "ret3_knn", "ret3_knn_filtered", "ret4_recall", "ret5_hybrid", "set3_semantic", "val3_dataset", "fus4_quota", "str4_status", "fn16_json", "fn17_dates", "fn12_safe_ratio", "fus1_rrf", "fus3_subqueries", "met8_case_metrics", "met9_run_summary", "met12_attribution", "exp1_compare", "jn7_containment", "snk2_digest", "str2_changes", "win5_budget", "met18_calibrate", "rnk3_fallback"])
 def test_query_equals_sql(spark, db, name):
     assert rows(catalog.queries()[name](spark, SF).toPandas()) == rows(db.sql(catalog.oracle_sql()[name]).df())
 
 
-NEW = [n for n in catalog.oracle_sql() if catalog.QUERIES[n].__closure__ and any(c.cell_contents.__module__.rsplit(".", 1)[-1] in ("documents", "questions", "evaluation") for c in catalog.QUERIES[n].__closure__ if callable(c.cell_contents))]
+NEW = [n for n in catalog.oracle_sql() if catalog.QUERIES[n].__closure__ and any(c.cell_contents.__module__.rsplit(".", 1)[-1] in ("documents", "questions", "evaluation", "files") for c in catalog.QUERIES[n].__closure__ if callable(c.cell_contents))]
 
 
 @pytest.mark.parametrize("name", NEW)
-def test_query_on_documents_questions_or_evaluation_equals_sql(spark, db, name):
+def test_query_on_documents_questions_evaluation_or_files_equals_sql(spark, db, name):
     assert rows(catalog.queries()[name](spark, SF).toPandas()) == rows(db.sql(catalog.oracle_sql()[name]).df())
 
 
