@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -25,7 +26,7 @@ def db():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda x: "null" if x is None or x != x else repr(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    clean = lambda x: "null" if x is None or x is pd.NA or x != x else repr(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(clean(getattr(v, "item", lambda v=v: v)()) for v in r) for r in df.itertuples(index=False))
 
 
