@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import analysis, context, dataset, experiment, fusion, keyword, metrics, retrieval, structure, vectors
 from ..sources import readers
+from ..storage import exists
 from ..streaming import jobs
 from .tables import sql, view
 
@@ -292,7 +293,7 @@ def _index(read):
     """The keyword index of the active chunks; written once for each application and folder of tables."""
     chunks = read("chunks").where("status = 'ACTIVE'")
     key = (chunks.sparkSession.sparkContext.applicationId, tuple(chunks.inputFiles()))
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(chunks.sparkSession, _INDEXES[key].postings.path):
         _INDEXES[key] = keyword.build_index(chunks)
     return _INDEXES[key]
 
