@@ -48,8 +48,8 @@ WIDE = {
     "card": r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])",
     "phone": r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
-#: Characters that a text with a match must hold; cheaper than the pattern.
-NEEDED = {"email": "@|[Aa][Tt]", "ip": "[0-9][.:]", "card": "[0-9]{4}", "phone": "[0-9]{3}"}
+#: What a text with a match of either pattern must hold, digits grouped in any way; cheaper than the patterns.
+NEEDED = {"email": "@|[Aa][Tt]", "ip": "[0-9A-Fa-f][.:]", "card": r"[0-9](?:[\x20-]?[0-9]){3}", "phone": r"\+[0-9]|[0-9]{3}"}
 
 #: Gazetteers and cue words.
 DOMAINS = "com org net edu gov mil int info biz io dev app me eu de fr es it uk ie nl be at ch pl pt se no dk fi cz gr ru ua tr in cn jp kr au nz ca us mx br ar cl co za"

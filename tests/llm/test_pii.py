@@ -111,3 +111,12 @@ def test_no_documents(spark):
 def test_only_dataframe_functions(spark):
     plan = pii.digests(pii.find(documents(spark, CASES)))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_base_spans_of_digits_in_small_groups(spark):
+    """No three or four digits of these stand side by side, so a filter on runs of digits would lose them."""
+    texts = ["41 11 11 11 11 11 11 11", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "call +33 1 23 45 67 89 now", "+4 9 3 0 9 0 1 8 2", "4 1 1 1"]
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find(documents(spark, texts))).collect()}
+    assert [plain(t) for t in texts] == [["card:0:23"], ["card:0:31"], ["phone:5:22"], ["phone:0:18"], []]
+    for i, text in enumerate(texts):
+        assert set(plain(text)) <= set(got[i].split(",")) | {""}, text
