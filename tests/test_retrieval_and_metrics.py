@@ -180,3 +180,15 @@ def test_two_hop_chain(spark):
     rows = [("a", 1, 1), ("a", 2, 2), ("b", 1, 3)]
     flags = {r.case_code: r for r in experiment.chain_flags(w, spark.createDataFrame(rows[:2], "case_code string, hop int, chunk_id long"), spark.createDataFrame(rows, "case_code string, hop int, chunk_id long")).collect()}
     assert flags["a"].end_to_end and not flags["b"].first_hop_hit and not flags["b"].end_to_end
+
+
+def test_quotas_are_restored_in_batches_of_questions(spark, capsys):
+    """Each question's rows are a row of lists, and no function is called once a question."""
+    reranked = spark.createDataFrame([(q, r, r, ["SQ1"]) for q in range(50) for r in (1, 2)], "query_id long, rank int, chunk_id long, sub_query_ids array<string>")
+    candidates = reranked.unionByName(spark.createDataFrame([(q, 3, 9, ["SQ2"]) for q in range(50)], reranked.schema))
+    subs = spark.createDataFrame([(q, o, f"SQ{o}") for q in range(50) for o in (1, 2)], "query_id long, sub_query_ord int, sub_query_id string")
+    out = fusion.restore_quota(reranked, candidates, subs, n=2, quota=1)
+    assert {(r.rank, r.chunk_id, r.quota_restored) for r in out.collect()} == {(1, 1, False), (2, 9, True)} and out.count() == 100
+    out.explain()
+    shown = capsys.readouterr().out
+    assert "MapInArrow" in shown and "FlatMapGroups" not in shown
