@@ -135,3 +135,16 @@ def test_readers_and_user_models(spark, tmp_path):
     got = {r.chunk_id: r.rerank_score for r in user.score_pairs(pairs, lambda q, c: [float(len(x)) for x in c], batch=1).collect()}
     assert got == {2: 9.0, 3: 1.0}
     assert user.embed(pairs, lambda t: [[float(len(x))] for x in t], "chunk_id", "content").count() == 2
+
+
+def test_structures_are_made_without_a_shuffle(spark, capsys):
+    """A document goes from its text to its structures in one row, and these are those of the tables of lines."""
+    text = "一、退款规则\n适用场景：售后\n1. 打开【A】再点【B】\n注意：小心\nQ1：怎么退？\nA1：联系\n等待\n同义问法：退货，退钱\nQ2: 空\n3.1 超过 3 天"
+    docs = spark.createDataFrame([(1, "FAQ", text), (2, "RULE", " \n"), (3, "SOP", None)], "doc_id long, doc_type string, content string")
+    parsed = structure.parse(docs, cleaned=False)
+    (row,) = parsed.collect()
+    lines = structure.to_lines(docs, "content")
+    assert [(p.question, p.answer, p.aliases) for p in row.qa_pairs] == [(p.question, p.answer, p.aliases) for p in structure.extract_faq(lines).orderBy("pair_no").collect()]
+    assert [tuple(c) for c in row.clauses] == [tuple(c) for c in structure.extract_rules(lines).orderBy("line_no").drop("doc_id", "line_no").collect()]
+    parsed.explain()
+    assert "Exchange" not in capsys.readouterr().out
