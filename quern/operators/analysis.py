@@ -131,13 +131,23 @@ def quality_features(questions: DataFrame, merged: DataFrame, reranked: DataFram
         F.max(F.when(F.col("rank") == 1, score)).alias("top1"), F.max(F.when(F.col("rank") == 2, score)).alias("top2"), F.avg(F.when(F.col("rank") <= 3, score)).alias("top3")
     )
     read = ("query_id", "content", "title", "title_path", "source_section", "version")
-    evidence = reranked.select(*read).unionByName(merged.join(reranked.select("query_id").distinct(), "query_id", "left_anti").select(*read))
-    shown = evidence.select("query_id", F.lower(F.concat_ws("\n", "content", "title", "title_path", "source_section")).alias("shown"))
     asked = questions.select("query_id", F.explode(exact_terms(F.col("question"))).alias("term"))
-    covered = asked.join(shown, "query_id").where(F.contains("shown", F.lower("term"))).groupBy("query_id").agg(F.countDistinct("term").alias("covered"))
-    seen = evidence.select("query_id", F.explode(explicit_versions(F.col("content"), F.col("version"))).alias("v")).groupBy("query_id").agg(F.countDistinct("v").alias("distinct_version_count"))
+
+    def shown(evidence, name):
+        """The exact terms and the versions that the evidence of each question holds."""
+        whole = evidence.select("query_id", F.lower(F.concat_ws("\n", "content", "title", "title_path", "source_section")).alias("shown"))
+        covered = asked.join(whole, "query_id").where(F.contains("shown", F.lower("term"))).groupBy("query_id").agg(F.countDistinct("term").alias(f"covered_{name}"))
+        seen = evidence.select("query_id", F.explode(explicit_versions(F.col("content"), F.col("version"))).alias("v")).groupBy("query_id").agg(F.countDistinct("v").alias(f"versions_{name}"))
+        return covered, seen
+
+    # No question is in both parts, so they are joined side by side; a union of them would have to keep its parts' partitions.
+    rest = merged.join(reranked.select("query_id").distinct(), "query_id", "left_anti")
+    sides = [*shown(reranked.select(*read), "own"), *shown(rest.select(*read), "rest")]
     q = questions.select("query_id", "question", "target_types", exact_terms(F.col("question")).alias("exact_terms"))
-    out = q.join(m, "query_id", "left").join(r, "query_id", "left").join(covered, "query_id", "left").join(seen, "query_id", "left")
+    out = q.join(m, "query_id", "left").join(r, "query_id", "left")
+    for side in sides:
+        out = out.join(side, "query_id", "left")
+    out = out.withColumns({"covered": F.coalesce("covered_own", "covered_rest"), "distinct_version_count": F.coalesce("versions_own", "versions_rest")})
     wanted = F.array_distinct(F.transform(F.filter(F.coalesce("target_types", _strings()), lambda t: t != ""), F.upper))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select(
