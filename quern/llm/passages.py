@@ -4,9 +4,12 @@
    smallest of each ``V`` neighbours are seeds, so a shared run of K + V - 1 words
    has a shared seed. The n-th occurrence of a seed in a text meets the n-th in
    another.
-2. Each seed links its occurrences to the one in the smallest document, first
-   within a chunk of texts, then over the chunks' smallest ones. So a seed makes
-   one link for each occurrence, never a pair for each two.
+2. Copies are linked with their first text. The texts of a seed are linked each
+   with each while they are few (``PAIRS``). A more frequent, hot seed links its
+   occurrences to the one in the smallest document, first within a chunk of
+   texts, then over the chunks' smallest ones; so that texts which share a passage
+   of hot seeds meet although smaller documents hold its phrases singly, runs of
+   2, 4, 8 and 16 hot seeds in a row are keys as well, treated alike.
 3. A document's links to another document are joined along diagonals and chained
    in order, with costs for gaps; a Fenwick tree over the other document's places
    gives each piece its best forerunner.
@@ -35,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import deal, documents_in, gather, pack, pack_documents
-from .common import CHUNK_BYTES, group_starts, mix, partitions
+from .common import CHUNK_BYTES, group_starts, mix, partitions, written
 from .repeats import LAST, _rows, bucket_of, least_between, short
 
 K, V = 5, 6
 MIN_WORDS, IDENTITY = 45, 0.8
+#: Texts of a key that are all linked with one another, and the seeds of the longest run that is a key.
+PAIRS, RUN = 4, 16
 #: Words between seeds of one piece, cost of a word of gap, words looked at beyond a chain's ends.
 REACH, GAP_COST, BEYOND = 24, 0.2, 48
 WORD = re.compile(r"\w+")
@@ -92,20 +97,39 @@ def seeds(w: np.ndarray, k: int = K, v: int = V) -> tuple[np.ndarray, np.ndarray
     return order, out
 
 
-def star(h, doc, twin, at, home):
-    """Each occurrence with the smallest document's occurrence of its seed: (index, centre's index)."""
-    order = np.lexsort((twin, doc, h))
-    starts = group_starts(h[order])
-    centre = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
-    linked = doc[order] != doc[centre]
-    return order[linked], centre[linked], order[starts]
-
-
-def _links(h, doc, twin, at, home):
-    i, c, heads = star(h, doc, twin, at, home)
+def meet(h, doc, twin, many) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of occurrences of keys: links (index, index of a smaller document's), the occurrences of different texts, by
+    key, those of them whose key occurs in more than ``PAIRS`` texts or has the mark ``many``, and each one's centre.
+
+    Copies are linked with their first only, up to ``PAIRS`` texts of a key each with each, more with the smallest."""
+    order = np.lexsort((doc, twin, h))
+    same = np.r_[False, (h[order][1:] == h[order][:-1]) & (twin[order][1:] == twin[order][:-1])] if len(h) else np.zeros(0, bool)
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(h) else order
+    copies, firsts = order[same], order[first[same]]
+    own = order[~same]
+    own = own[np.lexsort((twin[own], doc[own], h[own]))]
+    starts = group_starts(h[own])
+    sizes = np.diff(np.append(starts, len(own)))
+    begin = np.repeat(starts, sizes)
+    marked = np.repeat(np.maximum.reduceat(many[own], starts), sizes) if len(own) else np.zeros(0, bool)
+    hot = (np.repeat(sizes, sizes) > PAIRS) | marked.astype(bool)
+    at = np.arange(len(own))
+    pairs = [(copies, firsts), (own[hot & (at > begin)], own[begin[hot & (at > begin)]])]
+    for back in range(1, PAIRS):
+        later = at[~hot & (at - back >= begin)]
+        pairs.append((own[later], own[later - back]))
+    i, c = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    linked = doc[i] != doc[c]
+    return i[linked], c[linked], own, hot, own[begin] if len(own) else own
+
+
+def _links(h, doc, twin, at, home, many):
+    """(links by home, occurrences of different texts, which of them are hot, hot occurrences by home)."""
+    i, c, own, hot, centre = meet(h, doc, twin, many)
     order = np.lexsort((at[i], twin[i], doc[i]))
     i, c = i[order], c[order]
-    return deal(home[i], doc[i], twin[i], at[i], doc[c], twin[c], at[c], home[c]), heads
+    x, z = own[hot], doc[centre[hot]]
+    return deal(home[i], doc[i], twin[i], at[i], doc[c], twin[c], at[c], home[c]), own, hot, lambda keep: deal(home[x[keep]], doc[x[keep]], twin[x[keep]], at[x[keep]], h[x[keep]] if h.dtype == np.uint32 else short(h[x[keep]]), z[keep])
 
 
 def _seed(buckets: int, k: int, v: int):
@@ -114,11 +138,18 @@ def _seed(buckets: int, k: int, v: int):
         n = [len(p[1]) for p in parts]
         at = np.concatenate([p[0] for p in parts]).astype(np.int32)
         doc, twin, home = (np.repeat(np.array([p[i] for p in parts], t), n) for i, t in ((2, np.int64), (3, np.int32), (4, np.int32)))
-        made, heads = _links(h, doc, twin, at, home)
+        made, own, hot, marks = _links(h, doc, twin, at, home, np.zeros(len(h), np.uint8))
         for to, blob in made:
             yield to % buckets, 1, to, blob
-        heads.sort()
-        for to, blob in deal(bucket_of(h[heads], buckets), short(h[heads]), doc[heads], twin[heads], at[heads], home[heads]):
+        # of a hot key only the smallest document goes on, and its bucket marks that one
+        later = np.r_[False, h[own][1:] == h[own][:-1]] if len(own) else np.zeros(0, bool)
+        for to, blob in marks(later[hot]):
+            yield to % buckets, 2, to, blob
+        on = ~(hot & later)
+        heads, many = own[on], hot[on].astype(np.uint8)
+        order = np.argsort(heads, kind="stable")
+        heads, many = heads[order], many[order]
+        for to, blob in deal(bucket_of(h[heads], buckets), short(h[heads]), doc[heads], twin[heads], at[heads], home[heads], many):
             yield to, 0, 0, blob
 
     def run(batches):
@@ -141,13 +172,55 @@ def _seed(buckets: int, k: int, v: int):
     return run
 
 
+def _table(rows: list[tuple], *names: str) -> pa.Table:
+    kinds = {"blob": pa.binary()}
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.table({n: pa.array(c, kinds.get(n, pa.int32())) for n, c in zip(names, columns, strict=True)})
+
+
 def _meet(table: pa.Table) -> pa.Table:
-    """Of a bucket of seeds: links to the smallest document, for the linked documents."""
+    """Of a bucket of seeds: links to smaller documents (kind 1) and hot occurrences (kind 2), for their documents."""
     kinds, homes, blobs = (table.column(c).to_pylist() for c in ("kind", "home", "blob"))
-    out = [(h, b) for k, h, b in zip(kinds, homes, blobs, strict=True) if k == 1]
+    out = [(k, h, b) for k, h, b in zip(kinds, homes, blobs, strict=True) if k]
     if given := [b for k, b in zip(kinds, blobs, strict=True) if k == 0]:
-        out += _links(*gather(given, 5))[0]
-    return pa.table({"home": pa.array([x[0] for x in out], pa.int32()), "blob": pa.array([x[1] for x in out], pa.binary())})
+        made, _, hot, marks = _links(*gather(given, 6))
+        out += [(1, to, blob) for to, blob in made] + [(2, to, blob) for to, blob in marks(np.ones(int(hot.sum()), bool))]
+    return _table(out, "kind", "home", "blob")
+
+
+def _lengthen(buckets: int):
+    """Of a group of documents: runs of hot seeds as keys, for seeds too frequent to be met by all that have them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, twin, at, h, centre = gather(table.column("blob").to_pylist(), 5)
+        order = np.lexsort((at, twin, doc))
+        doc, twin, at, h, centre = (x[order] for x in (doc, twin, at, h.astype(np.uint64), centre))
+        breaks = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (at[1:] - at[:-1] > REACH)]) if len(doc) else doc
+        home = np.int32(table.column("home")[0].as_py())
+        out: list[tuple] = []
+        key, n = mix(h + np.uint64(1)), 1
+        while n < RUN and len(doc) > n:
+            # a run of 2n is one of n and the one after it
+            key = mix(key[:-n] * np.uint64(0xD1342543DE82EF95) + key[n:])
+            n *= 2
+            x = np.flatnonzero(breaks[: len(key)] == breaks[n - 1 :]) if len(key) else np.zeros(0, np.int64)
+            out += deal(bucket_of(key[x], buckets), short(key[x]), doc[x], twin[x], at[x], at[x + n - 1], np.full(len(x), home, np.int32), centre[x])
+        return _table(out, "bucket", "blob")
+
+    return run
+
+
+def _meet_runs(table: pa.Table) -> pa.Table:
+    """Of a bucket of runs: links to smaller documents that their seeds alone don't have, at both ends of a run."""
+    h, doc, twin, at, end, home, centre = gather(table.column("blob").to_pylist(), 7)
+    i, c = meet(h, doc, twin, np.zeros(len(h), np.uint8))[:2]
+    new = doc[c] != centre[i]
+    i, c = np.tile(i[new], 2), np.tile(c[new], 2)
+    half = np.arange(len(i)) < len(i) // 2
+    mine, theirs = np.where(half, at[i], end[i]), np.where(half, at[c], end[c])
+    order = np.lexsort((mine, twin[i], doc[i]))
+    i, c, mine, theirs = i[order], c[order], mine[order], theirs[order]
+    return _table(list(deal(home[i], doc[i], twin[i], mine, doc[c], twin[c], theirs, home[c])), "home", "blob")
 
 
 def best_forerunner(places: list[tuple[int, int, int, int]], cost: float) -> list[list[int]]:
@@ -393,7 +466,9 @@ def find_passages(documents: DataFrame, min_words: int = MIN_WORDS, identity: fl
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.hash("text").alias("twin"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).withColumn("home", F.pmod(F.hash("doc_id"), F.lit(buckets)).cast("int"))
     texts = pack_documents(rows, buckets, 4 * CHUNK_BYTES)
     found = rows.mapInArrow(_seed(buckets, k, v), "bucket int, kind int, home int, blob binary")
-    links = found.groupBy("bucket").applyInArrow(_meet, "home int, blob binary")
+    met = written(found.groupBy("bucket").applyInArrow(_meet, "kind int, home int, blob binary"))
+    runs = met.where("kind = 2").groupBy("home").applyInArrow(_lengthen(buckets), "bucket int, blob binary")
+    links = met.where("kind = 1").select("home", "blob").unionByName(runs.groupBy("bucket").applyInArrow(_meet_runs, "home int, blob binary"))
     asked = links.groupBy("home").applyInArrow(_chain(min_words), "home int, blob binary")
     answers = texts.groupBy("home").cogroup(asked.groupBy("home")).applyInArrow(_fetch, "home int, blob binary")
     return texts.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(
