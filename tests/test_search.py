@@ -138,3 +138,16 @@ def test_inverted_file_has_the_recall_it_aims_at(spark, spread):
     assert measured.n == 600 and measured.recall >= 0.9
     assert index.probes < len(index.centroids) or spread > 1
     index.drop()
+
+
+def test_only_rows_of_asked_terms_move_and_queries_are_scored_in_slices(spark):
+    import numpy as np
+
+    chunks = spark.createDataFrame([(i, f"fox common w{i}") for i in range(40)], "chunk_id long, content string")
+    index = keyword.build_index(chunks, ("content",), block=10)
+    asked = spark.createDataFrame([(i, f"common w{i}") for i in range(20)], "query_id long, query string")
+    found = keyword.search(index, asked, 1, batch=3)
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.query_id, r.chunk_id) for r in found.collect()) == [(i, i) for i in range(20)]
+    rows = [{"term": "a", "qs": np.array([0, 4, 5])}, {"term": "b", "qs": np.array([5, 9])}]
+    assert [(low, [(r["term"], r["qs"].tolist()) for r in some]) for low, some in keyword._slices(rows, 3)] == [(0, [("a", [0])]), (3, [("a", [1, 2]), ("b", [2])]), (9, [("b", [0])])]
