@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fact_slug, folded, letters, squeeze, strip, text
+from ..storage import durable, stored
 from .order import choose_in_order, numbered_globally, similar_pairs
 
 #: What a finished document of each type needs at least.
 FAQ_SECTIONS, FAQ_ALIASES, SOP_STEPS = (8, 15), (2, 4), 4
+#: Pairs of a quote and a chunk of a document that are compared each with each; more meet by runs of characters.
+FEW = 4096
 
 
 def _first(df: DataFrame, keys, *order) -> DataFrame:
@@ -25,28 +28,40 @@ def issues(df: DataFrame, entity: Column, *checks: tuple[str, Column]) -> DataFr
 # -- evidence ------------------------------------------------------------------
 
 
-def anchored(quotes: DataFrame, chunks: DataFrame, sizes: tuple[int, ...] = (8, 3)) -> DataFrame:
+def anchored(quotes: DataFrame, chunks: DataFrame, sizes: tuple[int, ...] = (8, 3), few: int = FEW) -> DataFrame:
     """(quote_id, doc_id, chunk_id) of quotes (quote_id, doc_id, body) and chunks (doc_id, chunk_id, body) of the same
     document where the chunk holds the quote's anchor, a run of ``sizes[0]`` characters of it. Shorter quotes have
     shorter anchors; those below the last size meet all chunks of their document.
 
-    The anchor is the quote's run with the least hash. Chunks post their runs by document and run, so a document
-    with very many chunks is dealt out, and a quote's text moves only to chunks that can hold it."""
+    The anchor is the quote's run with the least hash. In a document of at most ``few`` pairs of a quote and a chunk
+    each chunk is searched for each anchor. Chunks of other documents post their runs by document and run, so a
+    document with very many chunks is dealt out, and a quote's text moves only to chunks that can hold it."""
     runs = lambda col, n: F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    asked = chunks.join(quotes.select("doc_id").distinct(), "doc_id", "left_semi")
-    out, above = None, None
-    for n in (*sizes, 0):
-        own = quotes.where((F.char_length("body") >= n) & (F.lit(True) if above is None else F.char_length("body") < above))
-        above = n
-        if n:
-            keyed = own.select("quote_id", "doc_id", F.array_min(F.transform(runs("body", n), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"].alias("run"))
-            wanted = keyed.select("doc_id", "run").distinct()
-            posted = asked.select("doc_id", "chunk_id", F.explode(F.array_distinct(runs("body", n))).alias("run")).join(wanted, ["doc_id", "run"], "left_semi")
-            met = keyed.join(posted, ["doc_id", "run"]).select("quote_id", "doc_id", "chunk_id")
-        else:
-            met = own.select("quote_id", "doc_id").join(asked.select("doc_id", "chunk_id"), "doc_id")
-        out = met if out is None else out.unionByName(met)
-    return out.distinct()
+    anchor = lambda n: F.array_min(F.transform(runs("body", n), lambda r: F.struct(F.xxhash64(r).alias("h"), r.alias("r"))))["r"]
+    size = F.lit(0)
+    for n in sorted(sizes):
+        size = F.when(F.char_length("body") >= n, n).otherwise(size)
+    run = F.lit("")
+    for n in sizes:
+        run = F.when(F.col("size") == n, anchor(n)).otherwise(run)
+    keyed = quotes.where("body is not null").withColumn("size", size).select("quote_id", "doc_id", "size", run.alias("run"))
+    met = keyed.groupBy("doc_id").agg(F.count("*").alias("asks")).join(chunks.groupBy("doc_id").agg(F.count("*").alias("has")), "doc_id")
+    large = durable(met.where(F.col("asks") * F.col("has") > few).select("doc_id"))
+    if large.isEmpty():
+        return _searched(keyed, chunks).distinct()
+    out = _searched(keyed.join(large, "doc_id", "left_anti"), chunks.join(large, "doc_id", "left_anti"))
+    rest, posting = keyed.join(large, "doc_id", "left_semi"), chunks.join(large, "doc_id", "left_semi")
+    for n in sizes:
+        own = rest.where(F.col("size") == n)
+        wanted = own.select("doc_id", "run").distinct()
+        posted = posting.select("doc_id", "chunk_id", F.explode(F.array_distinct(runs("body", n))).alias("run")).join(wanted, ["doc_id", "run"], "left_semi")
+        out = out.unionByName(own.join(posted, ["doc_id", "run"]).select("quote_id", "doc_id", "chunk_id"))
+    return out.unionByName(rest.where("size = 0").select("quote_id", "doc_id").join(posting.select("doc_id", "chunk_id"), "doc_id")).distinct()
+
+
+def _searched(keyed: DataFrame, chunks: DataFrame) -> DataFrame:
+    held = chunks.select("doc_id", "chunk_id", text(F.col("body")).alias("body"))
+    return held.join(keyed, "doc_id").where(F.contains("body", F.col("run"))).select("quote_id", "doc_id", "chunk_id")
 
 
 def map_evidence(evidence: DataFrame, source_docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -55,23 +70,32 @@ def map_evidence(evidence: DataFrame, source_docs: DataFrame, chunks: DataFrame)
 
     A quote is compared with the chunks that hold its anchor, with the pairs of neighbours that such a chunk ends, and
     with pairs whose seam holds it."""
-    keyed = evidence.join(source_docs.select("source_doc_code", "mapped_doc_id"), "source_doc_code", "left").withColumn("_e", F.xxhash64("case_code", "source_doc_code", "evidence_quote"))
+    keyed = durable(evidence.join(source_docs.select("source_doc_code", "mapped_doc_id"), "source_doc_code", "left").withColumn("_e", F.xxhash64("case_code", "source_doc_code", "evidence_quote")))
     order = Window.partitionBy("doc_id").orderBy("sort_order", "chunk_id")
     near = 40
-    active = chunks.where("status = 'ACTIVE'").withColumns({"next_id": F.lead("chunk_id").over(order), "before_id": F.lag("chunk_id").over(order), "_start": F.lead(F.substring(letters(F.col("content")), 1, near)).over(order)})
-    c = active.select("doc_id", "chunk_id", "parent_chunk_id", "content", "next_id")
+    own = chunks.where("status = 'ACTIVE'").select("doc_id", "chunk_id", "parent_chunk_id", "content", "sort_order", letters(F.col("content")).alias("body"))
+    placed = own.withColumns({"next_id": F.lead("chunk_id").over(order), "before_id": F.lag("chunk_id").over(order), "_start": F.lead(F.substring("body", 1, near)).over(order)})
+    active = stored(placed.drop("sort_order")).read()
+    c = active.select("chunk_id", "parent_chunk_id", "content", "body", "next_id")
     quotes = keyed.select("_e", "mapped_doc_id", "evidence_quote").where("mapped_doc_id is not null").dropDuplicates(["_e"])
-    bodies = quotes.select(F.col("_e").alias("quote_id"), F.col("mapped_doc_id").alias("doc_id"), letters(F.col("evidence_quote")).alias("body"))
-    inner = anchored(bodies, active.select("doc_id", "chunk_id", letters(F.col("content")).alias("body")))
-    seams = active.where("next_id is not null").select("doc_id", "chunk_id", F.concat(F.right(letters(F.col("content")), F.lit(near)), F.coalesce("_start", F.lit(""))).alias("body"))
+    bodies = durable(quotes.select(F.col("_e").alias("quote_id"), F.col("mapped_doc_id").alias("doc_id"), letters(F.col("evidence_quote")).alias("body"), "evidence_quote"))
+    inner = anchored(bodies, active.select("doc_id", "chunk_id", "body"))
+    seams = active.where("next_id is not null").select("doc_id", "chunk_id", F.concat(F.right("body", F.lit(near)), F.coalesce("_start", F.lit(""))).alias("body"))
     across = anchored(bodies, seams)
-    ends = inner.join(active.where("before_id is not null").select("chunk_id", "before_id"), "chunk_id").select("quote_id", "doc_id", F.col("before_id").alias("chunk_id"))
-    ids = inner.unionByName(across).unionByName(ends).distinct()
-    told = quotes.select(F.col("_e").alias("quote_id"), "evidence_quote")
-    pairs = ids.join(told, "quote_id").join(c.drop("doc_id"), "chunk_id").join(c.select(F.col("chunk_id").alias("next_id"), F.col("content").alias("next_content")), "next_id", "left")
-    pairs = pairs.withColumnRenamed("quote_id", "_e").withColumn("both", F.concat(text(F.col("content")), text(F.col("next_content"))))
-    inside = lambda f, body: (f(F.col("evidence_quote")) != "") & F.contains(f(F.col(body)), f(F.col("evidence_quote")))
-    tiered = pairs.select("_e", "chunk_id", "parent_chunk_id", F.when(inside(squeeze, "content"), 1).when(inside(letters, "content"), 2).when(F.col("next_id").isNotNull() & inside(letters, "both"), 3).alias("tier")).where("tier is not null")
+    found = durable(inner)
+    ends = found.join(active.where("before_id is not null").select("chunk_id", "before_id"), "chunk_id").select("quote_id", "doc_id", F.col("before_id").alias("chunk_id"))
+    ids = found.unionByName(across).unionByName(ends).distinct()
+    told = bodies.select(F.col("quote_id").alias("_e"), "quote_id", "evidence_quote", F.col("body").alias("asked"))
+    following = active.select(F.col("chunk_id").alias("next_id"), F.col("content").alias("next_content"), F.col("body").alias("next_body"))
+    pairs = ids.join(told, "quote_id").join(c, "chunk_id").join(following, "next_id", "left")
+    # only a sigma's lower case depends on what is beside it; without one, letters of a part are a part of the letters
+    sigma = F.col("evidence_quote").rlike("[Σσς]")
+    squeezed = squeeze(F.col("evidence_quote"))
+    exact = (sigma | F.contains("body", F.col("asked"))) & (squeezed != "") & F.contains(squeeze(F.col("content")), squeezed)
+    both = F.when(sigma, letters(F.concat(text(F.col("content")), text(F.col("next_content"))))).otherwise(F.concat("body", text(F.col("next_body"))))
+    lettered = F.col("asked") != ""
+    tier = F.when(exact, 1).when(lettered & F.contains("body", F.col("asked")), 2).when(F.col("next_id").isNotNull() & lettered & F.contains(both, F.col("asked")), 3)
+    tiered = durable(pairs.select("_e", "chunk_id", "parent_chunk_id", tier.alias("tier")).where("tier is not null"))
     best = tiered.withColumn("least", F.min("tier").over(Window.partitionBy("_e"))).where("tier = least")
     parents = best.where("parent_chunk_id is not null").select("_e", F.col("parent_chunk_id").alias("chunk_id")).distinct().withColumn("is_parent", F.lit(True))
     per = best.join(parents, ["_e", "chunk_id"], "left").groupBy("_e", "tier").agg(F.count("*").alias("n"), F.min("chunk_id").alias("any_id"), F.count("is_parent").alias("n_parents"), F.min(F.when(F.col("is_parent").isNull(), F.col("chunk_id"))).alias("leaf_id"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import dataset, order
+from quern.operators import dataset, experiment, order
 
 
 def test_numbers_follow_the_order(spark):
@@ -85,6 +85,43 @@ def test_tiers_of_evidence(spark):
     }
 
 
+@pytest.mark.parametrize("few", [0, 8, 4096])
+def test_documents_of_few_and_many_pairs_give_the_same_anchors(spark, few):
+    rng = random.Random(5)
+    body = lambda n: "".join(rng.choices("abc", k=n))
+    chunks = [(rng.randint(0, 3), i, body(rng.randint(0, 40))) for i in range(20)] + [(0, 20, None)]
+    quotes = [(i, rng.randint(0, 3), body(rng.choice([0, 1, 2, 3, 5, 8, 9]))) for i in range(60)] + [(60, 1, None)]
+    frames = spark.createDataFrame(quotes, "quote_id long, doc_id long, body string"), spark.createDataFrame(chunks, "doc_id long, chunk_id long, body string")
+    ids = lambda df: {(r.quote_id, r.doc_id, r.chunk_id) for r in df.collect()}
+    assert ids(dataset.anchored(*frames, few=few)) == ids(dataset.anchored(*frames, few=100))
+    short = {(q, c) for q, d, b in quotes for e, c, _ in chunks if d == e and b is not None and len(b) < 3}
+    assert short <= {(q, c) for q, _, c in ids(dataset.anchored(*frames, few=few))}
+
+
+def test_few_pairs_post_no_runs(spark):
+    quotes = spark.createDataFrame([(1, 1, "abcdefghij")], "quote_id long, doc_id long, body string")
+    chunks = spark.createDataFrame([(1, 7, "x abcdefghij y"), (1, 8, "nothing")], "doc_id long, chunk_id long, body string")
+    met = dataset.anchored(quotes, chunks)
+    assert "Generate" not in met._jdf.queryExecution().executedPlan().toString()
+    assert {r.chunk_id for r in met.collect()} == {7}
+
+
+def test_quotes_with_a_sigma_at_a_words_end_are_found(spark):
+    chunks = spark.createDataFrame([(1, 5, None, "λόγος ΟΔΟΣ", "ACTIVE", 0), (1, 6, None, "ΑΒΓ ΔΕΖ", "ACTIVE", 1)], "doc_id long, chunk_id long, parent_chunk_id long, content string, status string, sort_order int")
+    evidence = spark.createDataFrame([("b", "d", "ΟΔΟΣ"), ("c", "d", "ΑΒΓ, ΔΕΖ")], "case_code string, source_doc_code string, evidence_quote string")
+    got = {r.case_code: r.method for r in dataset.map_evidence(evidence, spark.createDataFrame([("d", 1)], "source_doc_code string, mapped_doc_id long"), chunks).collect()}
+    assert got == {"b": "EXACT", "c": "PUNCTUATION_NORMALIZED"}
+
+
+def test_pending_work_is_taken_oldest_first_without_a_single_task(spark):
+    state = spark.createDataFrame([(i, "PENDING" if i % 2 else "SUCCESS", 100 - i // 4) for i in range(100)], "chunk_id long, status string, updated_at long")
+    chunks = spark.range(100).selectExpr("id as chunk_id", "concat('t', id) as content", "if(id % 5 = 0, 'INACTIVE', 'ACTIVE') as status")
+    got = experiment.pending_work(state, chunks, 7)
+    want = sorted((100 - i // 4, i) for i in range(100) if i % 2 and i % 5)[:7]
+    assert [(r.updated_at, r.chunk_id, r.content) for r in got.collect()] == [(u, i, f"t{i}") for u, i in want]
+    assert not re.search("SinglePartition|Limit|TakeOrdered", got._jdf.queryExecution().executedPlan().toString())
+
+
 def test_supplement_has_no_single_task(spark):
     docs = spark.createDataFrame([("s", f"d{i:02}", [f"f{i}", f"g{i}"]) for i in range(20)], "split string, source_doc_code string, facts array<string>")
     plan = dataset.plan_supplement(docs, "s", "FACT", 5, 7, 2)._jdf.queryExecution().executedPlan().toString()
