@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_match, stable_side
+from .order import numbered_globally
 
 METRICS = ("recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "reciprocal_rank", "ndcg_at_5", "ndcg_at_10", "fact_coverage")
 EPSILON = 1e-9
@@ -142,8 +143,11 @@ def run_evidence(results: DataFrame, cases: DataFrame, relevance: DataFrame, sou
 
 
 def pending_work(state: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Waiting or failed tasks with their active chunk, oldest first."""
-    return state.where("status in ('PENDING', 'FAILED')").join(chunks.where("status = 'ACTIVE'").select("chunk_id", "content"), "chunk_id").orderBy("updated_at", "chunk_id").limit(limit)
+    """Waiting or failed tasks with their active chunk, oldest first.
+
+    Rows are numbered over ranges of (updated_at, chunk_id), as a limit on sorted rows gathers them in one task."""
+    waiting = state.where("status in ('PENDING', 'FAILED')").join(chunks.where("status = 'ACTIVE'").select("chunk_id", "content"), "chunk_id")
+    return numbered_globally(waiting, "updated_at", "chunk_id", name="_n").where(F.col("_n") < limit).drop("_n").orderBy("updated_at", "chunk_id")
 
 
 def markdown_rows(df: DataFrame) -> DataFrame:
