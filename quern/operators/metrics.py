@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import tasks_for
+
 ACTIONS, ACTUAL = ("ANSWER", "REFUSE", "CLARIFY"), ("ANSWER", "REFUSE", "CLARIFY", "ERROR")
 METRICS = (
     "recall_at_1", "recall_at_3", "recall_at_5", "recall_at_10", "reciprocal_rank", "ndcg_at_5", "ndcg_at_10", "fact_coverage",
@@ -127,17 +129,20 @@ def slices(cases: DataFrame) -> DataFrame:
     )
 
 
-def stage_coverage(cases: DataFrame, hits: DataFrame, facts: DataFrame) -> DataFrame:
+def stage_coverage(cases: DataFrame, hits: DataFrame, facts: DataFrame, rows: int = 0) -> DataFrame:
     """Per case: coverage and missing facts after merging, reranking and packing; null coverage without facts.
 
-    hits: (case_code, channel, chunk_id); facts: (case_code, chunk_id, fact_key)."""
+    hits: (case_code, channel, chunk_id); facts: (case_code, chunk_id, fact_key). A chunk's stages are three flags, so
+    that no list is built below a case; ``rows``, about how many hits there are, bounds what one task holds."""
     channel = F.upper(F.coalesce("channel", F.lit("")))
-    stage = F.when(channel == "RERANK", "rerank").when(channel == "FINAL", "final").otherwise("merged")
-    seen = hits.where("chunk_id is not null").select("case_code", "chunk_id", stage.alias("stage")).distinct()
-    found = facts.join(seen, ["case_code", "chunk_id"]).groupBy("case_code", "fact_key").agg(F.collect_set("stage").alias("stages"))
-    all_facts = facts.where("fact_key is not null").select("case_code", "fact_key").distinct().join(found, ["case_code", "fact_key"], "left")
     stages = ("merged", "rerank", "final")
-    has = lambda s: F.coalesce(F.array_contains("stages", s), F.lit(False))
+    of = {"rerank": channel == "RERANK", "final": channel == "FINAL", "merged": ~channel.isin("RERANK", "FINAL")}
+    any_of = [F.max(s).alias(s) for s in stages]
+    n, keys = tasks_for(hits.sparkSession, rows), ("case_code", "chunk_id")
+    seen = hits.where("chunk_id is not null").select(*keys, *[of[s].alias(s) for s in stages]).repartition(n, *keys).groupBy(*keys).agg(*any_of)
+    found = facts.where("fact_key is not null").select(*keys, "fact_key").repartition(n, *keys).join(seen, list(keys), "left")
+    all_facts = found.groupBy("case_code", "fact_key").agg(*any_of)
+    has = lambda s: F.coalesce(s, F.lit(False))
     per = all_facts.groupBy("case_code").agg(*[F.round(F.avg(has(s).cast("int")), 6).alias(s) for s in stages], *[F.array_sort(F.collect_set(F.when(~has(s), F.col("fact_key")))).alias(f"missing_{s}") for s in stages])
     return cases.select("case_code").join(per, "case_code", "left")
 

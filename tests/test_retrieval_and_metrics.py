@@ -192,3 +192,24 @@ def test_quotas_are_restored_in_batches_of_questions(spark, capsys):
     out.explain()
     shown = capsys.readouterr().out
     assert "MapInArrow" in shown and "FlatMapGroups" not in shown
+
+
+def test_rounds_are_fused_in_as_many_tasks_as_the_rows_ask_for(spark):
+    """Hits move once, by question; adaptive execution may not merge the partitions that are sorted."""
+    attempts = spark.createDataFrame([(1, 1, "INITIAL", 0.0), (1, 2, "QUERY_REWRITE", 0.0)], "query_id long, round_no int, strategy string, weight double")
+    hits = spark.createDataFrame([(1, 1, 1, 7, 0.5, "vector"), (1, 2, 1, 8, 0.4, "bm25"), (1, 2, 2, 7, 0.3, "bm25"), (1, 3, 1, 9, 0.2, "bm25")], "query_id long, round_no int, rank int, chunk_id long, score double, source string")
+    got = fusion.fuse_rounds(attempts, hits, rows=3_000_000)
+    assert [(r.chunk_id, r.rounds, r.rank) for r in got.orderBy("rank").collect()] == [(7, [1, 2], 1), (8, [2], 2)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(query_id") >= 2 and "hashpartitioning(query_id" in plan and ", 6), REPARTITION_BY_NUM" in plan
+    assert "hashpartitioning(query_id#" in plan and ", chunk_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_stages_of_facts_are_flags(spark):
+    cases = spark.createDataFrame([(1,), (2,), (3,)], "case_code long")
+    hits = spark.createDataFrame([(1, "hybrid", 7), (1, "RERANK", 7), (1, None, 8), (2, "final", 9), (2, "x", None)], "case_code long, channel string, chunk_id long")
+    facts = spark.createDataFrame([(1, 7, "a"), (1, 8, "b"), (1, 6, "b"), (1, 5, "c"), (2, 9, "d"), (2, 9, None), (2, None, "e")], "case_code long, chunk_id long, fact_key string")
+    made = metrics.stage_coverage(cases, hits, facts)
+    got = {r.case_code: (r.merged, r.rerank, r.final, r.missing_merged, r.missing_final) for r in made.collect()}
+    assert got == {1: (0.666667, 0.333333, 0.0, ["c"], ["a", "b", "c"]), 2: (0.0, 0.0, 0.5, ["d", "e"], ["e"]), 3: (None, None, None, None, None)}
+    assert "array_contains" not in made._jdf.queryExecution().optimizedPlan().toString()
