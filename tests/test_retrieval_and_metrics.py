@@ -213,3 +213,13 @@ def test_stages_of_facts_are_flags(spark):
     got = {r.case_code: (r.merged, r.rerank, r.final, r.missing_merged, r.missing_final) for r in made.collect()}
     assert got == {1: (0.666667, 0.333333, 0.0, ["c"], ["a", "b", "c"]), 2: (0.0, 0.0, 0.5, ["d", "e"], ["e"]), 3: (None, None, None, None, None)}
     assert "array_contains" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_three_lists_of_a_case_are_one_pass(spark):
+    from quern.plans import catalog
+
+    rows = spark.createDataFrame([(1, r, 100 + r) for r in (1, 5, 6, 10, 11)], "case_code long, rank int, chunk_id long")
+    hits = catalog._stage_hits(lambda table: {"case_hits": rows}[table])
+    got = sorted((r.channel, r.chunk_id - 100) for r in hits.collect())
+    assert got == sorted([("hybrid", r) for r in (1, 5, 6, 10, 11)] + [("rerank", r) for r in (1, 5, 6, 10)] + [("FINAL", r) for r in (1, 5)])
+    assert "Union" not in hits._jdf.queryExecution().optimizedPlan().toString()
