@@ -189,7 +189,7 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _lengthen(buckets: int):
-    """Of a group of documents: runs of hot seeds as keys, for seeds too frequent to be met by all that have them."""
+    """Of a group of documents: runs of hot seeds as keys, for seeds too frequent to be met by all that have them; one value for each bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, twin, at, h, centre = gather(table.column("blob").to_pylist(), 5)
@@ -197,15 +197,18 @@ def _lengthen(buckets: int):
         doc, twin, at, h, centre = (x[order] for x in (doc, twin, at, h.astype(np.uint64), centre))
         breaks = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (twin[1:] != twin[:-1]) | (at[1:] - at[:-1] > REACH)]) if len(doc) else doc
         home = np.int32(table.column("home")[0].as_py())
-        out: list[tuple] = []
+        found = []
         key, n = mix(h + np.uint64(1)), 1
         while n < RUN and len(doc) > n:
             # a run of 2n is one of n and the one after it
             key = mix(key[:-n] * np.uint64(0xD1342543DE82EF95) + key[n:])
             n *= 2
             x = np.flatnonzero(breaks[: len(key)] == breaks[n - 1 :]) if len(key) else np.zeros(0, np.int64)
-            out += deal(bucket_of(key[x], buckets), short(key[x]), doc[x], twin[x], at[x], at[x + n - 1], np.full(len(x), home, np.int32), centre[x])
-        return _table(out, "bucket", "blob")
+            found.append((key[x], x, x + n - 1))
+        if not found:
+            return _table([], "bucket", "blob")
+        key, x, last = (np.concatenate(a) for a in zip(*found, strict=True))
+        return _table(list(deal(bucket_of(key, buckets), short(key), doc[x], twin[x], at[x], at[last], np.full(len(x), home, np.int32), centre[x])), "bucket", "blob")
 
     return run
 
@@ -462,7 +465,8 @@ def _align(min_words: int, identity: float):
 def find_passages(documents: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, k: int = K, v: int = V, buckets: int | None = None) -> DataFrame:
     """doc_id, match_doc_id, start, stop, match_start, match_stop (in words), matched and identity
     of the fuzzy repeated passages of ``documents`` (doc_id, text)."""
-    buckets = buckets or 3 * partitions(documents.sparkSession)
+    # each bucket sends a value to each group of documents, so there are up to the square of their number: no more of either than partitions
+    buckets = buckets or partitions(documents.sparkSession)
     rows = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("doc_id"), F.hash("text").alias("twin"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).withColumn("home", F.pmod(F.hash("doc_id"), F.lit(buckets)).cast("int"))
     texts = pack_documents(rows, buckets, 4 * CHUNK_BYTES)
     found = rows.mapInArrow(_seed(buckets, k, v), "bucket int, kind int, home int, blob binary")
