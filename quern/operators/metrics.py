@@ -141,7 +141,7 @@ def stage_coverage(cases: DataFrame, hits: DataFrame, facts: DataFrame, rows: in
     n, keys = tasks_for(hits.sparkSession, rows), ("case_code", "chunk_id")
     seen = hits.where("chunk_id is not null").select(*keys, *[of[s].alias(s) for s in stages]).repartition(n, *keys).groupBy(*keys).agg(*any_of)
     found = facts.where("fact_key is not null").select(*keys, "fact_key").repartition(n, *keys).join(seen, list(keys), "left")
-    all_facts = found.groupBy("case_code", "fact_key").agg(*any_of)
+    all_facts = found.repartition(n, "case_code").groupBy("case_code", "fact_key").agg(*any_of)  # both groupings are made where a case's rows are
     has = lambda s: F.coalesce(s, F.lit(False))
     per = all_facts.groupBy("case_code").agg(*[F.round(F.avg(has(s).cast("int")), 6).alias(s) for s in stages], *[F.array_sort(F.collect_set(F.when(~has(s), F.col("fact_key")))).alias(f"missing_{s}") for s in stages])
     return cases.select("case_code").join(per, "case_code", "left")

@@ -79,3 +79,14 @@ def test_chunk_types_are_read_without_ranking_the_hits(spark):
     """What the hits are joined to is every line item; ranking all lists again for that took a third of the time."""
     plan = catalog.queries()["ret7_auto"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert len([x for x in plan.splitlines() if "Window [" in x]) <= 9
+
+
+def _lines(spark, name, word):
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    return [x for x in plan.splitlines() if word in x]
+
+
+def test_what_a_task_holds_of_a_case_is_bounded(spark):
+    """Items, facts and cases are dealt by part into a known number of tasks; few partitions each got a share of all before."""
+    dealt = _lines(spark, "met12_attribution", "RepartitionByExpression [case_code") + _lines(spark, "met12_attribution", "RepartitionByExpression [query_id")
+    assert len([x for x in dealt if "chunk_id" not in x]) >= 3
